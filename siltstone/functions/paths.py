@@ -50,27 +50,44 @@ def directory_of(key: Column | str) -> Column:
     return F.substr(key, F.lit(1), F.greatest(F.length(key) - F.length(basename(key)) - 1, F.lit(0)))
 
 
+def depth_of(directory: Column) -> Column:
+    """Number of segments of a normal directory path."""
+    slashes = F.length(directory) - F.length(F.replace(directory, F.lit("/"), F.lit("")))
+    return F.when(directory == "", 0).otherwise(slashes + 1)
+
+
+def _has(value: Column, *parts: str) -> Column:
+    hit = F.lit(False)
+    for part in parts:
+        hit = hit | F.contains(value, F.lit(part))
+    return hit
+
+
 def normalize(path: Column | str) -> Column:
     """Resolve ``.``, ``..`` and back-slashes; null when the path climbs above the root."""
-    slashed = F.replace(_col(path), F.lit("\\"), F.lit("/"))
-    segments = F.filter(F.split(slashed, "/", -1), lambda part: ~part.isin("", "."))
+    path = _col(path)
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(False).alias("escaped"))
 
     def step(state: Column, part: Column) -> Column:
         depth = F.size(state["stack"])
         up = part == ".."
         return F.struct(
-            F.when(up & (depth > 0), F.slice(state["stack"], F.lit(1), F.greatest(depth - 1, F.lit(0))))
-            .when(up, state["stack"])
+            F.when(part.isin("", ".") | (up & (depth == 0)), state["stack"])
+            .when(up, F.slice(state["stack"], F.lit(1), F.greatest(depth - 1, F.lit(0))))
             .otherwise(F.array_append(state["stack"], part))
             .alias("stack"),
             (state["escaped"] | (up & (depth == 0))).alias("escaped"),
         )
 
     folded = F.aggregate(
-        segments, start, step, lambda state: F.when(~state["escaped"], F.array_join(state["stack"], "/"))
+        F.split(slashed, "/", -1), start, step, lambda state: F.when(~state["escaped"], F.array_join(state["stack"], "/"))
+    )
+    # Most paths are normal already: no back-slash and no empty or dot segment.
+    normal = ~(
+        _has(path, "\\", "//", "./") | F.startswith(path, F.lit("/")) | F.endswith(path, F.lit("/")) | F.endswith(path, F.lit("."))
     )
-    return F.when(F.exists(segments, lambda part: part == ".."), folded).otherwise(F.array_join(segments, "/"))
+    return F.when(normal, path).otherwise(folded)
 
 
 def join_path(base: Column, relative: Column) -> Column:
@@ -85,22 +102,26 @@ def append_path(base: Column, clean: Column) -> Column:
 
 def is_absolute(path: Column | str) -> Column:
     """Leading slash or drive letter, with either slash."""
-    return _col(path).rlike("\\A(?:[/\\\\]|[A-Za-z]:)")
+    path = _col(path)
+    drive = (F.substring(path, 2, 1) == ":") & F.upper(F.substring(path, 1, 1)).between("A", "Z")
+    return F.startswith(path, F.lit("/")) | F.startswith(path, F.lit("\\")) | drive
 
 
 def is_path_component(name: Column | str) -> Column:
-    return _col(name).rlike("\\A[^/\\\\.]+\\z")
+    name = _col(name)
+    return (name != "") & ~_has(name, "/", "\\", ".")
 
 
 def python_module_path(dotted: Column | str) -> Column:
     """``a.b`` as ``a/b``; null unless every part is a path component."""
     dotted = _col(dotted)
-    parts = F.split(dotted, "\\.", -1)
-    return F.when(F.forall(parts, is_path_component), F.array_join(parts, "/"))
+    gap = F.startswith(dotted, F.lit(".")) | F.endswith(dotted, F.lit("."))
+    return F.when((dotted != "") & ~gap & ~_has(dotted, "/", "\\", ".."), F.replace(dotted, F.lit("."), F.lit("/")))
 
 
 def is_relative_specifier(specifier: Column | str) -> Column:
-    return _col(specifier).rlike("\\A\\.\\.?(?:/|\\z)")
+    specifier = _col(specifier)
+    return specifier.isin(".", "..") | F.startswith(specifier, F.lit("./")) | F.startswith(specifier, F.lit("../"))
 
 
 def package_path(path: Column | str) -> Column:

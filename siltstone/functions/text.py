@@ -22,8 +22,9 @@ def strip(text: Column | str) -> Column:
 
 
 def is_blank(text: Column | str) -> Column:
-    """True when nothing but blanks is left."""
-    return ~_col(text).rlike("(?U)[^\\s\\x1c-\\x1f]")
+    """True when nothing but blanks is left. A visible ASCII first character decides without a pattern."""
+    text = _col(text)
+    return ~F.substring(text, 1, 1).between("!", "~") & ~text.rlike("(?U)[^\\s\\x1c-\\x1f]")
 
 
 def size_bytes(text: Column | str) -> Column:

@@ -81,9 +81,10 @@ def compare_pairs(pairs: DataFrame, subjects: DataFrame, hot_rows: int = HOT_ROW
     return joined.select(*ids, verdict("left", "right").alias("verdict"), shared_signals("left", "right").alias("shared_signals"))
 
 
-def group_leaders(subjects: DataFrame) -> DataFrame:
-    """Best subject of each (kind, name) by (-score, subject_id), with its signals and the group size."""
-    best = F.min(F.struct((-F.col("score")).alias("rank_key"), "subject_id", "signals")).alias("b")
+def group_leaders(subjects: DataFrame, eligible: Column | None = None) -> DataFrame:
+    """Best eligible subject of each (kind, name) by (-score, subject_id), with its signals and the group size."""
+    place = F.struct((-F.col("score")).alias("rank_key"), "subject_id", "signals")
+    best = F.min(place if eligible is None else F.when(eligible, place)).alias("b")
     return subjects.groupBy("kind", "name").agg(best, F.count("*").alias("rows")).select(
         "kind",
         "name",
@@ -97,7 +98,7 @@ def compare_to_leaders(subjects: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
     """Every subject against the best of its (kind, name) group: the comparisons a selection depends on."""
     leaders = group_leaders(subjects)
     joined = spread_join(
-        subjects, leaders.drop("rows"), ["kind", "name"], ["subject_id"], leaders.select("kind", "name", "rows"), hot_rows
+        subjects, leaders, ["kind", "name"], ["subject_id"], leaders.select("kind", "name", "rows"), hot_rows
     )
     return joined.where("subject_id <> leader_id").select(
         F.col("leader_id").alias("left_subject_id"),
@@ -166,8 +167,8 @@ def verdict_counts(subjects: DataFrame) -> DataFrame:
 def default_score(public: float = 0.5, documented: float = 0.3, signalled: float = 0.2, full: int = 5) -> Column:
     """Weighted share of visibility, documentation and signals, in 0..1."""
     return (
-        F.when(F.col("is_public"), public).otherwise(0.0)
-        + F.when(F.col("has_docstring"), documented).otherwise(0.0)
+        F.when(F.col("is_public"), F.lit(public)).otherwise(F.lit(0.0))
+        + F.when(F.col("has_docstring"), F.lit(documented)).otherwise(F.lit(0.0))
         + F.least(F.size("signals"), F.lit(full)) / F.lit(float(full)) * signalled
     )
 
@@ -234,10 +235,10 @@ def select_subjects(scored: DataFrame, policy: SelectionPolicy, hot_rows: int =
     """
     policy = policy.checked()
     judged = scored.withColumn("_reason", _eligibility(policy))
-    leaders = group_leaders(judged.where("_reason is null"))
+    leaders = group_leaders(judged, F.col("_reason").isNull())
     joined = spread_join(
         judged,
-        leaders.drop("rows"),
+        leaders,
         ["kind", "name"],
         ["subject_id"],
         leaders.select("kind", "name", "rows"),
@@ -248,7 +249,7 @@ def select_subjects(scored: DataFrame, policy: SelectionPolicy, hot_rows: int =
         reason = F.coalesce(
             "_reason", F.when(F.col("signals") != F.col("leader_signals"), "conflicting_with_selected")
         )
-        return joined.drop("leader_id", "leader_signals").select(*scored.columns, *_outcome(reason))
+        return joined.select(*scored.columns, *_outcome(reason))
     kept = _within_capacity(free, policy).withColumn("_kept", F.lit(True))
     lead = kept.select(F.col("subject_id").alias("leader_id"), F.col("_kept").alias("_lead"))
     marked = joined.join(kept, "subject_id", "left")
@@ -280,13 +281,16 @@ def select_with_comparisons(scored: DataFrame, comparisons: DataFrame, policy: S
     def keyed(side: str) -> DataFrame:
         return eligible.select(F.col("subject_id").alias(f"{side}_subject_id"), F.col("key").alias(f"{side}_key"))
 
-    left, right = F.struct("left_key", "left_subject_id"), F.struct("right_key", "right_subject_id")
+    def place(side: str) -> Column:
+        return F.struct(F.col(f"{side}_key").alias("key"), F.col(f"{side}_subject_id").alias("id"))
+
+    left, right = place("left"), place("right")
     links = (
         ends.join(keyed("left"), "left_subject_id")
         .join(keyed("right"), "right_subject_id")
         .select(
-            F.least(left, right)["left_subject_id"].alias("better"),
-            F.greatest(left, right)["left_subject_id"].alias("worse"),
+            F.least(left, right)["id"].alias("better"),
+            F.greatest(left, right)["id"].alias("worse"),
         )
         .distinct()
     )

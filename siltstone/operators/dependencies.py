@@ -42,88 +42,77 @@ def file_problems(files: DataFrame, *scope: str) -> DataFrame:
 
 
 def _with_request(edges: DataFrame) -> DataFrame:
-    """Add what is looked up for an edge (family, path, package) and what it becomes when nothing is found."""
-    module, up, language = F.col("target_module"), F.col("is_internal"), F.col("_language")
-    external = F.concat(F.lit(EXTERNAL), module)
-    qualified = F.concat(F.lit(UNRESOLVED), F.col("_key"), F.lit("#"), module)
-
-    def unresolved(path: Column) -> Column:
-        return F.concat(F.lit(UNRESOLVED), path)
+    """Add what is looked up for an edge (family, path, package) and what it becomes when nothing is found.
 
+    The work is staged so that each stage reads the columns of the one before it a few times at most; Spark may
+    inline stages into pushed-down filters, and wide reuse would then multiply the expressions.
+    """
+    module, up, language = F.col("target_module"), F.col("is_internal"), F.col("_language")
     staged = (
         edges.withColumn("_key", paths.normalize("relative_path"))
         .withColumns(
             {
-                "_language": paths.language_of("relative_path"),
+                "_language": F.coalesce(paths.language_of("relative_path"), F.lit("none")),
                 "_directory": paths.directory_of("_key"),
-                "_dots": F.length(module) - F.length(F.regexp_replace(module, "\\A\\.+", "")),
+                "_dots": F.length(module) - F.length(F.ltrim(module, F.lit("."))),
+                "_single": F.when(F.size("imported_names") == 1, F.col("imported_names")[0]),
             }
         )
         .withColumns(
             {
-                "_above": F.when(F.col("_directory") == "", F.array().cast("array<string>")).otherwise(
-                    F.split("_directory", "/", -1)
-                ),
-                "_rest": F.substr(module, F.col("_dots") + 1),
-                "_joined": F.when(
-                    up & language.isin("typescript", "go", "cpp"), paths.join_path(F.col("_directory"), module)
-                ),
-            }
-        )
-        .withColumns(
-            {
-                "_base": F.array_join(
-                    F.slice("_above", F.lit(1), F.greatest(F.size("_above") - F.col("_dots") + 1, F.lit(0))), "/"
-                ),
-                "_module": F.when(language == "python", paths.python_module_path("_rest")),
-                "_single": F.when(
-                    (F.size("imported_names") == 1) & paths.is_path_component(F.col("imported_names")[0]),
-                    F.col("imported_names")[0],
-                ),
+                # Directories left after climbing; negative when the import climbs above the root.
+                "_left": paths.depth_of(F.col("_directory")) - F.col("_dots") + 1,
+                "_module": paths.python_module_path(F.substr(module, F.col("_dots") + 1)),
+                "_member": F.when(paths.is_path_component("_single"), F.col("_single")),
             }
         )
     )
-    base, single = F.col("_base"), F.col("_single")
-    # Conditions of each outcome, in the order they are decided.
-    python, dots = language == "python", F.col("_dots")
-    stuck = (dots == 0) | (dots - 1 > F.size("_above")) | ((F.col("_rest") != "") & F.col("_module").isNull())
-    absolute_module = python & ~up & (dots == 0) & F.col("_module").isNotNull()
-    relative_module = python & up & ~stuck & (F.col("_rest") != "")
-    package_import = python & up & ~stuck & (F.col("_rest") == "")
-    joined = F.col("_joined")
-    specifier = up & paths.is_relative_specifier(module) & joined.isNotNull()
-    script = (language == "typescript") & specifier
-    include = (language == "cpp") & up & ~paths.is_absolute(module) & joined.isNotNull()
-    rooted_script = (language == "typescript") & up & F.startswith(module, F.lit("/"))
-
-    family = (
-        F.when(absolute_module | relative_module, "module")
-        .when(package_import & single.isNotNull(), "member")
-        .when(package_import, "package")
-        .when(script, "script")
-        .when(include, "include")
+    is_specifier = paths.is_relative_specifier(module)
+    bare = F.length(module) == F.col("_dots")
+    python = (
+        F.when(~up, F.when((F.col("_dots") == 0) & F.col("_module").isNotNull(), "absolute").otherwise("external"))
+        .when((F.col("_dots") == 0) | (F.col("_left") < 0), "qualified")
+        .when(bare, F.when(F.col("_member").isNotNull(), "member").otherwise("package"))
+        .when(F.col("_module").isNotNull(), "module")
+        .otherwise("qualified")
+    )
+    form = (
+        F.when(language == "python", python)
+        .when(~up, "external")
+        .when((language == "typescript") & F.startswith(module, F.lit("/")), "rooted")
+        .when((language == "typescript") & is_specifier, "script")
+        .when((language == "go") & is_specifier, "directory")
+        .when((language == "cpp") & ~paths.is_absolute(module), "include")
+        .otherwise("qualified")
     )
-    path = (
-        F.when(absolute_module, F.col("_module"))
-        .when(relative_module, paths.append_path(base, F.col("_module")))
-        .when(package_import, F.coalesce(paths.append_path(base, single), F.lit("")))
-        .when(script | include, joined)
+    base = F.expr("substring_index(_directory, '/', greatest(_left, 0))")
+    target = (
+        F.when(F.col("_form") == "absolute", F.col("_module"))
+        .when(F.col("_form") == "module", paths.append_path(F.col("_base"), F.col("_module")))
+        .when(F.col("_form") == "member", paths.append_path(F.col("_base"), F.col("_member")))
+        .when(F.col("_form").isin("script", "directory", "include"), paths.join_path(F.col("_directory"), module))
     )
-    package = F.when(package_import, base).when(family.isNotNull(), "")
+    staged = staged.withColumns({"_form": form, "_base": base}).withColumn("_target", target)
+    # A relative path that leaves the repository has no target.
+    form = F.when(F.col("_form").isin("script", "directory", "include") & F.col("_target").isNull(), "qualified").otherwise(F.col("_form"))
+    staged = staged.withColumn("_form", form)
+    form = F.col("_form")
+    # Never null: a nullable key would make Spark push its null check, with all stages inlined, to the scan.
+    looked_up = form.isin("module", "member", "package", "script", "include")
+    family = F.when(form == "absolute", "module").when(looked_up, form).otherwise("none")
     otherwise = (
-        F.when(~up, external)
-        .when(relative_module, unresolved(paths.append_path(base, F.col("_module"))))
-        .when(package_import, unresolved(F.coalesce(paths.append_path(base, single), base)))
-        .when(rooted_script, unresolved(module))
-        .when(script | include | ((language == "go") & specifier), unresolved(joined))
-        .otherwise(qualified)
+        F.when(form.isin("external", "absolute"), F.concat(F.lit(EXTERNAL), module))
+        .when(form == "rooted", F.concat(F.lit(UNRESOLVED), module))
+        .when(form == "package", F.concat(F.lit(UNRESOLVED), F.col("_base")))
+        .when(form == "qualified", F.concat(F.lit(UNRESOLVED), F.col("_key"), F.lit("#"), module))
+        .otherwise(F.concat(F.lit(UNRESOLVED), F.col("_target")))
     )
     blank = F.raise_error(F.concat(F.lit("blank import target in "), F.col("relative_path"))).cast("string")
     return staged.select(
         *edges.columns,
-        family.alias("family"),
-        path.alias("path"),
-        package.alias("package"),
+        F.coalesce(family, F.lit("none")).alias("family"),
+        F.when((form == "absolute") | looked_up, F.coalesce("_target", F.lit(""))).otherwise("").alias("path"),
+        F.when(form.isin("member", "package"), F.coalesce("_base", F.lit(""))).otherwise("").alias("package"),
         F.when(is_blank(module), blank).otherwise(otherwise).alias("otherwise"),
     )
 
@@ -140,7 +129,7 @@ def _candidates() -> Column:
         .when(F.col("family") == "member", F.concat(named(PYTHON_MODULE, path), named(PYTHON_PACKAGE, package)))
         .when(F.col("family") == "package", named(PYTHON_PACKAGE, package))
         .when(F.col("family") == "script", named(TYPESCRIPT, path))
-        .otherwise(F.array(path))
+        .when(F.col("family") == "include", F.array(path))
     )
     return F.transform(names, lambda name: F.regexp_replace(name, "\\A/+", ""))
 
@@ -154,13 +143,13 @@ def resolve_imports(edges: DataFrame, files: DataFrame, *scope: str, hot_rows: i
     """
     wanted = _with_request(edges)
     keys = [*scope, *REQUEST]
-    requests = wanted.where("family is not null").groupBy(*keys).agg(F.count("*").alias("rows"))
+    requests = wanted.groupBy(*keys).agg(F.count("*").alias("rows"))
     index = files.select(*scope, paths.normalize("relative_path").alias("file_key"), F.col("relative_path").alias("found"))
     answers = (
-        requests.select(*keys, F.posexplode(_candidates()).alias("position", "file_key"))
+        requests.select(*keys, "rows", F.posexplode(_candidates()).alias("position", "file_key"))
         .join(index, [*scope, "file_key"])
         .groupBy(*keys)
-        .agg(F.min_by("found", "position").alias("found"))
+        .agg(F.min_by("found", "position").alias("found"), F.max("rows").alias("rows"))
     )
     joined = spread_join(
         wanted, answers, keys, ["relative_path", "line_number", "target_module"], counts=requests, hot_rows=hot_rows

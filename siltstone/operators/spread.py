@@ -27,16 +27,20 @@ def spread_join(
     """Left join ``facts`` to ``lookup`` (unique on ``keys``), splitting hot keys over many tasks.
 
     Rows of a hot key, and rows without a key, are dealt out by a hash of ``spread_by``; the one lookup row
-    of a hot key is repeated per split. ``counts`` (keys and ``rows``) may be passed when it is known already.
+    of a hot key is repeated per split. ``counts`` (keys and ``rows``) may be passed when it is known already,
+    and a ``rows`` column in ``lookup`` saves looking its keys up among the hot ones.
     """
     keyed = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
     if counts is None:
         counts = facts.where(keyed).groupBy(*keys).agg(F.count("*").alias("rows"))
+    splits = F.when(
+        F.col("rows") > hot_rows, F.least(F.ceil(F.col("rows") / hot_rows), F.lit(MAX_SPLITS)).cast("int")
+    ).alias("_splits")
     hot = (
         counts.where(F.col("rows") > hot_rows)
         .orderBy(F.desc("rows"), *keys)
         .limit(MAX_HOT_KEYS)
-        .select(*keys, F.least(F.ceil(F.col("rows") / hot_rows), F.lit(MAX_SPLITS)).cast("int").alias("_splits"))
+        .select(*keys, splits)
     )
     dealt = F.xxhash64(*spread_by)
     salt = (
@@ -46,11 +50,13 @@ def spread_join(
         .cast("int")
     )
     left = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_splits")
-    right = (
-        lookup.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)))
-        .drop("_splits")
-    )
+    if "rows" in lookup.columns:
+        repeated = lookup.withColumn("_splits", splits).drop("rows")
+    else:
+        repeated = lookup.join(F.broadcast(hot), keys, "left")
+    right = repeated.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1))
+    ).drop("_splits")
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 
 
