@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _canonical(text: str | None) -> str | None:
@@ -28,8 +29,8 @@ def _checksum_batch(texts: pa.Array) -> pa.Array:
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_canonical_udf = F.arrow_udf(_canonical_batch, "string")
-_checksum_udf = F.arrow_udf(_checksum_batch, "string")
+_canonical_udf = F.arrow_udf(_canonical_batch, StringType())
+_checksum_udf = F.arrow_udf(_checksum_batch, StringType())
 
 
 def canonical_json(document: Column) -> Column:
