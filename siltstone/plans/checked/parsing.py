@@ -15,6 +15,7 @@ from siltstone.operators import analyze, extract
 from siltstone.operators.parse import parse_files
 from siltstone.plans.checked import query, table
 from siltstone.plans.checked.files import _rounded, document_files
+from siltstone.session import spread_rows
 
 # What a marker like @k@ stands for, as SQL that Spark and DuckDB both read.
 MARKERS = {
@@ -341,7 +342,8 @@ def source_files(spark: SparkSession, folder: str, language: str, *columns: str)
     if language == "python":
         content = f"concat({content}, if({BROKEN}, concat(chr(10), 'def broken(:'), ''))"
     directory = "concat(if(p_size % 4 = 0, 'tests/', 'lib/'), replace(p_brand, '#', ''))"
-    return table(spark, folder, "part").selectExpr(
+    # Dealing out the narrow part rows is cheap; the texts written from them are parsed where they land.
+    return spread_rows(table(spark, folder, "part"), "p_partkey").selectExpr(
         "p_partkey as file_id",
         *columns,
         f"concat({directory}, '/f', p_partkey, '{SUFFIX[language]}') as relative_path",
@@ -593,7 +595,7 @@ def code_tests(spark: SparkSession, folder: str) -> DataFrame:
 @query("document_parse")
 def document_parse(spark: SparkSession, folder: str) -> DataFrame:
     """The documents table parsed as if it were code, whole texts; prose has no SQL statement of its facts."""
-    parsed = parse_files(document_files(spark, folder, "doc_id", "text as content"))
+    parsed = parse_files(spread_rows(document_files(spark, folder, "doc_id", "text as content"), "doc_id"))
     return parsed.selectExpr(
         "doc_id", "succeeded", "language", "size(symbols) as symbol_count", "size(imports) as import_count", "metadata.line_count"
     )

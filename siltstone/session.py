@@ -61,3 +61,14 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the shared checkpoint folder and continue from the written copy."""
     checkpoint_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread_rows(frame: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Deal rows out to a fixed number of tasks before a step that is expensive per row.
+
+    With a given number of partitions adaptive execution does not merge them again; it would go by bytes, and a
+    few megabytes of file names may stand for terabytes of contents.
+    """
+    spark = frame.sparkSession
+    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return frame.repartition(count, *keys)

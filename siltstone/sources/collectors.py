@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import ValidationError
 from siltstone.functions.text import is_blank, strip_sql
+from siltstone.session import spread_rows
 
 # What a GitHub owner and repository name, and a GitLab path segment, may look like.
 GITHUB_OWNER = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?"
@@ -115,7 +116,7 @@ def collect_local(spark: SparkSession, source: str, max_depth: int = MAX_DEPTH)
         return spark.createDataFrame([(source, False, None, None, None, f"not a directory: '{root}'")], RESULT)
     frontier = spark.createDataFrame([(source, str(root.resolve()), 0, False)], _FOUND)
     for _ in range(max_depth + 1):
-        frontier = frontier.mapInPandas(_expand(max_depth), _FOUND).repartition("path")
+        frontier = spread_rows(frontier.mapInPandas(_expand(max_depth), _FOUND), "path")
     return frontier.where("found").select(
         "source",
         F.lit(True).alias("succeeded"),

@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import spread_rows
+
 _LISTED = "repository_id string, root string, path string, is_file boolean"
 # Levels listed one by one and dealt out to all tasks; what lies deeper is walked by the task that holds it.
 SPREAD_LEVELS = 3
@@ -72,18 +74,20 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["repository_id", "relative_path", "content"])
 
 
-def read_files(workspaces: DataFrame) -> DataFrame:
+def read_files(workspaces: DataFrame, partitions: int | None = None) -> DataFrame:
     """(repository_id, relative_path, content) of all text files below ``root``.
 
     Spark's own file reader skips names starting with ``_`` or ``.``, which would lose ``__init__.py``; so
     directories are listed by tasks. Paths are dealt out again before contents are read: a repository holding a
-    large share of all files is read by as many tasks as any other data.
+    large share of all files is read by as many tasks as any other data. ``partitions`` sets how many tasks share
+    the reading; the default follows the session's shuffle partitions.
     """
     listed = workspaces.selectExpr("repository_id", "root", "root as path", "false as is_file")
     for _ in range(SPREAD_LEVELS):
-        listed = listed.mapInPandas(_list(deep=False), _LISTED).repartition("path")
+        listed = spread_rows(listed.mapInPandas(_list(deep=False), _LISTED), "path", partitions=partitions)
     paths = listed.mapInPandas(_list(deep=True), _LISTED).select("repository_id", "root", "path")
-    return paths.repartition("path").mapInPandas(_read, "repository_id string, relative_path string, content string")
+    dealt = spread_rows(paths, "path", partitions=partitions)
+    return dealt.mapInPandas(_read, "repository_id string, relative_path string, content string")
 
 
 def walk_order(path: str = "relative_path") -> Column:
