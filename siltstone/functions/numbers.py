@@ -1,4 +1,4 @@
-"""Ratios, rates and vector arithmetic."""
+"""Ratios and rates."""
 
 from __future__ import annotations
 
@@ -31,20 +31,3 @@ def per_kloc(count: Column, lines: Column) -> Column:
     """Occurrences per thousand lines, 0.0 for an empty file."""
     rate = F.when(lines == 0, 0.0).otherwise(F.try_divide(count.cast("double"), lines.cast("double")) * 1000.0)
     return _checked((count >= 0) & (lines >= 0), rate, "per_kloc: negative input")
-
-
-
-
-def cosine_to(embedding: Column, query: list[float]) -> Column:
-    """Cosine of an embedding column and one fixed vector; null when either has no length."""
-    doubles = embedding.cast("array<double>")
-    fixed = F.array(*[F.lit(float(value)) for value in query])
-    dot = F.aggregate(F.zip_with(doubles, fixed, lambda a, b: a * b), F.lit(0.0), lambda total, value: total + value)
-    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda total, value: total + value * value))
-    length = sum(float(value) ** 2 for value in query) ** 0.5
-    return F.try_divide(dot, norm * F.lit(length))
-
-
-def similarity_score(cosine: Column) -> Column:
-    """Cosine moved from -1..1 to 0..1 and clamped there."""
-    return F.when(cosine.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1.0) / 2.0)))

@@ -36,7 +36,7 @@ TRANSITIONS = {
 
 def iso_text(moment: Column) -> Column:
     """UTC timestamp as ISO-8601 with offset; microseconds only when there are any."""
-    whole = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+    whole = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(moment), F.lit(1_000_000))
     fraction = F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise("")
     return F.concat(whole, fraction, F.lit("+00:00"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.errors import DimensionMismatchError, ValidationError
-from siltstone.functions.numbers import cosine_to, similarity_score
+from siltstone.functions.vectors import cosine_to, similarity_score
 from siltstone.operators.checks import require_empty
 
 # Default result sizes.
@@ -75,7 +75,11 @@ def search(
     if dimensions is not None and len(query) != dimensions:
         raise DimensionMismatchError("query and collection dimensions differ", expected=dimensions, actual=len(query))
     filtered = vectors if condition is None else vectors.where(condition)
-    scored = filtered.withColumn("score", similarity_score(cosine_to(F.col("embedding"), query)))
+    scored = (
+        filtered.withColumn("_cosine", cosine_to(F.col("embedding"), query))
+        .withColumn("score", similarity_score(F.col("_cosine")))
+        .drop("_cosine")
+    )
     return scored.where("score is not null").orderBy(F.desc("score"), "id").limit(limit)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.vectors import cosine_to, similarity_score
 from siltstone.operators import records, search, store
 from siltstone.plans.checked import query, table
 from siltstone.sources.collectors import collect_hosted
@@ -44,11 +45,12 @@ def vector_top_filtered(spark: SparkSession, folder: str) -> DataFrame:
 )
 def vector_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score of every vector, unranked."""
-    cosine = search.cosine_to(F.col("embedding"), _first_vector(spark, folder))
+    cosine = cosine_to(F.col("embedding"), _first_vector(spark, folder))
     return (
         _vectors(spark, folder)
-        .select("id", F.round(search.similarity_score(cosine), 6).alias("score"), F.size("embedding").cast("bigint").alias("dimensions"))
-        .where("score is not null")
+        .select("id", cosine.alias("cosine"), F.size("embedding").cast("bigint").alias("dimensions"))
+        .where("cosine is not null")
+        .select("id", F.round(similarity_score(F.col("cosine")), 6).alias("score"), "dimensions")
     )
 
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.functions import numbers, paths, text
+from siltstone.functions import numbers, paths, text, vectors
 
 SAMPLES = ["", "a", "a\n", "\n", "a\r\nb\r", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g", "\n\n", "a b c", " x ", "\x1c\x1d", "a\r\n"]
 
@@ -124,6 +124,10 @@ def test_bad_counts_fail_the_job(spark, build):
 
 
 def test_cosine(spark):
-    frame = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([-4.0, 3.0],)], "e array<float>")
-    out = [r[0] for r in frame.select(numbers.cosine_to(F.col("e"), [3.0, 4.0])).collect()]
-    assert math.isclose(out[0], 1.0) and out[1] is None and math.isclose(out[2], 0.0, abs_tol=1e-12)
+    values = [[3.0, 4.0], [0.0, 0.0], [-4.0, 3.0], None, [1.0], [None, 1.0], []]
+    frame = spark.createDataFrame([(value,) for value in values], "e array<float>").coalesce(1)
+    out = [r[0] for r in frame.select(vectors.cosine_to(F.col("e"), [3.0, 4.0])).collect()]
+    assert math.isclose(out[0], 1.0) and math.isclose(out[2], 0.0, abs_tol=1e-12)
+    assert [out[1], *out[3:]] == [None] * 5
+    scores = spark.range(1).select(*[vectors.similarity_score(F.lit(c)) for c in (1.0, -1.0, 0.5, 1.5)]).first()
+    assert tuple(scores) == (1.0, 0.0, 0.75, 1.0)

@@ -189,3 +189,21 @@ def test_every_rule_is_valid_sql(spark):
     for relation, rules in checks.RULES.items():
         for rule, condition in rules.items():
             spark._jsparkSession.sessionState().sqlParser().parseExpression(condition), (relation, rule)
+
+
+def test_lookups_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([("1", "r", 1), ("2", "r", 2)], "id string, repository_id string, v int").write.parquet(path)
+    table = spark.read.parquet(path)
+    plan = store.list_by(table, "repository_id", "r").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(repository_id,r)" in plan and "v#" not in plan
+
+
+def test_iso_text_is_utc_in_any_session_zone(spark):
+    moment = spark.range(1).select(F.expr("timestamp '2026-01-01 12:00:00 UTC'").alias("m"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert moment.select(records.iso_text(F.col("m"))).first()[0] == "2026-01-01T12:00:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
