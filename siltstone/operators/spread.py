@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import cut_lineage
+from siltstone.session import cut_lineage, task_count
 
 # A key with more rows than this is split. At most MAX_HOT_KEYS keys are treated, which bounds the broadcast
 # list; any further key holds less than 1/MAX_HOT_KEYS of the rows, which one task can take.
@@ -67,7 +67,7 @@ def distributed_rank(frame: DataFrame, order: list[Column], name: str = "rank")
     written to the checkpoint folder, numbered inside their range, and shifted by the sizes of the ranges
     before it. Only one count per range is gathered.
     """
-    ranges = max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranges = task_count(frame.sparkSession)
     written = cut_lineage(
         frame.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     )

@@ -63,15 +63,20 @@ def clone_repositories(client: GitClient, workspaces: Workspaces, branch: str |
     return repositories.sparkSession.createDataFrame(rows, "repository_id string, root string")
 
 
-def analysis_steps(client: GitClient, workspaces: Workspaces, branch: str | None = None) -> list[Step]:
-    """The twelve steps from repositories to the package tree."""
+def analysis_steps(
+    client: GitClient, workspaces: Workspaces, branch: str | None = None, parsed_path: str | None = None
+) -> list[Step]:
+    """The twelve steps from repositories to the package tree.
+
+    ``parsed_path`` names a shared folder for the parse results; without it they are kept by the executors.
+    """
     scope = ("repository_id",)
     parsed = ("successful_parse_results",)
     return [
         Step("require_single_repository", require_single_repository, ("repositories",), "repositories"),
         Step("clone_repositories", partial(clone_repositories, client, workspaces, branch), ("repositories",), "workspaces"),
         Step("enumerate_files", read_files, ("workspaces",), "files_to_parse"),
-        Step("parse_files", _parse_once, ("files_to_parse",), "parse_results"),
+        Step("parse_files", partial(_parse_once, parsed_path), ("files_to_parse",), "parse_results"),
         Step("select_successful_parse_results", successful, ("parse_results",), "successful_parse_results"),
         Step("extract_imports", extract.import_edges, parsed, "import_results"),
         Step("extract_ast", extract.ast_counts, parsed, "ast_results"),
@@ -83,9 +88,17 @@ def analysis_steps(client: GitClient, workspaces: Workspaces, branch: str | None
     ]
 
 
-def _parse_once(files: DataFrame) -> DataFrame:
-    """Parse and keep the result: six extractions read it. Lost blocks are computed again by Spark."""
-    return parse_files(files).persist(StorageLevel.MEMORY_AND_DISK)
+def _parse_once(parsed_path: str | None, files: DataFrame) -> DataFrame:
+    """Parse and keep the result, since six extractions read it.
+
+    Written results survive lost executors and let each extraction read only its own columns; kept ones are for
+    small runs, where Spark computes a lost block again.
+    """
+    parsed = parse_files(files)
+    if parsed_path is None:
+        return parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    parsed.write.mode("overwrite").parquet(parsed_path)
+    return files.sparkSession.read.schema(parsed.schema).parquet(parsed_path)
 
 
 def _package_tree(scope: tuple[str, ...], units: DataFrame) -> dict[str, DataFrame]:
@@ -111,7 +124,7 @@ def run_analysis(spark: SparkSession, config: AppConfig, source: str, extra_step
             ("repositories",),
             "persisted_repository_ids",
         ),
-        *analysis_steps(client, Workspaces(root), config.get("git.branch")),
+        *analysis_steps(client, Workspaces(root), config.get("git.branch"), config.get("storage.parsed_path")),
         *extra_steps,
     ]
     return run_steps("analysis", steps, Context({"source": source}))

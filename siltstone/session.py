@@ -63,12 +63,21 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks to share a step among: the session's shuffle partitions or all cores, whichever is more.
+
+    On a local master more tasks than threads would only add start-up time.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local"):
+        return cores
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+
+
 def spread_rows(frame: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
     """Deal rows out to a fixed number of tasks before a step that is expensive per row.
 
     With a given number of partitions adaptive execution does not merge them again; it would go by bytes, and a
     few megabytes of file names may stand for terabytes of contents.
     """
-    spark = frame.sparkSession
-    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return frame.repartition(count, *keys)
+    return frame.repartition(partitions or task_count(frame.sparkSession), *keys)

@@ -80,7 +80,7 @@ def read_files(workspaces: DataFrame, partitions: int | None = None) -> DataFram
     Spark's own file reader skips names starting with ``_`` or ``.``, which would lose ``__init__.py``; so
     directories are listed by tasks. Paths are dealt out again before contents are read: a repository holding a
     large share of all files is read by as many tasks as any other data. ``partitions`` sets how many tasks share
-    the reading; the default follows the session's shuffle partitions.
+    the reading; the default follows the session (``task_count``).
     """
     listed = workspaces.selectExpr("repository_id", "root", "root as path", "false as is_file")
     for _ in range(SPREAD_LEVELS):

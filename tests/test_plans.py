@@ -147,7 +147,10 @@ def test_repository_guards(spark, tmp_path):
 
 
 def test_whole_analysis(spark, repository, tmp_path):
-    config = AppConfig(raw={"workspace": {"root": str(tmp_path / "work")}, "collector": {"provider": "filesystem"}})
+    storage = {"path": str(tmp_path / "tables"), "parsed_path": str(tmp_path / "parsed")}
+    config = AppConfig(
+        raw={"workspace": {"root": str(tmp_path / "work")}, "collector": {"provider": "filesystem"}, "storage": storage}
+    )
     extra = Step("assess_quality", quality, ("successful_parse_results",), "quality_results")
     result = run_analysis(spark, config, str(repository), (extra,))
     assert len(result.steps) == 16
