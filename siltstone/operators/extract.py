@@ -68,13 +68,15 @@ INTERFACES_SQL = "concat({}, {}, {})".format(
 
 _CANDIDATE = (
     "named_struct('name', {row}.name, 'kind', '{kind}', "
-    "'is_public', array_contains(transform(exports, e -> e.name), {row}.name), "
+    "'is_public', array_contains(public, {row}.name), "
     "'has_docstring', {row}.docstring is not null, 'signals', cast(array() as array<string>), "
     "'line_number', {row}.line_number)"
 )
-CANDIDATES_SQL = "concat(transform(classes, c -> {}), transform(functions, f -> {}))".format(
-    _CANDIDATE.format(row="c", kind="class"), _CANDIDATE.format(row="f", kind="function")
-)
+# ``public`` is bound once per file; the exported names are not listed again for every candidate.
+CANDIDATES_SQL = (
+    "element_at(transform(array(transform(exports, e -> e.name)), public -> "
+    "concat(transform(classes, c -> {}), transform(functions, f -> {}))), 1)"
+).format(_CANDIDATE.format(row="c", kind="class"), _CANDIDATE.format(row="f", kind="function"))
 
 
 class PatternRule(NamedTuple):

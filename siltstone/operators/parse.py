@@ -58,11 +58,18 @@ def _within(at: str, spans: str) -> str:
     return f"exists({spans}, s -> s.body_start <= {at} and {at} < s.body_end)"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` computed once per row and bound to ``name``, however often the body uses it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _latest(rows: str) -> str:
-    """One row per name: first position, last occurrence."""
-    names = f"array_distinct(transform({rows}, e -> e.name))"
-    folded = f"transform({names}, n -> element_at(filter({rows}, e -> e.name = n), -1))"
-    return f"if(size({names}) = size({rows}), {rows}, {folded})"
+    """One row per name: first position, last occurrence. Sorting keeps it n log n for generated files."""
+    sorted_rows = f"array_sort(transform({rows}, (e, i) -> named_struct('name', e.name, 'at', i, 'row', e)))"
+    firsts = "filter(sr, (x, i) -> i = 0 or sr[greatest(i - 1, 0)].name <> x.name)"
+    lasts = "filter(sr, (x, i) -> i = size(sr) - 1 or sr[least(i + 1, size(sr) - 1)].name <> x.name)"
+    kept = f"array_sort(zip_with({firsts}, {lasts}, (x, z) -> named_struct('at', x.at, 'row', z.row)))"
+    return f"transform({_let(sorted_rows, 'sr', kept)}, y -> y.row)"
 
 
 def _function(mark: str, is_method: str) -> str:
@@ -150,12 +157,13 @@ def _imports() -> str:
     python = _import("m.name", "m.items", "m.first", "m.depth > 0", "m.line")
     go = _import("m.name", NO_STRINGS, "if(m.first in ('_', '.'), null, m.first)", "startswith(m.name, '.')", "m.line")
     cpp = _import("coalesce(m.second, m.first)", NO_STRINGS, "null", "m.second is not null", "m.line")
-    outside = f"m -> m.depth = 1 or not {_within('m.start', _of('import_block'))}"
+    outside = f"m -> m.depth = 1 or not {_within('m.start', 'ib')}"
+    go_marks = _let(_of("import_block"), "ib", f"filter({_of('import')}, {outside})")
     return _per_language(
         IMPORT,
         python=f"transform({_of('import')}, m -> {python})",
         rust=_rust_imports(),
-        go=f"transform(filter({_of('import')}, {outside}), m -> {go})",
+        go=f"transform({go_marks}, m -> {go})",
         typescript=_typescript_imports(),
         cpp=f"transform({_of('import')}, m -> {cpp})",
     )
@@ -166,7 +174,7 @@ def _methods() -> str:
 
     A Rust method belongs to the smallest impl block around it, a Go method to its receiver.
     """
-    around = f"filter({_of('impl')}, b -> b.body_start <= m.start and m.start < b.body_end)"
+    around = "filter(il, b -> b.body_start <= m.start and m.start < b.body_end)"
     smallest = (
         f"array_min(transform({around}, b -> named_struct('length', b.body_end - b.body_start, "
         "'at', b.body_start, 'name', b.name))).name"
@@ -177,10 +185,11 @@ def _methods() -> str:
         f"when 'go' then filter({_of('function')}, m -> m.first is not null) "
         f"else filter({_of('method')}, m -> m.depth = 0) end"
     )
-    return (
+    rows = (
         f"transform({chosen}, m -> named_struct('owner', m.owner, 'owner_name', {owner_name}, "
         f"'record', {_function('m', 'true')}))"
     )
+    return _let(_of("impl"), "il", rows)
 
 
 # The arrow must come before the statement or the line ends.
@@ -203,20 +212,18 @@ def _function_marks() -> str:
 
 def _values(kind: str) -> str:
     """Constants or variables: Go block entries before singles; TypeScript without arrow functions."""
-    go = f"m -> if(m.depth = 1, m.name <> '_', not {_within('m.start', _of('value_block'))})"
+    go = f"filter({_of(kind)}, m -> if(m.depth = 1, m.name <> '_', not {_within('m.start', 'vb')}))"
     arrows = f"transform(filter({_of('arrow')}, m -> {_IS_ARROW}), m -> m.name)"
+    typescript = f"filter({_of(kind)}, m -> not array_contains(an, m.name))"
     return (
-        f"case _language when 'go' then filter({_of(kind)}, {go}) "
-        f"when 'typescript' then filter({_of(kind)}, m -> not array_contains({arrows}, m.name)) "
-        f"else {_of(kind)} end"
+        f"case _language when 'go' then {_let(_of('value_block'), 'vb', go)} "
+        f"when 'typescript' then {_let(arrows, 'an', typescript)} else {_of(kind)} end"
     )
 
 
 def _classes() -> str:
     """Class records; methods are attached by enclosing mark, by impl block or by receiver."""
-    rust_bases = (
-        f"transform(filter({_of('impl')}, b -> b.name = c.name and b.first is not null), b -> b.first)"
-    )
+    rust_bases = "transform(filter(il, b -> b.name = c.name and b.first is not null), b -> b.first)"
     typescript_bases = (
         f"concat(if(c.first is null, {NO_STRINGS}, array(c.first)), "
         f"if(c.second is null, {NO_STRINGS}, {split_top_level_sql('c.second')}))"
@@ -236,13 +243,14 @@ def _classes() -> str:
         "'docstring', c.doc, 'line_number', c.line)"
     )
     marks = f"if(_language = 'go', {_latest(_of('class'))}, {_of('class')})"
-    return f"cast(transform({marks}, (c, i) -> {record}) as array<{CLASS}>)"
+    rows = _let(_of("impl"), "il", f"transform({marks}, (c, i) -> {record})")
+    return f"cast({rows} as array<{CLASS}>)"
 
 
 def _go_aliases() -> str:
     """Type declarations that are not also structs or interfaces of the same text."""
     taken = f"transform({_of('class', 'interface')}, m -> m.name)"
-    return f"filter({_of('alias')}, m -> not array_contains({taken}, m.name))"
+    return _let(taken, "tk", f"filter({_of('alias')}, m -> not array_contains(tk, m.name))")
 
 
 def _exports() -> str:

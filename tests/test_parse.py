@@ -153,3 +153,24 @@ def test_filter_on_outcome_does_not_run_the_helper_twice(spark):
     files = spark.createDataFrame([("a.py", "x = 1")], "relative_path string, content string")
     plan = parse_files(files).where("succeeded")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_large_generated_files_stay_cheap(spark):
+    """Tens of thousands of declarations in one file, with repeated names, in a few seconds."""
+    import time
+
+    count = 20_000
+    sources = [
+        ("big.ts", "".join(f"export const c{i % (count - 5)} = {i};\n" for i in range(count))),
+        ("big.rs", "struct S;\nimpl S {\n" + "".join(f"    pub fn f{i}() {{}}\n" for i in range(4000)) + "}\n"),
+        ("big.go", "package p\nconst (\n" + "".join(f"  C{i % (count - 5)} = {i}\n" for i in range(count)) + ")\n"),
+    ]
+    files = spark.createDataFrame(sources, "relative_path string, content string").repartition(3)
+    started = time.time()
+    rows = {row.relative_path: row for row in parse_files(files).collect()}
+    assert time.time() - started < 60
+    names_seen = [s.name for s in rows["big.ts"].symbols]
+    assert len(names_seen) == count - 5 and names_seen[0] == "c0" and rows["big.ts"].symbols[0].line_number == count - 4
+    assert len(rows["big.ts"].exports) == count - 5
+    assert len(rows["big.rs"].classes[0].methods) == 4000
+    assert len([s for s in rows["big.go"].symbols if s.kind == "constant"]) == count - 5
