@@ -174,3 +174,13 @@ def test_large_generated_files_stay_cheap(spark):
     assert len(rows["big.ts"].exports) == count - 5
     assert len(rows["big.rs"].classes[0].methods) == 4000
     assert len([s for s in rows["big.go"].symbols if s.kind == "constant"]) == count - 5
+
+
+def test_extraction_refuses_failed_files_when_asked(spark):
+    from siltstone.operators.extract import import_edges, require_parsed
+
+    files = spark.createDataFrame([("a.py", "import os"), ("b.py", "def (")], "relative_path string, content string")
+    parsed = parse_files(files)
+    assert import_edges(parsed).count() == 1
+    with pytest.raises(Exception, match="not parsed: b.py"):
+        import_edges(require_parsed(parsed)).collect()
