@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.errors import IntegrityError, ValidationError
 from siltstone.functions import paths
 from siltstone.functions.text import is_blank
-from siltstone.operators.checks import require_empty, require_found
+from siltstone.operators.checks import require_found
 from siltstone.operators.spread import HOT_ROWS, spread_join
 
 # Identifier prefixes of targets that are not files.
@@ -184,9 +184,10 @@ def dependency_nodes(resolved: DataFrame, files: DataFrame, *scope: str) -> Data
 
 def build_graph(edges: DataFrame, files: DataFrame, *scope: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the import graph after checking the files."""
-    problems = file_problems(files, *scope)
-    require_empty(problems.where("problem = 'same path twice'"), "duplicate files", IntegrityError)
-    require_empty(problems.where("problem <> 'same path twice'"), "unusable file paths", ValidationError)
+    example = file_problems(files, *scope).limit(1).collect()
+    if example:
+        twice = example[0].problem == "same path twice"
+        raise (IntegrityError if twice else ValidationError)(f"unusable file: {example[0].asDict()}")
     resolved = resolve_imports(edges, files, *scope)
     return dependency_nodes(resolved, files, *scope), resolved.drop("target_kind")
 
