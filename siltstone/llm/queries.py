@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import language, secrets
+from siltstone.llm import decontamination, language, mixing, secrets
 from siltstone.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    )
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_documents(read_table(spark, folder, "documents"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_language(read_table(spark, folder, "documents"))
 
@@ -21,8 +31,10 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
+    "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE}
