@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, language, mixing, secrets
+from siltstone.llm import decontamination, language, mixing, pages, pivots, secrets, tokens
 from siltstone.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,15 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_vectors(read_table(spark, folder, "embeddings"))
+
+
+def op4_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    settings = tokens.Settings(tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.token_digests(read_table(spark, folder, "documents"), settings)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, folder, "documents"))
 
@@ -30,11 +40,18 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, folder, "documents"))
 
 
+def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract_pages(read_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
+    "op3_pivots": op3_pivots,
+    "op4_tokens": op4_tokens,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
+    "op10_pages": op10_pages,
 }
 
 ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE}
