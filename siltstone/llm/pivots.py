@@ -35,6 +35,7 @@ class Settings:
     fewest: int = 16
     most_pivots: int = 16_384
     block: int = 1024
+    apart: float = 0.8  # highest cosine of two pivots
 
 
 def entries_of(vectors: DataFrame) -> DataFrame:
@@ -51,6 +52,22 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def spread_pivots(rows: np.ndarray, apart: float) -> np.ndarray:
+    """Rows in order, without those too near to an earlier one.
+
+    A dense group of vectors would otherwise hold many pivots, and the order of pivots that hardly differ is chance.
+    """
+    rows = rows.astype(np.float32)
+    kept = np.zeros(len(rows), bool)
+    for low in range(0, len(rows), 512):
+        part = rows[low : low + 512]
+        far = (part @ rows[:low][kept[:low]].T < apart).all(axis=1)
+        inner = part @ part.T >= apart
+        for at in range(len(part)):
+            kept[low + at] = far[at] and not (inner[at, :at] & kept[low : low + at]).any()
+    return rows[kept]
+
+
 def list_entries(entries: DataFrame, settings: Settings) -> DataFrame:
     """One row per entry and pivot of its description: the inverted lists."""
     spark = entries.sparkSession
@@ -60,7 +77,7 @@ def list_entries(entries: DataFrame, settings: Settings) -> DataFrame:
     by_size: dict[int, np.ndarray] = {}
     for size in {len(row[0]) for row in drawn}:
         rows = np.array([row[0] for row in drawn if len(row[0]) == size], np.float64)
-        by_size[size] = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+        by_size[size] = spread_pivots(rows / np.linalg.norm(rows, axis=1, keepdims=True), settings.apart)
     pivots = spark.sparkContext.broadcast(by_size)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
