@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, language, mixing, pages, pivots, secrets, tokens
+from siltstone.llm import decontamination, language, mixing, pages, pivots, secrets, tokens, toxicity
 from siltstone.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
@@ -45,6 +49,7 @@ def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_pivots": op3_pivots,
     "op4_tokens": op4_tokens,

@@ -11,7 +11,8 @@ Params = dict[str, np.ndarray]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-x))
 
 
 def tanh(x: np.ndarray) -> np.ndarray:

@@ -67,6 +67,7 @@ class Settings:
     slight: float = 9.0  # a G statistic below this counts as none
     word_dropout: float = 0.3
     cut: float = 0.7
+    remembered: int = 250_000
     seed: int = 5
 
 
@@ -159,23 +160,38 @@ def score_windows(words: np.ndarray, vectors: np.ndarray, start: np.ndarray, end
     return logits + model.shift
 
 
+class Scorer:
+    """Scores texts, remembering the inputs of up to ``settings.remembered`` words."""
+
+    def __init__(self, model: Model, settings: Settings):
+        self.model, self.settings = model, settings
+        self.known: dict[str, int] = {}
+        self.vectors = np.zeros((0, 2 * settings.char_hidden + settings.word_size + 1), np.float32)
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Logit of the worst window of each text (a low one where there is none), and its number of windows."""
+        if len(self.known) > self.settings.remembered:
+            self.known, self.vectors = {}, self.vectors[:0]
+        known, before = self.known, len(self.known)
+        sequence: list[int] = []
+        bounds = [0]
+        for text in texts:
+            sequence += [known.setdefault(w, len(known)) for w in pieces_of(text or "", self.settings.spelling)]
+            bounds.append(len(sequence))
+        start, end, owner = windows_of(np.array(bounds), self.settings)
+        worst = np.full(len(texts), -30.0)
+        if len(start):
+            if len(known) > before:
+                new = word_vectors(list(known)[before:], self.model, self.settings)
+                self.vectors = np.concatenate([self.vectors, new])
+            used, words = np.unique(np.array(sequence), return_inverse=True)
+            logits = score_windows(words, self.vectors[used], start, end, self.model, self.settings)
+            np.maximum.at(worst, owner, logits)
+        return worst, np.bincount(owner, minlength=len(texts))
+
+
 def score_texts(texts: list[str | None], model: Model, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Logit of the worst window of each text (the smallest logit where there is none), and its number of windows."""
-    known: dict[str, int] = {}
-    sequence: list[int] = []
-    bounds = [0]
-    for text in texts:
-        sequence += [known.setdefault(w, len(known)) for w in pieces_of(text or "", settings.spelling)]
-        bounds.append(len(sequence))
-    start, end, owner = windows_of(np.array(bounds), settings)
-    worst = np.full(len(texts), -30.0)
-    count = np.bincount(owner, minlength=len(texts))
-    if len(start):
-        logits = score_windows(
-            np.array(sequence), word_vectors(list(known), model, settings), start, end, model, settings
-        )
-        np.maximum.at(worst, owner, logits)
-    return worst, count
+    return Scorer(model, settings).score(texts)
 
 
 def _loss_gradient(params: Params, codes, spelled, buckets, hints, dropped, rows, live, target, weight):
@@ -360,8 +376,9 @@ def score_documents(documents: DataFrame, labels: DataFrame, settings: Settings
     model = spark.sparkContext.broadcast(train(*labelled_sample(source, marks, settings), settings))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value, settings)
         for part in text_slices(batches):
-            logits, count = score_texts(part.column("text").to_pylist(), model.value, settings)
+            logits, count = scorer.score(part.column("text").to_pylist())
             scores = np.where(count > 0, sigmoid(logits.astype(np.float64)), 0.0)
             yield pa.RecordBatch.from_arrays(
                 [
