@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, language, mixing, pages, pivots, secrets, tokens, toxicity
+from siltstone.llm import decontamination, jaccard, language, mixing, pages, pivots, secrets, tokens, toxicity
 from siltstone.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_digests(read_table(spark, folder, "documents"), settings)
 
 
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.gram_groups(read_table(spark, folder, "documents"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_pivots": op3_pivots,
     "op4_tokens": op4_tokens,
+    "op5_jaccard": op5_jaccard,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,

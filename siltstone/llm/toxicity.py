@@ -53,7 +53,7 @@ class Settings:
     spelling: int = 16  # a longer word is read in pieces
     sample: tuple[int, int] = (600, 1800)
     calibration: int = 4
-    updates: int = 40  # fewest of a round
+    updates: int = 110  # fewest of a round
     sample_chars: int = 12_000
     characters: int = 64
     char_size: int = 8
