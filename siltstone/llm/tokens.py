@@ -35,6 +35,8 @@ BLOCKS = (
 # White space of the tokenizer's pattern; Python's split() also takes the four separators 1C to 1F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Marks that end a word; the pattern parts them from a letter before them.
+_MARKS = re.compile(r"(?<=[a-z])([,.;:!?]+)(?=[ \t\n\r]|\Z)")
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ class Settings:
     sample_chars: int = 4000
     block_bytes: int = 2_000_000
     level: int = 3
-    remembered: int = 200_000
+    remembered: int = 300_000
 
 
 @cache
@@ -62,9 +64,10 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of texts as little-endian bytes.
 
-    The vocabulary's pattern never joins characters across white space, so a text's ids are those of its white-space
-    separated parts in order; every distinct part is encoded once and remembered (up to ``remembered`` parts, then
-    forgotten all). A text that may hold a special token's own string is encoded whole.
+    The vocabulary's pattern never joins characters across white space, nor a letter and a mark, and its normalizer
+    lower-cases, so a text's ids are those of its parts in order, with A to Z lower-cased; every distinct part is encoded
+    once and remembered (up to ``remembered`` parts, then forgotten all). A text that may hold a special token's own
+    string is encoded whole.
     """
 
     def __init__(self, settings: Settings):
@@ -88,10 +91,12 @@ class Encoder:
         parts: set[str] = set()
         for text in texts:
             text = text or ""
-            if any(x in text for x in self.special):
+            plain = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            if any(x in plain for x in self.special):
                 cut.append(None)
                 continue
-            own = _SPACE.split(text) if any(x in text for x in _SEPARATORS) else text.split()
+            plain = _MARKS.sub(r" \1", plain)
+            own = _SPACE.split(plain) if any(x in plain for x in _SEPARATORS) else plain.split()
             cut.append(own)
             parts.update(own)
         self._learn(parts)
@@ -103,6 +108,12 @@ class Encoder:
         ]
 
 
+@cache
+def encoder_of(settings: Settings) -> Encoder:
+    """One encoder for all tasks of a worker process, so that what it remembers serves the next task."""
+    return Encoder(settings)
+
+
 def train_dictionary(documents: DataFrame, settings: Settings) -> bytes:
     """Dictionary from a sample: one document piece in each of ``sample_documents`` slots of the texts' hash."""
     slot = F.pmod(F.xxhash64("text"), F.lit(settings.sample_documents))
@@ -113,7 +124,7 @@ def train_dictionary(documents: DataFrame, settings: Settings) -> bytes:
         .orderBy("slot")
         .collect()
     )  # at most sample_documents pieces of sample_chars
-    samples = Encoder(settings).encode([row["piece"] for row in pieces])
+    samples = encoder_of(settings).encode([row["piece"] for row in pieces])
     try:
         return zstandard.train_dictionary(settings.dictionary_bytes, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their own bytes serve as content
@@ -144,7 +155,7 @@ def write_tokens(documents: DataFrame, settings: Settings) -> TokenFiles:
     shared = spark.sparkContext.broadcast(content)  # dictionary_bytes at most
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(settings)
+        encoder = encoder_of(settings)
         packer = zstandard.ZstdCompressor(level=settings.level, dict_data=_dictionary(shared.value))
         shard = TaskContext.get().partitionId()
         for block, part in enumerate(text_slices(batches, most_bytes=settings.block_bytes, most_rows=5000)):
