@@ -46,7 +46,7 @@ class Settings:
     percent: int = 75
     column_block: int = 1_000_000
     row_block: int = 400_000
-    stars: int = 2
+    stars: int = 1
 
 
 def needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -83,8 +83,7 @@ def set_keys(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def prefix_entries(documents: DataFrame, settings: Settings, blocks: int) -> DataFrame:
-    """Per document its set key and size (``kind`` 0); per task and column block (``kind`` 1) entries of columns; and
-    (``kind`` 2) rows that share a column within their task."""
+    """Per task and column block (``kind`` 1) entries of columns; and (``kind`` 2) rows that share a column in their task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -93,7 +92,6 @@ def prefix_entries(documents: DataFrame, settings: Settings, blocks: int) -> Dat
         for part in text_slices(batches):
             grams, ends = gram_sets(part.column("text"), settings.words)
             keys, sizes = set_keys(grams, ends), np.diff(ends)
-            yield _documents(part.column("doc_id"), keys, sizes)
             first = sizes - needed(sizes, settings.percent) + 1
             fresh = [i for i in np.flatnonzero(sizes) if keys[i] not in seen and not seen.add(keys[i])]
             if fresh:
@@ -106,12 +104,11 @@ def prefix_entries(documents: DataFrame, settings: Settings, blocks: int) -> Dat
             yield from _column_messages(columns, rows, blocks)
 
     return documents.mapInArrow(
-        scan, "kind int, doc_id bigint, set bigint, size bigint, block int, columns binary, rows binary"
+        scan, "kind int, block int, columns binary, rows binary"
     )
 
 
-_FIELDS = [("kind", pa.int32()), ("doc_id", pa.int64()), ("set", pa.int64()), ("size", pa.int64())]
-_FIELDS += [("block", pa.int32()), ("columns", pa.binary()), ("rows", pa.binary())]
+_FIELDS = [("kind", pa.int32()), ("block", pa.int32()), ("columns", pa.binary()), ("rows", pa.binary())]
 
 
 def _record(count: int, **given) -> pa.RecordBatch:
@@ -121,14 +118,28 @@ def _record(count: int, **given) -> pa.RecordBatch:
     )
 
 
-def _documents(ids: pa.Array, keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    return _record(len(keys), kind=np.zeros(len(keys), np.int32), doc_id=ids, set=keys, size=sizes)
+def document_sets(documents: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id``, the key of its set, and ``n_shingles``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            grams, ends = gram_sets(part.column("text"), settings.words)
+            columns = [part.column("doc_id"), pa.array(set_keys(grams, ends)), pa.array(np.diff(ends))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set", "n_shingles"])
+
+    return documents.mapInArrow(scan, "doc_id bigint, set bigint, n_shingles bigint")
 
 
 def _block_of(columns: np.ndarray, blocks: int) -> np.ndarray:
     return ((columns >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
+def _within(columns: np.ndarray) -> np.ndarray:
+    """What tells columns of one block apart: 32 bits, as a block's size is fixed. Two columns that agree are taken as
+    one, which can only let more rows through to the exact count."""
+    return mixed(columns).astype(np.uint32)
+
+
 def _column_messages(columns: list, rows: list, blocks: int) -> Iterator[pa.RecordBatch]:
     column, row = np.concatenate(columns), np.concatenate(rows)
     order = np.argsort(column, kind="stable")
@@ -136,7 +147,15 @@ def _column_messages(columns: list, rows: list, blocks: int) -> Iterator[pa.Reco
     new = np.append(True, column[1:] != column[:-1])
     many = ~new | np.append(~new[1:], False)
     shared = np.unique(row[many])
-    yield _record(len(shared), kind=np.full(len(shared), 2, np.int32), set=shared)
+    own = _block_of(mixed(shared.view(np.uint64)), blocks)
+    shared = shared[np.argsort(own, kind="stable")]
+    spots, counts = np.unique(own, return_counts=True)
+    yield _record(
+        len(spots),
+        kind=np.full(len(spots), 2, np.int32),
+        block=spots.astype(np.int32),
+        rows=[x.tobytes() for x in np.split(shared, np.cumsum(counts)[:-1])] if len(spots) else [],
+    )
     column, row = column[new], row[new]
     block = _block_of(column, blocks)
     cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -145,7 +164,7 @@ def _column_messages(columns: list, rows: list, blocks: int) -> Iterator[pa.Reco
         len(cuts),
         kind=np.ones(len(cuts), np.int32),
         block=block[cuts].astype(np.int32),
-        columns=[column[a:b].tobytes() for a, b in zip(cuts, ends)],
+        columns=[_within(column[a:b]).tobytes() for a, b in zip(cuts, ends)],
         rows=[row[a:b].tobytes() for a, b in zip(cuts, ends)],
     )
 
@@ -155,12 +174,15 @@ def _joined(parts: pd.Series, kind) -> np.ndarray:
 
 
 def meeting_rows(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one column block that share a column with another task's row."""
-    column, row = _joined(frame["columns"], np.uint64), _joined(frame["rows"], np.int64)
+    """Rows that share a column of one block with another task's row, and those known to share one."""
+    here = frame["kind"] == 2
+    known, frame = _joined(frame.loc[here, "rows"], np.int64), frame[~here]
+    column, row = _joined(frame["columns"], np.uint32), _joined(frame["rows"], np.int64)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     same = column[1:] == column[:-1]
-    return pd.DataFrame({"set": np.unique(row[np.append(same, False) | np.append(False, same)])})
+    met = row[np.append(same, False) | np.append(False, same)] if len(row) else row
+    return pd.DataFrame({"set": np.unique(np.concatenate([known, met]))})
 
 
 # Step 2: full rows, counted by column and cut to what can still link.
@@ -180,34 +202,35 @@ def reduced_columns(row_blocks: DataFrame, blocks: int) -> DataFrame:
                     {
                         "row_block": pa.array([part["row_block"]] * len(cuts), pa.int64()),
                         "block": pa.array(block[cuts].astype(np.int32)),
-                        "columns": pa.array([column[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                        "columns": pa.array([_within(column[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
                         "counts": pa.array([count[a:b].astype(np.int64).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
                     }
                 )
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        column, count = _joined(frame["columns"], np.uint64), _joined(frame["counts"], np.int64)
+        column, count = _joined(frame["columns"], np.uint32), _joined(frame["counts"], np.int64)
         unique, place = np.unique(column, return_inverse=True)
         total = np.bincount(place, count, len(unique)).astype(np.int64)[place]
         output, low = [], 0
-        for row_block, own in zip(frame["row_block"], frame["columns"]):
-            high = low + len(own) // 8
+        for row_block, block, own in zip(frame["row_block"], frame["block"], frame["columns"]):
+            high = low + len(own) // 4
             keep = total[low:high] > 1
-            output.append((row_block, column[low:high][keep].tobytes(), total[low:high][keep].tobytes()))
+            output.append((row_block, block, column[low:high][keep].tobytes(), total[low:high][keep].tobytes()))
             low = high
-        return pd.DataFrame(output, columns=["row_block", "columns", "counts"])
+        return pd.DataFrame(output, columns=["row_block", "block", "columns", "counts"])
 
     sent = row_blocks.select("row_block", "columns").mapInArrow(
         send, "row_block bigint, block int, columns binary, counts binary"
     )
-    return sent.groupBy("block").applyInPandas(add, "row_block bigint, columns binary, counts binary")
+    return sent.groupBy("block").applyInPandas(add, "row_block bigint, block int, columns binary, counts binary")
 
 
-def prefix_rows(settings: Settings):
+def prefix_rows(settings: Settings, blocks: int):
     """Function of one row block and its column counts: rows that can link, their columns and their first columns."""
 
     def cut(key: tuple, rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        known = _joined(counts["columns"], np.uint64)
+        held = counts["columns"].map(len).to_numpy(np.int64) // 4
+        known = np.repeat(counts["block"].to_numpy(np.uint64), held) << np.uint64(32) | _joined(counts["columns"], np.uint32)
         order = np.argsort(known)
         known, total = known[order], _joined(counts["counts"], np.int64)[order]
         output = []
@@ -215,8 +238,9 @@ def prefix_rows(settings: Settings):
             columns = np.frombuffer(part.columns, np.uint64)
             for key, low, high in zip(part.sets, np.append(0, part.ends[:-1]), part.ends):
                 own = columns[low:high]
-                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                met = known[at] == own if len(known) else np.zeros(len(own), bool)
+                name = _block_of(own, blocks).astype(np.uint64) << np.uint64(32) | _within(own)
+                at = np.minimum(np.searchsorted(known, name), max(0, len(known) - 1))
+                met = known[at] == name if len(known) else np.zeros(len(own), bool)
                 least = int(needed(np.array([len(own)]), settings.percent)[0])
                 if met.sum() < least:
                     continue
@@ -246,7 +270,8 @@ def _bounds(percent: int) -> Column:
 
 def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets whose overlap, counted in full, reaches the threshold."""
-    held = rows.select(F.col("set").alias("b"), F.col("grams").alias("b_grams"))
+    wanted = pairs.select(F.col("b").alias("set")).distinct()
+    held = rows.join(wanted, "set", "left_semi").select(F.col("set").alias("b"), F.col("grams").alias("b_grams"))
     both = pairs.join(rows.select(F.col("set").alias("a"), F.col("grams").alias("a_grams")), "a").join(held, "b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,21 +362,15 @@ def gram_groups(documents: DataFrame, settings: Settings = Settings()) -> DataFr
     tasks = task_count(spark)
     # About one n-gram in 6 bytes of text, and a quarter of them in a prefix.
     blocks = max(tasks, int(total / 24 / settings.column_block))
-    messages = write_shared(prefix_entries(source, settings, blocks), "columns")
-    sets = messages.where("kind = 0").select("doc_id", "set", F.col("size").alias("n_shingles"))
-    meeting = messages.where("kind = 1").select("block", "columns", "rows").groupBy("block").applyInPandas(
-        meeting_rows, "set bigint"
-    )
-    alive = meeting.unionByName(messages.where("kind = 2").select("set")).distinct()
+    sets = write_shared(document_sets(source, settings), "document-sets")
+    messages = prefix_entries(source, settings, blocks)
+    alive = messages.groupBy("block").applyInPandas(meeting_rows, "set bigint").distinct()
     # The text of one document of each remaining set.
     one_each = (
         sets.where("set <> 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(alive, "set")
     )
     remaining = cut_lineage(one_each.select("doc_id"))
-    row_blocks_wanted = max(tasks, int(total / 6 / settings.row_block))
-    texts = source.join(remaining, "doc_id", "left_semi").repartition(
-        row_blocks_wanted, F.xxhash64("doc_id")
-    )
+    texts = source.join(remaining, "doc_id", "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -380,8 +399,8 @@ def gram_groups(documents: DataFrame, settings: Settings = Settings()) -> DataFr
         row_blocks.groupBy("row_block")
         .cogroup(counts.groupBy("row_block"))
         .applyInPandas(
-            prefix_rows(settings), "set bigint, size bigint, grams binary, bits array<bigint>, prefix array<bigint>"
-        ).dropDuplicates(["set"]),
+            prefix_rows(settings, blocks), "set bigint, size bigint, grams binary, bits array<bigint>, prefix array<bigint>"
+        ),
         "rows",
     )
     links = cut_lineage(linked_sets(rows, settings))
