@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, jaccard, language, mixing, pages, pivots, secrets, tokens, toxicity
+from siltstone.llm import decontamination, jaccard, language, mixing, pages, personal, pivots, secrets, tokens, toxicity
 from siltstone.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, folder, "documents"))
 
 
+def op9_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.find_personal_data(read_table(spark, folder, "documents"))
+
+
 def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_pages(read_table(spark, folder, "pages"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
+    "op9_personal": op9_personal,
     "op10_pages": op10_pages,
 }
 
