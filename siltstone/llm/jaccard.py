@@ -47,6 +47,7 @@ class Settings:
     column_block: int = 1_000_000
     row_block: int = 400_000
     stars: int = 1
+    broadcast_ids: int = 1_000_000  # up to so many ids (some 24 MB) are sent to the texts; more are met by a shuffle
 
 
 def needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -370,7 +371,8 @@ def gram_groups(documents: DataFrame, settings: Settings = Settings()) -> DataFr
         sets.where("set <> 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(alive, "set")
     )
     remaining = cut_lineage(one_each.select("doc_id"))
-    texts = source.join(remaining, "doc_id", "left_semi")
+    few = remaining.count() <= settings.broadcast_ids
+    texts = source.join(F.broadcast(remaining) if few else remaining, "doc_id", "left_semi")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
