@@ -3,9 +3,9 @@
 A row of the incidence matrix is a distinct set of n-grams (documents with equal sets are one row), a column an n-gram.
 Only overlaps that can reach the bounds are accumulated, in three steps:
 
-1. Two sets that reach the threshold share one of the first n - ceil(t n) + 1 n-grams in any fixed order. Each map task
+1. Two sets that reach the threshold share k of their first n - ceil(t n) + k n-grams in any fixed order. Each map task
    looks through those columns for its own documents, and sends a column block one entry per column, however many of its
-   documents have it. Rows with a column to themselves everywhere are done.
+   documents have it. Rows that share fewer than k of these columns with any others are done.
 2. The full rows that remain are kept in row blocks. Column blocks add up how many rows have each column, again with one
    entry per row block and column. Columns of a single row go; a row that keeps fewer than ceil(t n) of its columns can
    reach no other and goes. Rows are then ordered from their rarest column on, where few rows meet.
@@ -46,6 +46,7 @@ class Settings:
     percent: int = 75
     column_block: int = 1_000_000
     row_block: int = 400_000
+    shared: int = 16  # k of the first step
     stars: int = 1
     broadcast_ids: int = 1_000_000  # up to so many ids (some 24 MB) are sent to the texts; more are met by a shuffle
 
@@ -93,7 +94,8 @@ def prefix_entries(documents: DataFrame, settings: Settings, blocks: int) -> Dat
         for part in text_slices(batches):
             grams, ends = gram_sets(part.column("text"), settings.words)
             keys, sizes = set_keys(grams, ends), np.diff(ends)
-            first = sizes - needed(sizes, settings.percent) + 1
+            least = needed(sizes, settings.percent)
+            first = sizes - least + np.minimum(settings.shared, least)
             fresh = [i for i in np.flatnonzero(sizes) if keys[i] not in seen and not seen.add(keys[i])]
             if fresh:
                 columns.append(np.concatenate([grams[ends[i] : ends[i] + first[i]] for i in fresh]))
@@ -147,14 +149,16 @@ def _column_messages(columns: list, rows: list, blocks: int) -> Iterator[pa.Reco
     column, row = column[order], row[order]
     new = np.append(True, column[1:] != column[:-1])
     many = ~new | np.append(~new[1:], False)
-    shared = np.unique(row[many])
+    shared, times = np.unique(row[many], return_counts=True)
     own = _block_of(mixed(shared.view(np.uint64)), blocks)
-    shared = shared[np.argsort(own, kind="stable")]
+    turn = np.argsort(own, kind="stable")
+    shared, times = shared[turn], times[turn].astype(np.uint32)
     spots, counts = np.unique(own, return_counts=True)
     yield _record(
         len(spots),
         kind=np.full(len(spots), 2, np.int32),
         block=spots.astype(np.int32),
+        columns=[x.tobytes() for x in np.split(times, np.cumsum(counts)[:-1])] if len(spots) else [],
         rows=[x.tobytes() for x in np.split(shared, np.cumsum(counts)[:-1])] if len(spots) else [],
     )
     column, row = column[new], row[new]
@@ -175,15 +179,18 @@ def _joined(parts: pd.Series, kind) -> np.ndarray:
 
 
 def meeting_rows(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows that share a column of one block with another task's row, and those known to share one."""
+    """Columns of one block that each row shares with another task's row, and those known to be shared within a task."""
     here = frame["kind"] == 2
-    known, frame = _joined(frame.loc[here, "rows"], np.int64), frame[~here]
+    known, times = _joined(frame.loc[here, "rows"], np.int64), _joined(frame.loc[here, "columns"], np.uint32)
+    frame = frame[~here]
     column, row = _joined(frame["columns"], np.uint32), _joined(frame["rows"], np.int64)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     same = column[1:] == column[:-1]
     met = row[np.append(same, False) | np.append(False, same)] if len(row) else row
-    return pd.DataFrame({"set": np.unique(np.concatenate([known, met]))})
+    rows, place = np.unique(np.concatenate([known, met]), return_inverse=True)
+    total = np.bincount(place, np.concatenate([times, np.ones(len(met), np.uint32)]), len(rows))
+    return pd.DataFrame({"set": rows, "met": total.astype(np.int64)})
 
 
 # Step 2: full rows, counted by column and cut to what can still link.
@@ -365,10 +372,17 @@ def gram_groups(documents: DataFrame, settings: Settings = Settings()) -> DataFr
     blocks = max(tasks, int(total / 24 / settings.column_block))
     sets = write_shared(document_sets(source, settings), "document-sets")
     messages = prefix_entries(source, settings, blocks)
-    alive = messages.groupBy("block").applyInPandas(meeting_rows, "set bigint").distinct()
+    met = messages.groupBy("block").applyInPandas(meeting_rows, "set bigint, met bigint")
+    alive = met.groupBy("set").agg(F.sum("met").alias("met"))
+    # A partner may be smaller and share fewer, but has at least the needed part of the size.
+    least = F.ceil(F.ceil(F.col("size") * settings.percent / 100) * settings.percent / 100)
     # The text of one document of each remaining set.
     one_each = (
-        sets.where("set <> 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(alive, "set")
+        sets.where("set <> 0 and doc_id is not null")
+        .groupBy("set")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
+        .join(alive, "set")
+        .where(F.col("met") >= F.least(F.lit(settings.shared), least))
     )
     remaining = cut_lineage(one_each.select("doc_id"))
     few = remaining.count() <= settings.broadcast_ids
