@@ -17,7 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def _kept(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is wanted; a null id stays, as nothing speaks against it."""
-    return docs.join(wanted.select("doc_id"), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select(*COLUMNS)
+    kept = wanted.select(F.col("doc_id").alias("wanted_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -61,14 +62,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     some = F.array_join(
         F.flatten(F.transform("ranges", lambda r: F.slice(F.col("words"), (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")))), " "
     )
+    parts = parts.toDF("part_id", "part_source", "tie", "pass", "taken", "size", "ranges")
     same = (
-        docs["doc_id"].eqNullSafe(parts["doc_id"])
-        & docs["source"].eqNullSafe(parts["source"])
-        & (F.xxhash64(docs["text"]) == parts["tie"])
+        F.col("doc_id").eqNullSafe(F.col("part_id"))
+        & F.col("source").eqNullSafe(F.col("part_source"))
+        & (F.xxhash64("text") == F.col("tie"))
     )
     return (
-        docs.join(parts, same)
-        .select(*(docs[c] for c in COLUMNS), "taken", "size", "ranges")
+        docs.select(*COLUMNS)
+        .join(parts, same)
         .withColumn("words", F.when(F.col("taken") < F.col("size"), words))
         .withColumn("text", F.when(F.col("taken") < F.col("size"), some).otherwise(F.col("text")))
         .withColumn("n_chars", F.length("text").cast("bigint"))
