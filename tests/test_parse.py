@@ -184,3 +184,14 @@ def test_extraction_refuses_failed_files_when_asked(spark):
     assert import_edges(parsed).count() == 1
     with pytest.raises(Exception, match="not parsed: b.py"):
         import_edges(require_parsed(parsed)).collect()
+
+
+def test_many_declarations_cost_in_proportion():
+    from siltstone.operators.marks import pattern_marks
+
+    functions = pattern_marks("cpp", "\n".join(f"int f{i}(int a) {{ return a; }}" for i in range(20_000)))
+    assert len(functions) == 20_000 and not any(mark.tail for mark in functions)
+    body = "\n".join(f"  m{i}(a: number): number {{ return a; }}" for i in range(20_000))
+    methods = pattern_marks("typescript", "class K {\n" + body + "\n}")
+    assert sum(mark.kind == "method" for mark in methods) == 20_000
+    assert {mark.depth for mark in methods if mark.kind == "method"} == {0}
