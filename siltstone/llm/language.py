@@ -26,10 +26,10 @@ SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 class Settings:
     """``sample_chars``: labelled text learned per language; ``piece``: of one document; ``block``: parsed at once."""
 
-    sample_chars: int = 60_000
-    piece: int = 600
+    sample_chars: int = 12_000
+    piece: int = 300
     block: int = 512
-    alphabet: int = 96
+    alphabet: int = 64
 
 
 @dataclass
