@@ -172,7 +172,7 @@ def identify_language(documents: DataFrame, settings: Settings = Settings()) ->
 
     One row per input row. ``und`` with score 0 for a null text, a text without a letter, and for all texts if no row
     carries a language to learn from. Ties go to the language first by code point. Whole texts are parsed, in blocks;
-    the model (one table of states by letters per language, a few MB each) has a size fixed by ``Settings``. Null
+    the model (one table of states by letters per language, up to 6 MB each) has a size fixed by ``Settings``. Null
     languages are not learned; a null doc_id falls in the fold of the empty text. Extra columns are not read.
     """
     spark: SparkSession = documents.sparkSession
