@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BLOCKS = (
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 # Marks that end a word; the pattern parts them from a letter before them.
-_MARKS = re.compile(r"(?<=[a-z])([,.;:!?]+)(?=[ \t\n\r]|\Z)")
+_MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([,.;:!?%&#*$@]+)(?=[ \t\n\r]|\Z)")
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class Settings:
     sample_chars: int = 4000
     block_bytes: int = 2_000_000
     level: int = 3
-    remembered: int = 300_000
+    remembered: int = 500_000
 
 
 @cache
@@ -66,8 +67,9 @@ class Encoder:
 
     The vocabulary's pattern never joins characters across white space, nor a letter and a mark, and its normalizer
     lower-cases, so a text's ids are those of its parts in order, with A to Z lower-cased; every distinct part is encoded
-    once and remembered (up to ``remembered`` parts, then forgotten all). A text that may hold a special token's own
-    string is encoded whole.
+    once and remembered. When ``remembered`` parts are known they become the older ones, of which those met again are
+    taken over; so at most twice as many are held, and frequent parts are never forgotten. A text that may hold a special
+    token's own string is encoded whole.
     """
 
     def __init__(self, settings: Settings):
@@ -75,15 +77,21 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remembered = settings.remembered
         self.end = np.array([settings.end], self.kind).tobytes()
 
     def _learn(self, parts: set[str]) -> None:
-        new = [x for x in parts if x not in self.known]
+        new = parts.difference(self.known)
         if len(self.known) + len(new) > self.remembered:
-            self.known, new = {}, list(parts)
-        for part, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[part] = np.array(coded.ids, self.kind).tobytes()
+            self.older, self.known, new = self.known, {}, parts
+        again = new.intersection(self.older)
+        self.known.update((x, self.older[x]) for x in again)
+        fresh = list(new.difference(again))
+        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in coded), self.kind).tobytes()
+        ends = (np.cumsum([len(x) for x in coded], dtype=np.int64) * self.kind.itemsize).tolist()
+        self.known.update((x, ids[low:high]) for x, low, high in zip(fresh, [0, *ends], ends))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id; a null text is empty."""
