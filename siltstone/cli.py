@@ -1,36 +1,26 @@
-"""Command line: ``spark-submit -m siltstone.cli --config FILE --analyze SOURCE``."""
+"""Command line: ``spark-submit --conf spark.siltstone.folder=SHARED siltstone/cli.py SOURCE``."""
 
 from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
-from siltstone.config import AppConfig, load_config
 from siltstone.errors import SiltstoneError
-from siltstone.plans.analysis import run_analysis
+from siltstone.plans.analysis import analyze_source
 from siltstone.session import build_session
 
 
-def build_parser() -> argparse.ArgumentParser:
-    parser = argparse.ArgumentParser(prog="siltstone", description="Analyse source repositories with Spark.")
-    parser.add_argument("--config", type=Path, help="YAML or JSON settings")
-    parser.add_argument("--analyze", metavar="SOURCE", help="repository to analyse")
-    parser.add_argument("--version", action="version", version=f"siltstone {AppConfig().app_version}")
-    return parser
-
-
 def main(arguments: list[str] | None = None) -> int:
-    options = build_parser().parse_args(arguments)
+    parser = argparse.ArgumentParser(prog="siltstone", description="Analyse source repositories with Spark.")
+    parser.add_argument("source", help="repository, or folder of repositories, to analyse")
+    parser.add_argument("--folder", help="shared folder, where the session's spark.siltstone.folder is not set")
+    options = parser.parse_args(arguments)
     try:
-        config = load_config(options.config)
-        if not options.analyze:
-            print(f"{config.app_name} {config.app_version} ({config.environment})")
-            return 0
-        result = run_analysis(build_session(config.app_name), config, options.analyze)
-        print(f"{result.plan}: {len(result.steps)} steps completed")
-        for step in result.steps:
-            print(f"  {step}")
+        spark = build_session()
+        if options.folder:
+            spark.conf.set("spark.siltstone.folder", options.folder)
+        for name, frame in analyze_source(spark, options.source).items():
+            print(f"{name}: {frame.count()}")
         return 0
     except SiltstoneError as problem:
         print(f"error: {problem}", file=sys.stderr)

@@ -31,7 +31,3 @@ class IntegrityError(SiltstoneError):
 
 class GitError(SiltstoneError):
     """A git command failed, could not be started or ran out of time."""
-
-
-class StepError(SiltstoneError):
-    """A named step of a plan failed."""

@@ -72,6 +72,33 @@ def _latest(rows: str) -> str:
     return f"transform({_let(sorted_rows, 'sr', kept)}, y -> y.row)"
 
 
+def _python_parameters(mark: str) -> str:
+    """Parameters as written: stars, name, annotation, default; a lone star before named ones without a rest."""
+    rows = (
+        f"transform({mark}.items, (n, at) -> named_struct('place', {mark}.places[at], 'text', concat("
+        f"n, coalesce(concat(': ', {mark}.annotations[at]), ''), coalesce(concat(' = ', {mark}.defaults[at]), ''))))"
+    )
+
+    def shown(place: str, stars: str = "") -> str:
+        return f"transform(filter(pp, q -> q.place = '{place}'), q -> concat('{stars}', q.text))"
+
+    lone = "exists(pp, q -> q.place = 'named') and not exists(pp, q -> q.place = 'rest')"
+    rest = f"if({lone}, array('*'), {shown('rest', '*')})"
+    return _let(rows, "pp", f"concat({shown('plain')}, {rest}, {shown('named')}, {shown('more', '**')})")
+
+
+def _doc(mark: str) -> str:
+    """Text of a raw doc comment; Python's own docstrings are texts already."""
+    dashes = r"r'^\s*/// ?|\s+$'"
+    ends, opening = r"r'\s*(\*/)?\s*$'", r"r'^\s*(/\*\*)?\s*\*?\s*'"
+    lined = f"array_join(transform(split({mark}.doc, r'\n'), l -> regexp_replace(l, {dashes}, '')), chr(10))"
+    bare = f"transform(split({mark}.doc, r'\n'), l -> regexp_replace(regexp_replace(l, {ends}, ''), {opening}, ''))"
+    return (
+        f"case when _language = 'python' then {mark}.doc when startswith({mark}.doc, '///') then {lined} "
+        f"else nullif(array_join(filter({bare}, l -> l <> ''), chr(10)), '') end"
+    )
+
+
 def _function(mark: str, is_method: str) -> str:
     """A function or method record from its mark."""
     tail = strip_sql(f"{mark}.tail")
@@ -82,11 +109,11 @@ def _function(mark: str, is_method: str) -> str:
         f"when 'cpp' then nullif({words_sql(f'{mark}.first', CPP_RETURN_WORDS)}, '') "
         f"else if(startswith({tail}, ':'), nullif({strip_sql(f'substr({tail}, 2)')}, ''), null) end"
     )
-    parameters = f"if(_language = 'python', {mark}.items, {split_top_level_sql(f'{mark}.params')})"
+    parameters = f"if(_language = 'python', {_python_parameters(mark)}, {split_top_level_sql(f'{mark}.params')})"
     return (
         f"named_struct('name', {mark}.name, 'parameters', {parameters}, 'return_type', {returned}, "
         f"'is_async', {mark}.is_async, 'is_method', {is_method}, 'decorators', {mark}.decorators, "
-        f"'docstring', {mark}.doc, 'line_number', {mark}.line)"
+        f"'docstring', {_doc(mark)}, 'line_number', {mark}.line)"
     )
 
 
@@ -240,7 +267,7 @@ def _classes() -> str:
     record = (
         f"named_struct('name', c.name, 'base_classes', {bases}, "
         f"'methods', transform({own}, x -> x.record), 'decorators', c.decorators, "
-        "'docstring', c.doc, 'line_number', c.line)"
+        f"'docstring', {_doc('c')}, 'line_number', c.line)"
     )
     marks = f"if(_language = 'go', {_latest(_of('class'))}, {_of('class')})"
     rows = _let(_of("impl"), "il", f"transform({marks}, (c, i) -> {record})")

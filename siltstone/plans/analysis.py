@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from functools import partial
+from uuid import uuid4
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.config import AppConfig
-from siltstone.errors import ValidationError
+from siltstone.errors import ConfigurationError, GitError, ValidationError
 from siltstone.operators import extract, packages
+from siltstone.operators.analyze import quality
 from siltstone.operators.parse import parse_files, successful
-from siltstone.operators.store import add_rows, load_latest, save_generation
 from siltstone.operators.records import SCHEMAS
-from siltstone.plans.steps import Context, PlanResult, Step, run_steps
+from siltstone.operators.store import add_rows, load_latest, save_generation
+from siltstone.session import cut_lineage
 from siltstone.sources.collectors import collect
 from siltstone.sources.files import read_files
-from siltstone.sources.git import GitClient, Workspaces
+from siltstone.sources.git import working_copies
 
 
 def unpack_repositories(results: DataFrame) -> DataFrame:
@@ -47,84 +46,54 @@ def persist_repositories(path: str, repositories: DataFrame) -> DataFrame:
     return repositories.select("id")
 
 
-def require_single_repository(repositories: DataFrame) -> DataFrame:
-    if len(repositories.limit(2).select("id").collect()) > 1:
-        raise ValidationError("this analysis takes one repository")
-    return repositories
-
-
-def clone_repositories(client: GitClient, workspaces: Workspaces, branch: str | None, repositories: DataFrame) -> DataFrame:
-    """Clone the single repository of the analysis; returns (repository_id, root)."""
-    rows = []
-    for repository in repositories.select("id", "source_uri", "default_branch").limit(1).collect():
-        root = workspaces.allocate(repository.id)
-        client.clone(repository.source_uri, root, branch or repository.default_branch)
-        rows.append((repository.id, str(root)))
-    return repositories.sparkSession.createDataFrame(rows, "repository_id string, root string")
+def checked_copies(repositories: DataFrame, folder: str, branch: str | None = None) -> DataFrame:
+    """(repository_id, root) of all repositories, each cloned once; a failed clone is an error."""
+    copies = cut_lineage(working_copies(repositories, folder, branch))
+    failed = copies.where("error_message is not null").limit(1).collect()
+    if failed:
+        raise GitError(f"{failed[0].repository_id}: {failed[0].error_message}")
+    return copies.select("repository_id", "root")
 
 
-def analysis_steps(
-    client: GitClient, workspaces: Workspaces, branch: str | None = None, parsed_path: str | None = None
-) -> list[Step]:
-    """The twelve steps from repositories to the package tree.
+def analyze_files(files: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Parse results of (repository_id, relative_path, content), all extractions and the package tree, by name.
 
-    ``parsed_path`` names a shared folder for the parse results; without it they are kept by the executors.
+    Parse results are written once below ``folder``, since every extraction reads them, each only its own columns.
     """
     scope = ("repository_id",)
-    parsed = ("successful_parse_results",)
-    return [
-        Step("require_single_repository", require_single_repository, ("repositories",), "repositories"),
-        Step("clone_repositories", partial(clone_repositories, client, workspaces, branch), ("repositories",), "workspaces"),
-        Step("enumerate_files", read_files, ("workspaces",), "files_to_parse"),
-        Step("parse_files", partial(_parse_once, parsed_path), ("files_to_parse",), "parse_results"),
-        Step("select_successful_parse_results", successful, ("parse_results",), "successful_parse_results"),
-        Step("extract_imports", extract.import_edges, parsed, "import_results"),
-        Step("extract_ast", extract.ast_counts, parsed, "ast_results"),
-        Step("extract_symbols", extract.symbols, parsed, "symbol_results"),
-        Step("extract_architecture", extract.package_units, parsed, "architecture_results"),
-        Step("extract_interfaces", extract.interfaces, parsed, "interface_results"),
-        Step("extract_foundation", extract.candidates, parsed, "foundation_results"),
-        Step("build_architecture_graph", partial(_package_tree, scope), ("architecture_results",), "architecture_graph"),
-    ]
-
-
-def _parse_once(parsed_path: str | None, files: DataFrame) -> DataFrame:
-    """Parse and keep the result, since six extractions read it.
-
-    Written results survive lost executors and let each extraction read only its own columns; kept ones are for
-    small runs, where Spark computes a lost block again.
-    """
-    parsed = parse_files(files)
-    if parsed_path is None:
-        return parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    parsed.write.mode("overwrite").parquet(parsed_path)
-    return files.sparkSession.read.schema(parsed.schema).parquet(parsed_path)
-
-
-def _package_tree(scope: tuple[str, ...], units: DataFrame) -> dict[str, DataFrame]:
+    place = f"{folder}/parsed-{uuid4().hex}"
+    results = parse_files(files)
+    results.write.parquet(place)
+    results = files.sparkSession.read.schema(results.schema).parquet(place)
+    parsed = successful(results)
+    units = extract.package_units(parsed)
     nodes = packages.package_nodes(units, *scope)
     return {
-        "nodes": nodes,
-        "edges": packages.package_edges(nodes, *scope),
-        "files": packages.package_files(units, *scope),
+        "parse_results": results,
+        "imports": extract.import_edges(parsed),
+        "ast_counts": extract.ast_counts(parsed),
+        "symbols": extract.symbols(parsed),
+        "package_units": units,
+        "interfaces": extract.interfaces(parsed),
+        "candidates": extract.candidates(parsed),
+        "quality": quality(parsed),
+        "package_nodes": nodes,
+        "package_edges": packages.package_edges(nodes, *scope),
+        "package_files": packages.package_files(units, *scope),
     }
 
 
-def run_analysis(spark: SparkSession, config: AppConfig, source: str, extra_steps: tuple[Step, ...] = ()) -> PlanResult:
-    """Collect and analyse one source; results stay lazy until they are read."""
-    root = config.get("workspace.root", "workspaces")
-    provider = config.get("collector.provider", "filesystem")
-    client = GitClient(config.get("git.executable", "git"), float(config.get("git.timeout_seconds", 300.0)))
-    steps = [
-        Step("collect", partial(collect, spark, provider=provider), ("source",), "collection_result"),
-        Step("unpack_repositories", unpack_repositories, ("collection_result",), "repositories"),
-        Step(
-            "persist_repositories",
-            partial(persist_repositories, config.get("storage.path", f"{root}/tables/repositories")),
-            ("repositories",),
-            "persisted_repository_ids",
-        ),
-        *analysis_steps(client, Workspaces(root), config.get("git.branch"), config.get("storage.parsed_path")),
-        *extra_steps,
-    ]
-    return run_steps("analysis", steps, Context({"source": source}))
+def analyze_source(spark: SparkSession, source: str) -> dict[str, DataFrame]:
+    """Collect, store, clone, read and analyse the repositories a source names.
+
+    Settings are entries of the session: ``spark.siltstone.folder`` (required: a folder all executors share, for working
+    copies, the repository table and parse results), ``spark.siltstone.provider`` and ``spark.siltstone.branch``.
+    """
+    folder = spark.conf.get("spark.siltstone.folder", None)
+    if not folder:
+        raise ConfigurationError("spark.siltstone.folder must name a folder all executors share")
+    provider = spark.conf.get("spark.siltstone.provider", "filesystem")
+    repositories = cut_lineage(unpack_repositories(collect(spark, source, provider)))
+    persist_repositories(f"{folder}/repositories", repositories)
+    copies = checked_copies(repositories, f"{folder}/copies", spark.conf.get("spark.siltstone.branch", None))
+    return {"repositories": repositories, **analyze_files(read_files(copies), folder)}

@@ -1,4 +1,4 @@
-"""Collectors, working copies, git, configuration, step chains, the whole analysis and the stream."""
+"""Collectors, working copies, the whole analysis and the stream."""
 
 from __future__ import annotations
 
@@ -9,14 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone import cli
-from siltstone.config import AppConfig, coerce_bool, deep_merge, load_config
-from siltstone.errors import ConfigurationError, GitError, NotFoundError, StepError, ValidationError
-from siltstone.operators.analyze import quality
-from siltstone.plans.analysis import require_single_repository, run_analysis, unpack_repositories
-from siltstone.plans.steps import Context, Step, run_steps
+from siltstone.errors import ConfigurationError, GitError, IntegrityError, ValidationError
+from siltstone.plans.analysis import analyze_source, checked_copies, unpack_repositories
 from siltstone.sources.collectors import collect, collect_local
 from siltstone.sources.files import read_files, walk_order
-from siltstone.sources.git import GitClient, Workspaces
+from siltstone.sources.git import git_output, working_copies
 from siltstone.streaming.files import FILES, read_file_stream, write_parsed_stream
 
 
@@ -86,76 +83,31 @@ def test_read_files(spark, repository):
     assert files.where("relative_path = '_main.go'").first().content.startswith("package main")
 
 
-def test_git_client(repository, tmp_path):
-    client = GitClient()
-    workspaces = Workspaces(tmp_path / "work")
-    assert workspaces.resolve("1") is None
-    target = workspaces.allocate("1")
-    client.clone(str(repository), target, shallow=False)
-    assert client.default_branch(target) == "main" and len(client.current_commit(target)) == 40
-    client.fetch(target)
-    client.checkout(target, "main")
+def test_working_copies(spark, repository, tmp_path):
+    rows = [("1", str(repository), "main"), ("2", str(repository), "absent"), ("3", str(tmp_path / "nowhere"), "main")]
+    repositories = spark.createDataFrame(rows, "id string, source_uri string, default_branch string")
+    for _ in range(2):  # the second run finds the copies
+        copies = {row.repository_id: row for row in working_copies(repositories, str(tmp_path / "copies")).collect()}
+        assert copies["1"].root == str(tmp_path / "copies" / "1") and len(copies["1"].commit_id) == 40
+        assert all(copies[key].root is None and copies[key].error_message for key in "23")
     with pytest.raises(GitError):
-        client.checkout(target, "absent")
-    with pytest.raises(GitError):
-        GitClient("no-such-git").current_commit(target)
-    workspaces.remove("1")
-    workspaces.remove("1")
-    assert not workspaces.exists("1")
-
-
-def test_config(tmp_path):
-    path = tmp_path / "app.json"
-    path.write_text('{"debug": "on", "git": {"branch": "dev"}, "environment": "staging"}')
-    config = load_config(path, env={"SILTSTONE_APP_NAME": "n"})
-    assert (config.app_name, config.debug, config.environment, config.get("git.branch")) == ("n", True, "staging", "dev")
-    assert config.get("git.branch.x", 7) == 7 and load_config(tmp_path / "absent.json", env={}).environment == "development"
-    with pytest.raises(ValidationError):
-        load_config(path, env={"SILTSTONE_ENVIRONMENT": "moon"})
-    path.write_text("[1]")
-    with pytest.raises(ConfigurationError):
-        load_config(path, env={})
-    assert deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
-    assert coerce_bool(" YES ") and not coerce_bool("no") and coerce_bool(1)
-
-
-def test_steps_stop_at_the_first_failure_and_close():
-    closed = []
-    steps = [
-        Step("one", lambda x: x + 1, ("x",), "y"),
-        Step("two", lambda y: y / 0, ("y",), "z"),
-        Step("three", lambda: 1, (), "w"),
-    ]
-    with pytest.raises(StepError) as failure:
-        run_steps("p", steps, Context({"x": 1}), [lambda: closed.append(1)])
-    assert failure.value.details == {"failed_step": "two", "completed_steps": ["one"]} and closed == [1]
-    assert run_steps("p", steps[:1], Context({"x": 1})).context.require("y") == 2
-    with pytest.raises(ValidationError):
-        run_steps("p", [steps[0], steps[0]])
-    with pytest.raises(NotFoundError):
-        Context().require("x")
-    with pytest.raises(ValidationError):
-        Context().set(" ", 1)
+        checked_copies(repositories, str(tmp_path / "copies"))
+    assert git_output("no-such-command")[1]
+    assert not working_copies(repositories.limit(0), str(tmp_path / "copies")).count()
 
 
 def test_repository_guards(spark, tmp_path):
     with pytest.raises(ValidationError):
         unpack_repositories(collect(spark, str(tmp_path / "absent"), "filesystem"))
-    two = spark.createDataFrame([("1",), ("2",)], "id string")
-    with pytest.raises(ValidationError):
-        require_single_repository(two)
 
 
 def test_whole_analysis(spark, repository, tmp_path):
-    storage = {"path": str(tmp_path / "tables"), "parsed_path": str(tmp_path / "parsed")}
-    config = AppConfig(
-        raw={"workspace": {"root": str(tmp_path / "work")}, "collector": {"provider": "filesystem"}, "storage": storage}
-    )
-    extra = Step("assess_quality", quality, ("successful_parse_results",), "quality_results")
-    result = run_analysis(spark, config, str(repository), (extra,))
-    assert len(result.steps) == 16
-    get = result.context.require
-    parsed = {row.relative_path: row.succeeded for row in get("parse_results").collect()}
+    spark.conf.unset("spark.siltstone.folder")
+    with pytest.raises(ConfigurationError):
+        analyze_source(spark, str(repository))
+    spark.conf.set("spark.siltstone.folder", str(tmp_path))
+    result = analyze_source(spark, str(repository))
+    parsed = {row.relative_path: row.succeeded for row in result["parse_results"].collect()}
     assert parsed == {
         ".keep.py": True,
         "README.md": False,
@@ -164,27 +116,25 @@ def test_whole_analysis(spark, repository, tmp_path):
         "pkg/core.py": True,
         "pkg/inner/use.py": True,
     }
-    assert [row.target_module for row in get("import_results").collect()] == ["..core"]
-    assert {row.qualified_name for row in get("symbol_results").collect()} == {
+    assert [row.target_module for row in result["imports"].collect()] == ["..core"]
+    assert {row.qualified_name for row in result["symbols"].collect()} == {
         "_main.go::Main",
         "pkg/core.py::A",
         "pkg/core.py::A.m",
     }
-    tree = get("architecture_graph")
-    assert {(n.node_id, n.file_count) for n in tree["nodes"].collect()} == {("", 2), ("pkg", 2), ("pkg/inner", 1)}
-    assert {(e.parent_id, e.child_id) for e in tree["edges"].collect()} == {("", "pkg"), ("pkg", "pkg/inner")}
-    (candidate,) = get("foundation_results").where("name = 'A'").collect()
+    assert {(n.node_id, n.file_count) for n in result["package_nodes"].collect()} == {("", 2), ("pkg", 2), ("pkg/inner", 1)}
+    assert {(e.parent_id, e.child_id) for e in result["package_edges"].collect()} == {("", "pkg"), ("pkg", "pkg/inner")}
+    (candidate,) = result["candidates"].where("name = 'A'").collect()
     assert candidate.is_public and candidate.has_docstring
-    assert get("quality_results").agg(F.sum("candidate_count")).first()[0] == 2
-    with pytest.raises(StepError):
-        run_analysis(spark, config, str(repository))  # the repository is stored already
+    assert result["quality"].agg(F.sum("candidate_count")).first()[0] == 2
+    with pytest.raises(IntegrityError):
+        analyze_source(spark, str(repository))  # the repository is stored already
 
 
-def test_cli(capsys, tmp_path):
-    assert cli.main(["--config", str(tmp_path / "absent.json")]) == 0
-    assert "siltstone" in capsys.readouterr().out
-    (tmp_path / "bad.json").write_text("{")
-    assert cli.main(["--config", str(tmp_path / "bad.json")]) == 1
+def test_cli(spark, capsys, repository, tmp_path):
+    assert cli.main([str(repository), "--folder", str(tmp_path)]) == 0
+    assert "package_nodes: 3" in capsys.readouterr().out
+    assert cli.main([str(tmp_path / "absent"), "--folder", str(tmp_path)]) == 1
     with pytest.raises(SystemExit) as stop:
         cli.main(["--nope"])
     assert stop.value.code == 2
