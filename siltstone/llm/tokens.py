@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ BLOCKS = (
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 # Marks that end a word; the pattern parts them from a letter before them.
-_MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([,.;:!?%&#*$@]+)(?=[ \t\n\r]|\Z)")
+_MARKS = re.compile(r"([,.;:!?%&#*$@](?<=[a-zß-öø-ÿ].)[,.;:!?%&#*$@]*)(?=[ \t\n\r]|\Z)")
 
 
 @dataclass(frozen=True)
@@ -51,7 +50,7 @@ class Settings:
     sample_chars: int = 4000
     block_bytes: int = 2_000_000
     level: int = 3
-    remembered: int = 500_000
+    remembered: int = 200_000
 
 
 @cache
@@ -67,7 +66,8 @@ class Encoder:
 
     The vocabulary's pattern never joins characters across white space, nor a letter and a mark, and its normalizer
     lower-cases, so a text's ids are those of its parts in order, with A to Z lower-cased; every distinct part is encoded
-    once and remembered. When ``remembered`` parts are known they become the older ones, of which those met again are
+    once and remembered. Words of letters alone are encoded many at a time and told apart by their last token, which is
+    the only one that ends a word. When ``remembered`` parts are known they become the older ones, of which those met again are
     taken over; so at most twice as many are held, and frequent parts are never forgotten. A text that may hold a special
     token's own string is encoded whole.
     """
@@ -80,6 +80,9 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.remembered = settings.remembered
         self.end = np.array([settings.end], self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _learn(self, parts: set[str]) -> None:
         new = parts.difference(self.known)
@@ -87,11 +90,19 @@ class Encoder:
             self.older, self.known, new = self.known, {}, parts
         again = new.intersection(self.older)
         self.known.update((x, self.older[x]) for x in again)
-        fresh = list(new.difference(again))
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(x.ids for x in coded), self.kind).tobytes()
-        ends = (np.cumsum([len(x) for x in coded], dtype=np.int64) * self.kind.itemsize).tolist()
-        self.known.update((x, ids[low:high]) for x, low, high in zip(fresh, [0, *ends], ends))
+        fresh = new.difference(again)
+        words = [x for x in fresh if x.isalpha()]
+        for low in range(0, len(words), 50):
+            group = words[low : low + 50]
+            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(group):  # a letter that lower-casing takes apart
+                continue
+            coded, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+            self.known.update((x, coded[low:high]) for x, low, high in zip(group, [0, *ends], ends))
+        others = list(fresh.difference(self.known))
+        for part, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.known[part] = np.array(coded.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id; a null text is empty."""
