@@ -58,6 +58,11 @@ def require_dimensions(vectors: DataFrame, dimensions: int) -> DataFrame:
     return vectors
 
 
+def _of_length(embedding: Column, dimensions: int) -> Column:
+    found = F.concat(F.lit(f"embedding without {dimensions} dimensions: "), F.size(embedding).cast("string"))
+    return F.when(F.size(embedding) != dimensions, F.raise_error(found)).otherwise(embedding)
+
+
 def search(
     vectors: DataFrame,
     query: list[float],
@@ -69,14 +74,15 @@ def search(
 
     ``vectors`` needs ``id`` and ``embedding``. The filter runs before scoring, the query vector is a literal of
     the plan, and only the best rows of each task are compared globally. A vector of length zero has no
-    direction and is never returned.
+    direction and is never returned. A vector with another number of values than the query's fails the search, in the
+    same pass that scores it.
     """
     check_query(query, limit)
     if dimensions is not None and len(query) != dimensions:
         raise DimensionMismatchError("query and collection dimensions differ", expected=dimensions, actual=len(query))
     filtered = vectors if condition is None else vectors.where(condition)
     scored = (
-        filtered.withColumn("_cosine", cosine_to(F.col("embedding"), query))
+        filtered.withColumn("_cosine", cosine_to(_of_length(F.col("embedding"), len(query)), query))
         .withColumn("score", similarity_score(F.col("_cosine")))
         .drop("_cosine")
     )

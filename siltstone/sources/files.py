@@ -46,6 +46,8 @@ def _list(deep: bool):
                     if plain:
                         rows.append((repository, root, at, True))
                         continue
+                    if at == root and not os.path.isdir(root):
+                        raise FileNotFoundError(f"{repository}: no folder {root} on this machine")
                     children = _entries(at)
                     if deep:
                         pending += children
@@ -80,7 +82,8 @@ def read_files(workspaces: DataFrame, partitions: int | None = None) -> DataFram
     Spark's own file reader skips names starting with ``_`` or ``.``, which would lose ``__init__.py``; so
     directories are listed by tasks. Paths are dealt out again before contents are read: a repository holding a
     large share of all files is read by as many tasks as any other data. ``partitions`` sets how many tasks share
-    the reading; the default follows the session (``task_count``).
+    the reading; the default follows the session (``task_count``). A root that is no folder where
+    the task runs fails the job.
     """
     listed = workspaces.selectExpr("repository_id", "root", "root as path", "false as is_file")
     for _ in range(SPREAD_LEVELS):

@@ -50,6 +50,8 @@ def test_dimension_checks(vectors):
         search.search(vectors, [1.0], dimensions=3)
     with pytest.raises(DimensionMismatchError):
         search.require_dimensions(vectors, 2)
+    with pytest.raises(Exception, match="embedding without 2 dimensions: 3"):
+        search.search(vectors, [1.0, 0.0]).collect()
 
 
 def test_memory_query(spark):

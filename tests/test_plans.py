@@ -81,6 +81,8 @@ def test_read_files(spark, repository):
     listed = [row.relative_path for row in files.orderBy(walk_order()).collect()]
     assert listed == [".keep.py", "README.md", "_main.go", "pkg/__init__.py", "pkg/core.py", "pkg/inner/use.py"]
     assert files.where("relative_path = '_main.go'").first().content.startswith("package main")
+    with pytest.raises(Exception, match="no folder"):
+        read_files(workspaces.withColumn("root", F.lit(f"{repository}/absent"))).collect()
 
 
 def test_working_copies(spark, repository, tmp_path):
