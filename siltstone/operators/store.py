@@ -77,8 +77,8 @@ def create_table(spark: SparkSession, name: str, schema: StructType) -> None:
     spark.createDataFrame([], schema).write.mode("ignore").saveAsTable(name)
 
 
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete generations below a table folder."""
+def _generations(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
+    """Numbers of the generations below a table folder: the complete ones, or all that a write has begun."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -88,14 +88,18 @@ def _generations(spark: SparkSession, path: str) -> list[int]:
     for status in files.listStatus(folder):
         name = status.getPath().getName()
         done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("generation=") and files.exists(done):
+        if name.startswith("generation=") and (not complete or files.exists(done)):
             found.append(int(name.removeprefix("generation=")))
     return sorted(found)
 
 
 def save_generation(table: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Write a new generation of a table; it becomes visible when its success marker is written."""
-    number = (_generations(table.sparkSession, path) or [0])[-1] + 1
+    """Write a new generation of a table; it becomes visible when its success marker is written.
+
+    A number whose write was aborted is passed over. Two writers that start from one generation do not see each
+    other's changes: one fails on the folder, or the later one hides the earlier.
+    """
+    number = (_generations(table.sparkSession, path, complete=False) or [0])[-1] + 1
     writer = table.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/generation={number}")
     return number

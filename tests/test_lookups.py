@@ -119,6 +119,11 @@ def test_generations(spark, tmp_path):
     assert store.save_generation(changed, path) == 2
     (tmp_path / "table" / "generation=3").mkdir()  # a write that never finished
     assert [tuple(row) for row in store.load_latest(spark, path, schema).collect()] == [("1", 2)]
+    broken = changed.withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        store.save_generation(broken, path)
+    assert [tuple(row) for row in store.load_latest(spark, path, schema).collect()] == [("1", 2)]
+    assert store.save_generation(changed, path) == 5  # past generation 3, never finished, and 4, which failed
 
 
 def entities(spark):
