@@ -2,9 +2,9 @@
 
 A suffix automaton of the labelled text of each language knows every string in it. A text is cut into phrases, each the
 longest string that the automaton still knows (Ziv and Merhav 1993); the language that needs the fewest phrases, each
-weighed with log2 of its labelled text's length, wins. Automata are dense tables over a small alphabet, so that many
-blocks of text take each step at once in numpy. A text is parsed in blocks of ``block`` code points; a phrase ends with
-its block, for every language alike.
+weighed with log2 of its labelled text's length, wins. Automata are kept as lists of their edges, whatever the size of
+the alphabet, and looked up in a hash table, so that many blocks of text take each step at once in numpy. A text is
+parsed in blocks of ``block`` code points; a phrase ends with its block, for every language alike.
 """
 
 from __future__ import annotations
@@ -26,10 +26,62 @@ SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 class Settings:
     """``sample_chars``: labelled text learned per language; ``piece``: of one document; ``block``: parsed at once."""
 
-    sample_chars: int = 12_000
-    piece: int = 300
+    sample_chars: int = 60_000
+    piece: int = 600
     block: int = 512
-    alphabet: int = 64
+
+
+class Steps:
+    """Transitions of an automaton: edges sorted by state and letter, and a hash table of them made on first use.
+
+    ``steps[state, letter]`` is the next state, 0 for none. Only the edges are pickled.
+    """
+
+    def __init__(self, degrees: np.ndarray, letters: np.ndarray, targets: np.ndarray, alphabet: int):
+        self.degrees, self.letters, self.targets, self.alphabet = degrees, letters, targets, alphabet
+        self._keys: np.ndarray | None = None
+
+    def __reduce__(self):
+        return Steps, (self.degrees, self.letters, self.targets, self.alphabet)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def _fill(self) -> None:
+        """Open addressing with at most a quarter of the slots in use, all edges placed at once."""
+        keys = np.repeat(np.arange(len(self.degrees), dtype=np.int64), self.degrees) * self.alphabet + self.letters
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        table, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        open_, place = np.arange(len(keys)), self._place(keys)
+        while len(open_):
+            free = table[place] == -1
+            table[place[free]] = keys[open_[free]]  # of edges that meet in a slot one stays
+            stays = table[place] == keys[open_]
+            values[place[stays]] = self.targets[open_[stays]]
+            open_, place = open_[~stays], (place[~stays] + 1) & self._mask
+        self._values, self._keys = values, table
+
+    def next(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        if self._keys is None:
+            self._fill()
+        keys = states * self.alphabet + letters
+        place = self._place(keys)
+        found = self._keys[place]
+        step = np.where(found == keys, self._values[place], 0)
+        at = np.flatnonzero((found != keys) & (found != -1))
+        place = place[at]
+        while len(at):
+            place = (place + 1) & self._mask
+            found = self._keys[place]
+            same = found == keys[at]
+            step[at[same]] = self._values[place[same]]
+            more = ~same & (found != -1)
+            at, place = at[more], place[more]
+        return step
+
+    def __getitem__(self, edge: tuple[int, int]) -> int:
+        return int(self.next(np.array([edge[0]], np.int64), np.array([edge[1]], np.int64))[0])
 
 
 @dataclass
@@ -37,12 +89,12 @@ class Automaton:
     """``steps[state, letter]`` is the next state, 0 for none; state 1 is the root."""
 
     language: str
-    steps: np.ndarray
+    steps: Steps
     cost: float
 
 
-def suffix_automaton(text: list[int], alphabet: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton (Blumer et al. 1985) of a sequence of letters below ``alphabet``."""
+def suffix_automaton(text: list[int], alphabet: int) -> Steps:
+    """Transitions of the suffix automaton (Blumer et al. 1985) of a sequence of letters below ``alphabet``."""
     nexts: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -69,33 +121,34 @@ def suffix_automaton(text: list[int], alphabet: int) -> np.ndarray:
                     state = link[state]
                 link[target] = link[current] = clone
         last = current
-    table = np.zeros((len(nexts), alphabet), np.int32)
-    for state, row in enumerate(nexts):
-        for letter, target in row.items():
-            table[state, letter] = target
-    return table
+    edges = [edge for row in nexts for edge in sorted(row.items())]
+    letters, targets = np.array(edges, np.int32).reshape(-1, 2).T.copy()
+    return Steps(np.array([len(row) for row in nexts], np.int32), letters, targets, alphabet)
 
 
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def alphabet_of(samples: dict[str, str], most: int) -> np.ndarray:
-    """Letter number of every code point: 1 for white space and rare ones, then the commonest letters."""
-    counts = np.zeros(0x110000, np.int64)
-    for text in samples.values():
-        counts += np.bincount(points(text), minlength=0x110000)
-    table = np.zeros(0x110000, np.uint8)
-    ranked = np.argsort(-counts, kind="stable")[: most - 2]
-    ranked = ranked[counts[ranked] > 0]
-    table[ranked] = np.arange(2, 2 + len(ranked))
-    for space in (9, 10, 11, 12, 13, 32):
-        table[space] = 1
+SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
+
+
+def alphabet_of(samples: dict[str, str]) -> np.ndarray:
+    """Code points of all samples in order, without white space; the letter of the first is 2."""
+    seen = [np.unique(points(text)) for text in samples.values()]
+    return np.setdiff1d(np.concatenate([np.zeros(0, np.uint32), *seen]), SPACES)
+
+
+def letter_table(alphabet: np.ndarray) -> np.ndarray:
+    """Letter of every code point: 1 for white space, 0 for what no sample holds."""
+    table = np.zeros(0x110000, np.int32)
+    table[alphabet] = np.arange(2, 2 + len(alphabet))
+    table[SPACES] = 1
     return table
 
 
 def learn(documents: DataFrame, settings: Settings) -> tuple[np.ndarray, list[Automaton]]:
-    """Alphabet and automata from labelled rows outside the held-out fold.
+    """Alphabet and automata from labelled rows outside the held-out fold. Every code point of the samples is a letter.
 
     The sample is bounded: of each language the rows with the smallest hashes of their texts, ``piece`` characters of
     each, ``sample_chars`` in all. Equal inputs give equal samples; copies count once.
@@ -113,31 +166,31 @@ def learn(documents: DataFrame, settings: Settings) -> tuple[np.ndarray, list[Au
     for row in pieces.collect():  # one bounded row per language
         text = " ".join(r["piece"] for r in row["rows"])
         samples[row["lang"]] = text[: settings.sample_chars]
-    table = alphabet_of(samples, settings.alphabet)
+    alphabet = alphabet_of(samples)
+    table = letter_table(alphabet)
     automata = []
     for language in sorted(samples):
         letters = table[points(samples[language])]
-        steps = suffix_automaton(letters[letters > 0].tolist(), settings.alphabet)
+        steps = suffix_automaton(letters.tolist(), 2 + len(alphabet))
         automata.append(Automaton(language, steps, float(np.log2(max(2, len(letters))))))
-    return table, automata
+    return alphabet, automata
 
 
 def phrase_counts(blocks: np.ndarray, automaton: Automaton) -> np.ndarray:
-    """Phrases in each row of ``blocks`` (rows x steps; letter 255 pads the end, 0 is unknown to all languages)."""
-    width = automaton.steps.shape[1]
-    flat = automaton.steps.ravel()
+    """Phrases in each column of ``blocks`` (steps x blocks; the type's highest number pads the end, 0 is unknown to all)."""
+    steps, pad = automaton.steps, np.iinfo(blocks.dtype).max
     state = np.ones(blocks.shape[1], np.int64)
     phrases = np.zeros(blocks.shape[1], np.int64)
     for letters in blocks:
-        live = letters != 255
+        live = letters != pad
         letter = np.where(live, letters, 0).astype(np.int64)
-        step = flat[state * width + letter]
+        step = steps.next(state, letter)
         broken = (step == 0) & live
         if broken.any():
             at = np.flatnonzero(broken)
             # A phrase ends before this letter, unless it has not begun; an unknown letter is a phrase by itself.
             phrases[at] += state[at] != 1
-            again = flat[width + letter[at]]
+            again = steps.next(np.ones(len(at), np.int64), letter[at])
             phrases[at] += again == 0
             step[at] = np.where(again == 0, 1, again)
         state = np.where(live, step, state).astype(np.int64)
@@ -153,7 +206,7 @@ def predict(texts: list[str | None], table: np.ndarray, automata: list[Automaton
     codes = [table[points(texts[i])] for i in kept]
     parts = np.array([max(1, -(-len(c) // block)) for c in codes])
     first = np.concatenate([[0], np.cumsum(parts)])
-    blocks = np.full((int(first[-1]), block), 255, np.uint8)
+    blocks = np.full((int(first[-1]), block), np.iinfo(np.int32).max, np.int32)
     for row, c in zip(first, codes):
         blocks[row : row + -(-len(c) // block)].ravel()[: len(c)] = c
     blocks = np.ascontiguousarray(blocks.T)
@@ -172,7 +225,7 @@ def identify_language(documents: DataFrame, settings: Settings = Settings()) ->
 
     One row per input row. ``und`` with score 0 for a null text, a text without a letter, and for all texts if no row
     carries a language to learn from. Ties go to the language first by code point. Whole texts are parsed, in blocks;
-    the model (one table of states by letters per language, up to 6 MB each) has a size fixed by ``Settings``. Null
+    the model (at most two states and three edges per learned character of a language) has a size fixed by ``Settings``. Null
     languages are not learned; a null doc_id falls in the fold of the empty text. Extra columns are not read.
     """
     spark: SparkSession = documents.sparkSession
@@ -180,7 +233,8 @@ def identify_language(documents: DataFrame, settings: Settings = Settings()) ->
     model = spark.sparkContext.broadcast(learn(source, settings))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, automata = model.value
+        alphabet, automata = model.value
+        table = letter_table(alphabet)
         for part in text_slices(batches, most_bytes=4_000_000):
             found = predict(part.column("text").to_pylist(), table, automata, settings.block)
             yield pa.RecordBatch.from_arrays(

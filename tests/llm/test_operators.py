@@ -238,6 +238,22 @@ def test_language(documents):
     assert found[10_002].lang_pred == found[10_003].lang_pred == "und"
 
 
+def test_language_learns_every_letter(spark):
+    # Ninety letters of one language, all commoner than the accents by which alone the other two differ.
+    common = "".join(chr(0x4E00 + i) for i in range(90))
+    plain = "abcdefghijklmnopqrst"
+    rows = []
+    for i in range(100):
+        word = "".join(plain[(i * 7 + j * j) % 20] for j in range(12))
+        rows += [(3 * i, (common[i % 90 :] + common[: i % 90]) * 5 + word, "zz"), (3 * i + 1, f"{word} \u0107\u0119\u0142 {word}", "pl")]
+        rows += [(3 * i + 2, f"{word} \u010d\u0159\u016f {word}", "cs")]
+    asked = [(1000, "\u0107\u0119\u0142 \u0107\u0119\u0142", None), (1001, "\u010d\u0159\u016f \u010d\u0159\u016f", None)]
+    frame = spark.createDataFrame(rows + asked, "doc_id bigint, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.identify_language(frame).collect()}
+    assert found[1000] == "pl" and found[1001] == "cs"
+    assert language.Settings().sample_chars == 60_000
+
+
 def test_toxicity(spark, documents):
     rng = np.random.default_rng(6)
     plain = ["thing", "er", "and", "the", "onre", "ation", "shou", "ble", "with", "ing"]
