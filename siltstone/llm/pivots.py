@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import connected_components
@@ -22,10 +22,11 @@ from siltstone.session import cut_lineage
 
 @dataclass(frozen=True)
 class Settings:
-    """``nearest`` pivots describe a vector; ``shared`` of them make a candidate.
+    """``nearest`` pivots describe a vector; ``shared`` of them, or all if there are fewer, make a candidate.
 
-    One pivot per ``per_pivot`` entries is drawn, at least ``fewest`` and at most ``most_pivots`` (the bound of the
-    sample and of its broadcast); longer lists are compared in blocks of ``block`` entries.
+    Of each vector length one pivot per ``per_pivot`` entries is drawn, at least ``fewest``, and for all lengths together
+    at most ``most_pivots`` (the bound of the sample and of its broadcast), but one for each length; longer lists are
+    compared in blocks of ``block`` entries.
     """
 
     threshold: float = 0.93
@@ -52,6 +53,11 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _rows_unit(lists: list[list[float]]) -> np.ndarray:
+    rows = np.array(lists, np.float64)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def spread_pivots(rows: np.ndarray, apart: float) -> np.ndarray:
     """Rows in order, without those too near to an earlier one.
 
@@ -71,13 +77,25 @@ def spread_pivots(rows: np.ndarray, apart: float) -> np.ndarray:
 def list_entries(entries: DataFrame, settings: Settings) -> DataFrame:
     """One row per entry and pivot of its description: the inverted lists."""
     spark = entries.sparkSession
-    total = entries.count()
-    wanted = int(min(settings.most_pivots, max(settings.fewest, total // settings.per_pivot)))
-    drawn = entries.orderBy(F.xxhash64("h1", "h2"), "entry").limit(wanted).select("embedding").collect()
-    by_size: dict[int, np.ndarray] = {}
-    for size in {len(row[0]) for row in drawn}:
-        rows = np.array([row[0] for row in drawn if len(row[0]) == size], np.float64)
-        by_size[size] = spread_pivots(rows / np.linalg.norm(rows, axis=1, keepdims=True), settings.apart)
+    sized = entries.select(
+        F.xxhash64("h1", "h2").alias("key"), "entry", F.size("embedding").alias("size"), "embedding"
+    )
+    totals = sized.groupBy("size").agg(F.count("*").alias("total"), F.min("key").alias("first")).collect()
+    wanted = {row["size"]: max(settings.fewest, row["total"] // settings.per_pivot) for row in totals}
+    over = max(1.0, sum(wanted.values()) / settings.most_pivots)
+    bounds = []
+    for row in totals:
+        number = max(1, int(wanted[row["size"]] / over))
+        # Twice as many rows and some are expected below the bound, so that few rows are ranked.
+        bound = int(min(1.0, (2 * number + 64) / row["total"]) * 2**64) - 2**63
+        bounds.append((row["size"], number, max(row["first"], min(bound, 2**63 - 1))))
+    few = spark.createDataFrame(bounds, "size int, number int, bound bigint")
+    rank = F.row_number().over(Window.partitionBy("size").orderBy("key", "entry"))
+    near_bound = sized.join(F.broadcast(few), "size").where("key <= bound").withColumn("rank", rank)
+    drawn: dict[int, list] = {}
+    for row in near_bound.where("rank <= number").select("size", "rank", "embedding").orderBy("size", "rank").collect():
+        drawn.setdefault(row["size"], []).append(row["embedding"])
+    by_size = {size: spread_pivots(_rows_unit(rows), settings.apart) for size, rows in drawn.items()}
     pivots = spark.sparkContext.broadcast(by_size)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +105,7 @@ def list_entries(entries: DataFrame, settings: Settings) -> DataFrame:
                 same = whole.filter(pa.array(lengths == size))
                 for start in range(0, same.num_rows, 2000):
                     part = same.slice(start, 2000)
-                    points = pivots.value.get(int(size), np.zeros((1, int(size)), np.float32))
-                    near = _unit(part.column("embedding")).astype(np.float32) @ points.T
+                    near = _unit(part.column("embedding")).astype(np.float32) @ pivots.value[int(size)].T
                     kept = min(settings.nearest, near.shape[1])
                     top = np.argpartition(-near, kept - 1, axis=1)[:, :kept]
                     order = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), 1, "stable"), 1)
@@ -142,11 +159,12 @@ def verify_lists(lists: DataFrame, settings: Settings) -> DataFrame:
         a, b = np.nonzero(near)
         a, b = left[a], right[b]
         keep = np.zeros(len(a), bool)
+        shared = min(settings.shared, marks.shape[1])  # all vectors of a length have as many pivots
         for low in range(0, len(a), 50_000):
             one, two = marks[a[low : low + 50_000]], marks[b[low : low + 50_000]]
             both = (one[:, :, None] == two[:, None, :]).any(axis=2)
             lowest = np.where(both, one, np.iinfo(np.int32).max).min(axis=1)
-            keep[low : low + 50_000] = (both.sum(axis=1) >= settings.shared) & (lowest == pivot)
+            keep[low : low + 50_000] = (both.sum(axis=1) >= shared) & (lowest == pivot)
         a, b = a[keep], b[keep]
         links = np.bincount(a, copies[b], len(entry)) + np.bincount(b, copies[a], len(entry))
         root = np.arange(len(entry))

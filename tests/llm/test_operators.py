@@ -176,6 +176,34 @@ def test_pivots_against_all_pairs(spark):
     assert pivots.near_vectors(frame.limit(0)).count() == 0
 
 
+def cosine_links(data):
+    links = {}
+    for i, a, x in data:
+        u = np.float64(np.float32(a))
+        near = [np.float64(np.float32(b)) for j, b, y in data if j != i and y == x and len(b) == len(a)]
+        links[i] = sum((u @ v) / np.sqrt((u @ u) * (v @ v)) >= 0.93 for v in near)
+    return links
+
+
+def test_pivots_of_one_dense_group_and_of_two_lengths(spark):
+    kinds = "vec_id bigint, embedding array<float>, label int"
+    rng = np.random.default_rng(7)
+    two = [(0, [1.0, 0.0], 0), (1, [0.95, float(np.sqrt(1 - 0.95**2))], 0)]
+    dense = [(i, [float(x) for x in 1.0 + rng.normal(size=24) * 0.25], i % 2) for i in range(150)]
+    # Two thousand vectors of one length, so that none of the three others would be among those drawn from all.
+    mixed = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(2000)]
+    mixed += [(2000 + i, [1.0, 2.0, 0.01 * i], 0) for i in range(3)]
+    for data in (two, dense):
+        found = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame(data, kinds)).collect()}
+        assert found == cosine_links(data) and sum(found.values()) > 0
+    small = pivots.Settings(per_pivot=2000)
+    found = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame(mixed, kinds), small).collect()}
+    assert [found[2000 + i] for i in range(3)] == [2, 2, 2]
+    tight = pivots.Settings(most_pivots=1)
+    found = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame(mixed, kinds), tight).collect()}
+    assert [found[2000 + i] for i in range(3)] == [2, 2, 2]
+
+
 def test_tokens_round_trip(documents):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
