@@ -27,7 +27,11 @@ SCHEMA = "page_id bigint, url string, text string, n_chars bigint, n_lines bigin
 
 @dataclass(frozen=True)
 class Settings:
-    """Names that mark what is no main text; elements that are blocks, and those that are running text."""
+    """Names that mark what is no main text; elements that are blocks, and those that are running text.
+
+    A class name, id or role marks an element if it is one of ``words``, or some of them with ``before`` words in front
+    and ``after`` words or numbers behind, such as site-header or cookie-notice-bar.
+    """
 
     silent: frozenset = frozenset("script style noscript template svg head title iframe object select option".split())
     apart: frozenset = frozenset("nav header footer aside form menu dialog button".split())
@@ -42,6 +46,10 @@ class Settings:
         "footer cookie cookies consent notice comment comments respond reply replies disqus share social related "
         "newsletter subscribe subscription popup modal breadcrumb breadcrumbs widget".split()
     )
+    before: frozenset = frozenset("site global top bottom mobile desktop primary secondary main".split())
+    after: frozenset = frozenset(
+        "area bar block box buttons container inner item items links list slot unit wrap wrapper".split()
+    )
     direct_cells: int = 250_000
 
 
@@ -49,10 +57,12 @@ class Settings:
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.DOTALL
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = ("script", "style")
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACES = re.compile(r"\s+")
 
 
@@ -68,24 +78,43 @@ class Page:
     lines: list[Line] = field(default_factory=list)
 
 
+def marking(attributes: str, settings: Settings) -> set[str]:
+    """Words by which class names, id or role mark an element; empty if they do not."""
+    marks: set[str] = set()
+    for match in _NAMES.finditer(attributes):
+        for name in (match[1] or match[2] or match[3] or "").lower().split():
+            parts = [x for x in _SPLIT.split(name) if x]
+            low, high = 0, len(parts)
+            while low < high and parts[low] not in settings.words and parts[low] in settings.before:
+                low += 1
+            while high > low and parts[high - 1] not in settings.words and (parts[high - 1] in settings.after or parts[high - 1].isdigit()):
+                high -= 1
+            if low < high and settings.words.issuperset(parts[low:high]):
+                marks.update(parts[low:high])
+    return marks
+
+
 def page_lines(source: str, settings: Settings) -> list[Line]:
     """Blocks of a page in order, with references decoded and white space made one space."""
     lines: list[Line] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, silent, apart, article, running
-    silent = apart = article = running = False
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # name, silent, apart, article, running before it
+    silent = article = running = False
+    apart = 0  # 1 by a class name, id or role alone, 2 by an element
     at = 0
 
     def flush() -> None:
         if pieces:
             text = _SPACES.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                lines.append(Line(text, apart, article, running))
+                lines.append(Line(text, apart > 0, article, running))
             pieces.clear()
 
     while True:
         match = _MARKUP.search(source, at)
         end = match.start() if match else len(source)
+        if end > at and stack and stack[-1][0] == "head" and not source[at:end].isspace():
+            _, silent, apart, article, running = stack.pop()  # text ends an open head, as in a browser
         if end > at and not silent:
             pieces.append(source[at:end])
         if not match:
@@ -106,6 +135,13 @@ def page_lines(source: str, settings: Settings) -> list[Line]:
                 if stack[depth][0] in ("article", "main", "body", "table") and name not in ("article", "main", "body", "html", "table"):
                     break  # a stray end tag does not close what lies around it
             continue
+        if stack and (name == "body" or stack[-1][0] == "head" and name not in _HEAD):
+            for depth in range(len(stack)):
+                if stack[depth][0] == "head":
+                    # The end tag of a head may be left out: what cannot stand in it ends it.
+                    _, silent, apart, article, running = stack[depth]
+                    del stack[depth:]
+                    break
         if name == "br":
             pieces.append(" ")
             continue
@@ -126,9 +162,14 @@ def page_lines(source: str, settings: Settings) -> list[Line]:
             continue
         stack.append((name, silent, apart, article, running))
         silent = silent or name in settings.silent
-        named = {w for x in _NAMES.finditer(match[3]) for w in _SPLIT.split((x[1] or x[2] or x[3] or "").lower())}
-        marked = name not in ("html", "body", "article", "main") and not named.isdisjoint(settings.words)
-        apart = apart or marked or (name in settings.apart and not (name == "header" and article))
+        marks = marking(match[3], settings) - ({"header"} if name in _HEADINGS else set())
+        if name in ("article", "main"):
+            # What a wrapper's name says does not hold for an article in it, unless the article says it as well.
+            apart = 0 if apart == 1 and not marks else apart
+        elif name in settings.apart and not (name == "header" and article):
+            apart = 2
+        elif marks and name not in ("html", "body"):
+            apart = max(apart, 1)
         article = article or name in ("article", "main")
         running = name in settings.running if name in settings.blocks else running
     flush()

@@ -323,3 +323,21 @@ def test_pages(spark):
                     for j in range(9):
                         table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
                 assert len(shared) == table[9, 9]
+
+
+def test_page_without_head_end_and_with_layout_names():
+    def text(source):
+        return pages.main_text(pages.page_lines(source, pages.Settings()), None, pages.Settings())[0]
+
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><noscript><img src=x></noscript>"
+    assert text(head + "<body><p>one</p></body></html>") == text(head + "<p>one</p>") == text(head + "one") == "one"
+    assert text(head + "</head><body><p>one</p></head></body>") == "one"
+    for opened in ('<div class="layout has-sidebar">', '<div id="page" class="with-nav">', '<div class="social-science">'):
+        assert text(f"<body>{opened}<p>one</p></div></body>") == "one"
+        assert text(f"<body>{opened}<article><h1>A</h1><p>one</p></article></div></body>") == "A\n\none"
+    assert text('<h1 class="page-header">A</h1><h2 class="ui header">B</h2><p data-id="ad">c</p>') == "A\n\nB\n\nc"
+    assert text('<div class="widget"><article><p>one</p></article></div>') == "one"
+    for name in ("ad", "ad-1", "site-header", "cookie-notice-bar", "x comments-area", "navbar_nav"):
+        assert text(f'<div class="{name}">no</div><p>yes</p>') == "yes"
+    assert text('<aside><article><p>no</p></article></aside><p>yes</p>') == ""
+    assert text('<div id="comments"><article class="comment"><p>no</p></article></div>') == ""
