@@ -10,17 +10,21 @@ notice or comment is dropped as well, since a host with a single page has no par
 
 from __future__ import annotations
 
+import hashlib
 import html
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import task_count
+from siltstone.session import cut_lineage, task_count
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint"
 
@@ -176,12 +180,41 @@ def page_lines(source: str, settings: Settings) -> list[Line]:
     return lines
 
 
-def shared_lines(one: list[str], two: list[str], direct_cells: int) -> set[int]:
+def _prefix_lengths(one: list, two: list) -> np.ndarray:
+    """Length of the longest common subsequence of ``one`` with each beginning of ``two``, a bit per line of ``two``.
+
+    The rows of the usual table as bit vectors (Hyyro 2004): memory grows with the lengths, not with their product.
+    """
+    size = len(two)
+    places: dict = {}
+    for j, line in enumerate(two):
+        places.setdefault(line, []).append(j)
+    full = (1 << size) - 1
+    row = full
+    for line in one:
+        at = places.get(line)
+        if at is None:
+            continue
+        if len(at) <= 8:
+            mask = 0
+            for j in at:
+                mask |= 1 << j
+        else:
+            bits = np.zeros(size, np.uint8)
+            bits[at] = 1
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        met = row & mask
+        row = ((row + met) | (row - met)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(size // 8 + 1, "little"), np.uint8), count=size, bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def shared_lines(one: list, two: list, direct_cells: int) -> set[int]:
     """Indexes in ``one`` of a longest common subsequence with ``two``.
 
-    Common ends are taken first. What is left is split at the lines that stand once in each (the longest run of them in
-    one order), and between them solved by the usual table where it has at most ``direct_cells`` cells; a larger gap
-    without such a line is matched greedily in order, so memory stays bounded for pages of any length.
+    Common ends are taken first. What is left is solved by the usual table where it has at most ``direct_cells`` cells;
+    a larger part is halved where the halves' lengths add up to the most (Hirschberg 1975), so the result is exact and
+    memory stays linear for pages of any length.
     """
     found: set[int] = set()
     work = [(0, len(one), 0, len(two))]
@@ -213,63 +246,28 @@ def shared_lines(one: list[str], two: list[str], direct_cells: int) -> set[int]:
                 else:
                     j += 1
             continue
-        places: dict[str, int] = {}
-        for j in range(c, d):
-            places[two[j]] = -1 if two[j] in places else j
-        once: dict[str, int] = {}
-        for i in range(a, b):
-            once[one[i]] = -1 if one[i] in once else i
-        pairs = [(i, places[x]) for x, i in once.items() if i >= 0 and places.get(x, -1) >= 0]
-        chain = _rising(pairs)
-        if not chain:
-            nexts: dict[str, list[int]] = {}
-            for j in range(d - 1, c - 1, -1):
-                nexts.setdefault(two[j], []).append(j)
-            upto = c
-            for i in range(a, b):
-                own = nexts.get(one[i], [])
-                while own and own[-1] < upto:
-                    own.pop()
-                if own:
-                    found.add(i)
-                    upto = own.pop() + 1
+        if b - a == 1:
+            if one[a] in two[c:d]:
+                found.add(a)
             continue
-        i, j = a, c
-        for x, y in chain:
-            found.add(x)
-            work.append((i, x, j, y))
-            i, j = x + 1, y + 1
-        work.append((i, b, j, d))
+        middle = (a + b) // 2
+        head = _prefix_lengths(one[a:middle], two[c:d])
+        tail = _prefix_lengths(one[middle:b][::-1], two[c:d][::-1])[::-1]
+        cut = c + int((head + tail).argmax())
+        work += [(a, middle, c, cut), (middle, b, cut, d)]
     return found
 
 
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest subsequence of pairs (ascending in the first) that ascends in the second."""
-    from bisect import bisect_left
-
-    tails: list[int] = []
-    at: list[int] = []
-    back: list[int] = []
-    for n, (_, y) in enumerate(pairs):
-        k = bisect_left(tails, y)
-        back.append(at[k - 1] if k else -1)
-        if k == len(tails):
-            tails.append(y)
-            at.append(n)
-        else:
-            tails[k], at[k] = y, n
-    chain, n = [], at[-1] if at else -1
-    while n >= 0:
-        chain.append(pairs[n])
-        n = back[n]
-    return chain[::-1]
-
-
 def main_text(lines: list[Line], partner: list[Line] | None, settings: Settings) -> tuple[str, int]:
     """Text of a page, and how many lines it shares with its partner."""
     shared = (
         shared_lines([x.text for x in lines], [x.text for x in partner], settings.direct_cells) if partner else set()
     )
+    return kept_text(lines, shared), len(shared)
+
+
+def kept_text(lines: list[Line], shared: set[int]) -> str:
+    """Text of a page that shares the lines of these indexes."""
     articles = any(x.article for x in lines)
     kept = [
         line.text
@@ -278,7 +276,7 @@ def main_text(lines: list[Line], partner: list[Line] | None, settings: Settings)
         and (line.article or not articles)
         and (at not in shared or (line.article and line.running))
     ]
-    return "\n\n".join(kept), len(shared)
+    return "\n\n".join(kept)
 
 
 def _common(one: str, two: str) -> int:
@@ -291,49 +289,164 @@ def _common(one: str, two: str) -> int:
     return size
 
 
+@dataclass
+class Key:
+    """What pairing needs of a page. ``key`` names its markup, ``same`` the texts of its lines."""
+
+    host: str
+    path: str
+    key: str
+    same: bytes
+    hashes: np.ndarray
+    body: bytes  # per line: 1 if it may be main text
+
+
+KEY_SCHEMA = "host string, path string, key string, same binary, hashes array<bigint>, body binary"
+
+
+def _digest(text: str, size: int) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest()
+
+
+def page_keys(source: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct pages by host, path and markup; of the markup only eight bytes a line."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                lines = page_lines(row["html"] or "", settings)
+                articles = any(x.article for x in lines)
+                rows.append(
+                    (
+                        row["host"],
+                        row["path"],
+                        row["key"],
+                        _digest("\x00".join(x.text for x in lines), 16),
+                        [int.from_bytes(_digest(x.text, 8), "little", signed=True) for x in lines],
+                        bytes(not x.apart and (x.article or not articles) for x in lines),
+                    )
+                )
+            kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "key", "same", "hashes", "body"]
+            )
+
+    hosted = source.where("host <> ''").select("host", "path", "key", "html")
+    return hosted.mapInArrow(keyed, KEY_SCHEMA).dropDuplicates(["host", "path", "key"])
+
+
+def _befores(keys: list[Key], last: Key | None, other: Key | None) -> tuple[list[Key | None], Key | None, Key | None]:
+    """For each key the nearest before it on its host whose texts differ.
+
+    ``last`` is the key before the first and ``other`` the one found for that; the two after the last key are returned.
+    """
+    found: list[Key | None] = []
+    for key in keys:
+        if last is None or last.host != key.host:
+            other = None
+        elif last.same != key.same:
+            other = last
+        found.append(other)
+        last = key
+    return found, last, other
+
+
+def _edges(keys: list[Key]) -> list[Key]:
+    """The keys at an end of a range that the next range has to know: its last, and the last that differs before it."""
+    _, last, other = _befores(keys, None, None)
+    return [x for x in (other, last) if x]
+
+
+def shared_of_keys(keys: DataFrame, settings: Settings) -> DataFrame:
+    """Per key the indexes of the lines it ``shared`` with its partner.
+
+    Keys are ordered by ranges; what a range must know of those beside it, two keys at each end, passes the driver.
+    """
+    spark = keys.sparkSession
+    order = ["host", "path", "key"]
+    # Written, so that both steps see the same ranges.
+    ranged = cut_lineage(keys.repartitionByRange(task_count(spark), *order).sortWithinPartitions(*order))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> list[Key]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        return [Key(**(row | {"hashes": np.array(row["hashes"], np.int64)})) for row in rows]
+
+    def aligned(one: Key, two: Key) -> set[int]:
+        return shared_lines(one.hashes.tolist(), two.hashes.tolist(), settings.direct_cells)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = read(batches)
+        if found:
+            packed = pickle.dumps((_edges(found), _edges(found[::-1])))
+            number = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed])], ["number", "ends"])
+
+    rows = sorted(ranged.mapInArrow(ends, "number bigint, ends binary").collect())
+    numbers = [row["number"] for row in rows]
+    tails, heads = zip(*(pickle.loads(bytes(row["ends"])) for row in rows)) if rows else ((), ())
+    around: dict[int, list] = {number: [None] * 4 for number in numbers}
+    last = other = None
+    for number, edge in zip(numbers, tails):
+        around[number][:2] = last, other
+        _, last, other = _befores(edge, last, other)
+    last = other = None
+    for number, edge in reversed(list(zip(numbers, heads))):
+        around[number][2:] = last, other
+        _, last, other = _befores(edge, last, other)
+    beside = spark.sparkContext.broadcast(around)
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = read(batches)
+        if not found:
+            return
+        last, other, following, differing = beside.value[TaskContext.get().partitionId()]
+        before = _befores(found, last, other)[0]
+        after = _befores(found[::-1], following, differing)[0][::-1]
+        for low in range(0, len(found), 2000):
+            part = found[low : low + 2000]
+            shared = []
+            for key, *near in zip(part, before[low:], after[low:]):
+                near = [x for x in near if x]
+                partner = max(near, key=lambda x: _common(key.path, x.path)) if near else None
+                shared.append(sorted(aligned(key, partner)) if partner else [])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x.host for x in part], pa.string()),
+                    pa.array([x.path for x in part], pa.string()),
+                    pa.array([x.key for x in part], pa.string()),
+                    pa.array(shared, pa.list_(pa.int32())),
+                ],
+                ["host", "path", "key", "shared"],
+            )
+
+    return ranged.mapInArrow(align, "host string, path string, key string, shared array<int>")
+
+
 def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Main text of every page.
 
     One row per input row: ``page_id``, ``url``, ``text`` (empty if none), ``n_chars``, and the page's lines and those
-    shared with its partner. A null html is empty. A page without a URL, or alone on its host, has no partner and keeps
-    what the markup does not rule out. Repeated pages are each other's partners; their articles stay. Pages are ordered
-    by range of host and path, so a host of any size is dealt to many tasks; a task holds two pages at a time, and the
-    first and last page of its range look for partners inside it only. Whole pages are read. An empty table gives no
-    rows; extra columns are not read.
+    shared with its partner. A null html is empty. A page without a URL, or with no other on its host, has no partner
+    and keeps what the markup does not rule out. Pages of equal texts are no partners of each other: the partner is the
+    nearest page that differs. It is found on paths and hashes of lines alone, ordered by ranges that know the keys beside
+    them, so a host of any size is dealt to many tasks and the result does not depend on their number; a task holds the
+    keys of its range. Whole pages are read, twice. An empty table gives no rows; extra columns are not read.
     """
 
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous = held = None  # (host, path, lines) of the page before; the page whose partner is still open
-        rows: list[tuple] = []
-
-        def settled(page: tuple, before: tuple | None, after: tuple | None) -> tuple:
-            near = [x for x in (before, after) if x and page[0] and x[0] == page[0]]
-            partner = max(near, key=lambda x: _common(page[1], x[1]))[2] if near else None
-            text, shared = main_text(page[2], partner, settings)
-            return page[3], page[4], text, len(text), len(page[2]), shared
-
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                lines = page_lines(row["html"] or "", settings)
+                shared = set(row["shared"] or ())
+                text = kept_text(lines, shared)
+                rows.append((row["page_id"], row["url"], text, len(text), len(lines), len(shared)))
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             names = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-        size = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                page = (row["host"], row["path"] or "", page_lines(row["html"] or "", settings), row["page_id"], row["url"])
-                if held:
-                    rows.append(settled(held, previous, page))
-                    size += len(rows[-1][2])
-                    previous = held
-                held = page
-                if size > 4_000_000 or len(rows) >= 2000:
-                    yield packed(rows)
-                    rows, size = [], 0
-        if held:
-            rows.append(settled(held, previous, None))
-        if rows:
-            yield packed(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     url = F.regexp_replace(F.coalesce(pages["url"], F.lit("")), r"[?#].*$", "")
     source = pages.select(
@@ -343,6 +456,8 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
         F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*(.*)$", 1).alias("path"),
     )
-    order = ["host", "path", "page_id"]
-    spread = source.repartitionByRange(task_count(pages.sparkSession), *order, F.xxhash64("html"))
-    return spread.sortWithinPartitions(*order).mapInArrow(difference, SCHEMA)
+    source = source.withColumn("key", F.md5(F.coalesce("html", F.lit("")).cast("binary")))
+    found = shared_of_keys(page_keys(source, settings), settings)
+    return source.join(found, ["host", "path", "key"], "left").select(
+        "page_id", "url", "html", "shared"
+    ).mapInArrow(finish, SCHEMA)

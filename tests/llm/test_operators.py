@@ -341,3 +341,27 @@ def test_page_without_head_end_and_with_layout_names():
         assert text(f'<div class="{name}">no</div><p>yes</p>') == "yes"
     assert text('<aside><article><p>no</p></article></aside><p>yes</p>') == ""
     assert text('<div id="comments"><article class="comment"><p>no</p></article></div>') == ""
+
+
+def test_pages_in_ranges_and_long_pages(spark, monkeypatch):
+    data = [
+        (i, f"http://h/{i // 2:03d}/{i % 2}?x={i}", f"<div>Menu {i // 2}</div><article><p>own {i}</p></article><div>Menu {i // 2}</div>")
+        for i in range(40)
+    ]
+    data += [(i + 100, f"http://h/{i // 2:03d}/{i % 2}", data[i][2]) for i in range(0, 40, 3)] + [(999, "http://k/", data[0][2])]
+    frame = spark.createDataFrame(data, "page_id long, url string, html string")
+    results = []
+    for number in (1, 3, 25, 60):
+        monkeypatch.setattr(pages, "task_count", lambda _: number)
+        results.append({r.page_id: (r.text, r.n_shared) for r in pages.extract_pages(frame).collect()})
+    assert results[0] == results[1] == results[2] == results[3] and len(results[0]) == len(data)
+    # Copies are no partners of each other; every page of a pair shares its menus with the other one.
+    assert {results[0][i][1] for i in range(40)} == {2} and results[0][999] == ("own 0", 0)
+    assert results[0][100] == results[0][0]
+    rng = np.random.default_rng(8)
+    for size, letters in ((9, 4), (60, 5), (700, 30)):
+        a, b = (list(map(str, rng.integers(0, letters, size))) for _ in "ab")
+        exact = pages.shared_lines(a, b, 10**6)
+        halved = pages.shared_lines(a, b, 0)
+        rest = iter(b)
+        assert len(exact) == len(halved) and all(a[i] in rest for i in sorted(halved))
