@@ -2,7 +2,8 @@
 
 A page is cut into lines, one per block of its markup. Pages are ordered by host and path, and the neighbour that has
 the longer common path is the partner. The lines of the two are aligned by their longest common subsequence, and a page
-loses the lines it shares: menus, notices and footers repeat on a site, its articles do not. An article's own headings
+loses the lines it shares: menus, notices and footers repeat on a site, its articles do not. A page that shares most of
+its body is a mirror of its partner and loses only what further pages have as well. An article's own headings
 and paragraphs may recur on a mirror or as a quoted passage, so inside an article element only other lines are deleted.
 What HTML itself marks as no text (script, style, nav, header, footer, aside, form) or what classes name as advert,
 notice or comment is dropped as well, since a host with a single page has no partner.
@@ -266,15 +267,15 @@ def main_text(lines: list[Line], partner: list[Line] | None, settings: Settings)
     return kept_text(lines, shared), len(shared)
 
 
-def kept_text(lines: list[Line], shared: set[int]) -> str:
-    """Text of a page that shares the lines of these indexes."""
+def kept_text(lines: list[Line], deleted: set[int]) -> str:
+    """Text of a page whose lines of these indexes stand elsewhere; headings and paragraphs of an article stay."""
     articles = any(x.article for x in lines)
     kept = [
         line.text
         for at, line in enumerate(lines)
         if not line.apart
         and (line.article or not articles)
-        and (at not in shared or (line.article and line.running))
+        and (at not in deleted or (line.article and line.running))
     ]
     return "\n\n".join(kept)
 
@@ -291,17 +292,17 @@ def _common(one: str, two: str) -> int:
 
 @dataclass
 class Key:
-    """What pairing needs of a page. ``key`` names its markup, ``same`` the texts of its lines."""
+    """What pairing needs of a page. ``key`` names its host, path and markup, ``same`` the texts of its lines."""
 
     host: str
     path: str
-    key: str
+    key: bytes
     same: bytes
     hashes: np.ndarray
     body: bytes  # per line: 1 if it may be main text
 
 
-KEY_SCHEMA = "host string, path string, key string, same binary, hashes array<bigint>, body binary"
+KEY_SCHEMA = "host string, path string, key binary, same binary, hashes array<bigint>, body binary"
 
 
 def _digest(text: str, size: int) -> bytes:
@@ -327,14 +328,14 @@ def page_keys(source: DataFrame, settings: Settings) -> DataFrame:
                         bytes(not x.apart and (x.article or not articles) for x in lines),
                     )
                 )
-            kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "key", "same", "hashes", "body"]
             )
 
     hosted = source.where("host <> ''").select("host", "path", "key", "html")
-    return hosted.mapInArrow(keyed, KEY_SCHEMA).dropDuplicates(["host", "path", "key"])
+    return hosted.mapInArrow(keyed, KEY_SCHEMA).dropDuplicates(["key"])
 
 
 def _befores(keys: list[Key], last: Key | None, other: Key | None) -> tuple[list[Key | None], Key | None, Key | None]:
@@ -360,7 +361,10 @@ def _edges(keys: list[Key]) -> list[Key]:
 
 
 def shared_of_keys(keys: DataFrame, settings: Settings) -> DataFrame:
-    """Per key the indexes of the lines it ``shared`` with its partner.
+    """Per key the indexes of the lines it ``shared`` with its partner, and of those to be ``deleted``.
+
+    They are the same, but where most lines of the body are shared, as on a mirror. There those are deleted that also
+    stand in further pages of the host: under three paths or more, of pages with equal texts one.
 
     Keys are ordered by ranges; what a range must know of those beside it, two keys at each end, passes the driver.
     """
@@ -406,22 +410,42 @@ def shared_of_keys(keys: DataFrame, settings: Settings) -> DataFrame:
         after = _befores(found[::-1], following, differing)[0][::-1]
         for low in range(0, len(found), 2000):
             part = found[low : low + 2000]
-            shared = []
+            shared, mirrored = [], []
             for key, *near in zip(part, before[low:], after[low:]):
                 near = [x for x in near if x]
                 partner = max(near, key=lambda x: _common(key.path, x.path)) if near else None
-                shared.append(sorted(aligned(key, partner)) if partner else [])
+                met = sorted(aligned(key, partner)) if partner else []
+                body = [at for at in met if key.body[at]]
+                shared.append(met)
+                most = 2 * len(body) > sum(key.body)
+                mirrored.append([{"at": at, "line": int(key.hashes[at])} for at in body] if most else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x.host for x in part], pa.string()),
-                    pa.array([x.path for x in part], pa.string()),
-                    pa.array([x.key for x in part], pa.string()),
+                    pa.array([x.key for x in part], pa.binary()),
                     pa.array(shared, pa.list_(pa.int32())),
+                    pa.array(mirrored, pa.list_(pa.struct([("at", pa.int32()), ("line", pa.int64())]))),
                 ],
-                ["host", "path", "key", "shared"],
+                ["host", "key", "shared", "mirrored"],
             )
 
-    return ranged.mapInArrow(align, "host string, path string, key string, shared array<int>")
+    kinds = "host string, key binary, shared array<int>, mirrored array<struct<at: int, line: bigint>>"
+    met = cut_lineage(ranged.mapInArrow(align, kinds))
+    asked = met.where("mirrored is not null").select("host", "key", F.inline("mirrored"))
+    recurring = (
+        ranged.groupBy("host", "same")
+        .agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
+        .select("host", "path", F.explode("hashes").alias("line"))
+        .join(asked.select("host", "line").distinct(), ["host", "line"], "left_semi")
+        .distinct()
+        .groupBy("host", "line")
+        .count()
+        .where("count >= 3")
+        .select("host", "line")
+    )
+    repeated = asked.join(recurring, ["host", "line"]).groupBy("key").agg(F.collect_list("at").alias("repeated"))
+    deleted = F.when(F.col("mirrored").isNull(), F.col("shared")).otherwise(F.col("repeated"))
+    return met.join(repeated, "key", "left").select("key", "shared", deleted.alias("deleted"))
 
 
 def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -430,7 +454,7 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     One row per input row: ``page_id``, ``url``, ``text`` (empty if none), ``n_chars``, and the page's lines and those
     shared with its partner. A null html is empty. A page without a URL, or with no other on its host, has no partner
     and keeps what the markup does not rule out. Pages of equal texts are no partners of each other: the partner is the
-    nearest page that differs. It is found on paths and hashes of lines alone, ordered by ranges that know the keys beside
+    nearest page that differs, and of a page most of whose body it shares only lines of further pages are deleted. It is found on paths and hashes of lines alone, ordered by ranges that know the keys beside
     them, so a host of any size is dealt to many tasks and the result does not depend on their number; a task holds the
     keys of its range. Whole pages are read, twice. An empty table gives no rows; extra columns are not read.
     """
@@ -440,9 +464,8 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
             rows = []
             for row in batch.to_pylist():
                 lines = page_lines(row["html"] or "", settings)
-                shared = set(row["shared"] or ())
-                text = kept_text(lines, shared)
-                rows.append((row["page_id"], row["url"], text, len(text), len(lines), len(shared)))
+                text = kept_text(lines, set(row["deleted"] or ()))
+                rows.append((row["page_id"], row["url"], text, len(text), len(lines), len(row["shared"] or ())))
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             names = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"]
@@ -456,8 +479,8 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
         F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*(.*)$", 1).alias("path"),
     )
-    source = source.withColumn("key", F.md5(F.coalesce("html", F.lit("")).cast("binary")))
+    markup = F.concat_ws("\n", "host", "path", F.coalesce("html", F.lit("")))
+    source = source.withColumn("key", F.unhex(F.md5(markup.cast("binary"))))
     found = shared_of_keys(page_keys(source, settings), settings)
-    return source.join(found, ["host", "path", "key"], "left").select(
-        "page_id", "url", "html", "shared"
-    ).mapInArrow(finish, SCHEMA)
+    joined = source.select("page_id", "url", "html", "key").join(found, "key", "left")
+    return joined.select("page_id", "url", "html", "shared", "deleted").mapInArrow(finish, SCHEMA)

@@ -365,3 +365,20 @@ def test_pages_in_ranges_and_long_pages(spark, monkeypatch):
         halved = pages.shared_lines(a, b, 0)
         rest = iter(b)
         assert len(exact) == len(halved) and all(a[i] in rest for i in sorted(halved))
+
+
+def test_repeated_pages_keep_their_text(spark):
+    body = "".join(f"<div>text {i}</div>" for i in range(5))
+    menu = "<div>Menu</div><div>Terms</div>"
+    copies = ["", "?page=2", "?utm_source=a", "?utm_source=b"]
+    data = [(i, f"http://h/a{x}", f"<body>{body}</body>") for i, x in enumerate(copies)]
+    data += [(10 + i, f"http://k/a{x}", f"<article>{body}</article>") for i, x in enumerate(copies)]
+    # Copies with a line of their own, in a host whose other pages have the same menu.
+    data += [(20 + i, f"http://m/a{x}", f"<body>{menu}{body}<p>at {i}</p></body>") for i, x in enumerate(copies)]
+    data += [(30 + i, f"http://m/z{i}", f"<body>{menu}<p>own {i}</p><p>and {i}</p><p>more {i}</p></body>") for i in range(3)]
+    frame = spark.createDataFrame(data, "page_id long, url string, html string")
+    found = {r.page_id: r.text.split("\n\n") for r in pages.extract_pages(frame).collect()}
+    text = [f"text {i}" for i in range(5)]
+    assert all(found[i] == found[10 + i] == text for i in range(4))
+    assert all(found[20 + i] == [*text, f"at {i}"] for i in range(4))
+    assert all(found[30 + i] == [f"own {i}", f"and {i}", f"more {i}"] for i in range(3))
