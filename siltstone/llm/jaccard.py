@@ -122,15 +122,16 @@ def _record(count: int, **given) -> pa.RecordBatch:
 
 
 def document_sets(documents: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id``, the key of its set, and ``n_shingles``."""
+    """``doc_id``, the key of its set, ``n_shingles``, and the ``tie`` that tells a row without an id."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             grams, ends = gram_sets(part.column("text"), settings.words)
-            columns = [part.column("doc_id"), pa.array(set_keys(grams, ends)), pa.array(np.diff(ends))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set", "n_shingles"])
+            columns = [part.column("doc_id"), pa.array(set_keys(grams, ends)), pa.array(np.diff(ends)), part.column("tie")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set", "n_shingles", "tie"])
 
-    return documents.mapInArrow(scan, "doc_id bigint, set bigint, n_shingles bigint")
+    tied = documents.withColumn("tie", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return tied.mapInArrow(scan, "doc_id bigint, set bigint, n_shingles bigint, tie bigint")
 
 
 def _block_of(columns: np.ndarray, blocks: int) -> np.ndarray:
@@ -376,17 +377,23 @@ def gram_groups(documents: DataFrame, settings: Settings = Settings()) -> DataFr
     alive = met.groupBy("set").agg(F.sum("met").alias("met"))
     # A partner may be smaller and share fewer, but has at least the needed part of the size.
     least = F.ceil(F.ceil(F.col("size") * settings.percent / 100) * settings.percent / 100)
-    # The text of one document of each remaining set.
+    # The text of one document of each remaining set; where all lack an id, a row is told by its text.
     one_each = (
-        sets.where("set <> 0 and doc_id is not null")
+        sets.where("set <> 0")
         .groupBy("set")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.min("tie").alias("tie"))
         .join(alive, "set")
         .where(F.col("met") >= F.least(F.lit(settings.shared), least))
     )
-    remaining = cut_lineage(one_each.select("doc_id"))
-    few = remaining.count() <= settings.broadcast_ids
+    chosen = cut_lineage(one_each.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("tie")).alias("tie")))
+    known, without = chosen.agg(F.count("doc_id"), F.count("tie")).first()
+    remaining = chosen.where("doc_id is not null").select("doc_id")
+    few = known <= settings.broadcast_ids
     texts = source.join(F.broadcast(remaining) if few else remaining, "doc_id", "left_semi")
+    if without:
+        ties = chosen.where("tie is not null").select("tie")
+        nameless = source.where("doc_id is null").withColumn("tie", F.xxhash64("text")).join(ties, "tie", "left_semi")
+        texts = texts.unionByName(nameless.dropDuplicates(["tie"]).drop("tie"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32

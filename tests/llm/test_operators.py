@@ -157,6 +157,18 @@ def test_jaccard_equals_brute_force(documents):
     assert jaccard.gram_groups(documents.limit(0)).count() == 0
 
 
+def test_jaccard_links_through_a_row_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    # Of 40 n-grams each the ends share 30 of 50, and 35 of 45 with the row between them.
+    texts = [" ".join(words[low : low + 44]) for low in (0, 5, 10)]
+    data = [(1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (3, "some other words of no weight here")]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    found = rows_of(jaccard.gram_groups(frame), "doc_id", "component_id")
+    assert found == {(1, 1): 1, (None, 1): 2, (2, 1): 1, (3, 3): 1}
+    alone = rows_of(jaccard.gram_groups(frame.where("doc_id = 1 or doc_id = 2")), "doc_id", "component_id")
+    assert alone == {(1, 1): 1, (2, 2): 1}
+
+
 def test_pivots_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16))
