@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, jaccard, language, mixing, pages, personal, pivots, secrets, tokens, toxicity
+from siltstone.llm import (
+    byte_pairs,
+    crosswalk,
+    decontamination,
+    jaccard,
+    language,
+    mixing,
+    pages,
+    periodicity,
+    personal,
+    pivots,
+    secrets,
+    tokens,
+    toxicity,
+)
 from siltstone.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +70,23 @@ def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_pages(read_table(spark, folder, "pages"))
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodicity.run_digests(read_table(spark, folder, "documents"))
+
+
+def op12_crosswalk(spark: SparkSession, folder: str) -> DataFrame:
+    settings = crosswalk.Settings(
+        bytes_file=public_tokenizers.path("byte_bpe_50k.json"),
+        pieces_file=public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return crosswalk.align_documents(read_table(spark, folder, "documents"), settings)
+
+
+def op13_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    settings = byte_pairs.Settings(ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_pairs.encoding_digests(read_table(spark, folder, "documents"), settings)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -67,6 +98,9 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_personal": op9_personal,
     "op10_pages": op10_pages,
+    "op11_runs": op11_runs,
+    "op12_crosswalk": op12_crosswalk,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE}
