@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("files", "parsing", "graphs", "candidates", "lookups")
+_MODULES = ("files", "parsing", "graphs", "candidates", "lookups", "integrity")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
