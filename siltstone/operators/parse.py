@@ -54,10 +54,6 @@ def _before(value: str, separator: str) -> str:
     return strip_sql(f"substring_index({value}, '{separator}', 1)")
 
 
-def _within(at: str, spans: str) -> str:
-    return f"exists({spans}, s -> s.body_start <= {at} and {at} < s.body_end)"
-
-
 def _let(value: str, name: str, body: str) -> str:
     """``body`` with ``value`` computed once per row and bound to ``name``, however often the body uses it."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -184,8 +180,7 @@ def _imports() -> str:
     python = _import("m.name", "m.items", "m.first", "m.depth > 0", "m.line")
     go = _import("m.name", NO_STRINGS, "if(m.first in ('_', '.'), null, m.first)", "startswith(m.name, '.')", "m.line")
     cpp = _import("coalesce(m.second, m.first)", NO_STRINGS, "null", "m.second is not null", "m.line")
-    outside = f"m -> m.depth = 1 or not {_within('m.start', 'ib')}"
-    go_marks = _let(_of("import_block"), "ib", f"filter({_of('import')}, {outside})")
+    go_marks = f"filter({_of('import')}, m -> m.depth = 1 or not m.inside)"
     return _per_language(
         IMPORT,
         python=f"transform({_of('import')}, m -> {python})",
@@ -201,14 +196,9 @@ def _methods() -> str:
 
     A Rust method belongs to the smallest impl block around it, a Go method to its receiver.
     """
-    around = "filter(il, b -> b.body_start <= m.start and m.start < b.body_end)"
-    smallest = (
-        f"array_min(transform({around}, b -> named_struct('length', b.body_end - b.body_start, "
-        "'at', b.body_start, 'name', b.name))).name"
-    )
-    owner_name = f"case _language when 'rust' then {smallest} when 'go' then m.first end"
+    owner_name = "case _language when 'rust' then get(il, m.owner).name when 'go' then m.first end"
     chosen = (
-        f"case _language when 'rust' then filter({_of('function')}, m -> {_within('m.start', '_owners')}) "
+        f"case _language when 'rust' then filter({_of('function')}, m -> m.inside) "
         f"when 'go' then filter({_of('function')}, m -> m.first is not null) "
         f"else filter({_of('method')}, m -> m.depth = 0) end"
     )
@@ -219,6 +209,27 @@ def _methods() -> str:
     return _let(_of("impl"), "il", rows)
 
 
+def _grouped(rows: str, key: str, value: str) -> str:
+    """Rows (as ``x``) by key in one sort: ``rows`` in key order, and a map from a key to its first place and number.
+
+    A class then takes a slice of them instead of looking at every row. Rows of no key are left out.
+    """
+    kept = f"filter(transform({rows}, (x, at) -> named_struct('key', {key}, 'at', at, 'value', {value})), g -> g.key is not null)"
+    firsts = "filter(transform(gs, (g, i) -> if(i = 0 or gs[greatest(i - 1, 0)].key <> g.key, i, -1)), i -> i >= 0)"
+    counts = "transform(gf, (f, i) -> coalesce(get(gf, i + 1), size(gs)) - f)"
+    places = (
+        f"map_from_arrays(transform(gf, f -> gs[f].key), zip_with(gf, {counts}, (f, n) -> named_struct('first', f + 1, 'n', n)))"
+    )
+    made = f"named_struct('rows', transform(gs, g -> g.value), 'places', {_let(firsts, 'gf', places)})"
+    return _let(f"array_sort({kept})", "gs", made)
+
+
+def _group_of(groups: str, key: str, kind: str) -> str:
+    """The rows of one key in their order, none for an unknown key."""
+    place = f"element_at({groups}.places, {key})"
+    return f"coalesce(slice({groups}.rows, {place}.first, {place}.n), cast(array() as array<{kind}>))"
+
+
 # The arrow must come before the statement or the line ends.
 _IS_ARROW = (
     "(instr(m.third, '=>') > 0 and (instr(m.third, ';') = 0 or instr(m.third, '=>') < instr(m.third, ';')) "
@@ -228,29 +239,28 @@ _IS_ARROW = (
 
 def _function_marks() -> str:
     """Marks of free functions."""
-    inside = _within("m.start", "_owners")
     return (
         f"filter({_of('function', 'arrow')}, m -> case _language when 'python' then true "
         f"when 'go' then m.first is null "
-        f"when 'cpp' then m.depth = 0 and not {inside} and {strip_sql('m.first')} <> '' "
-        f"else not {inside} and (m.kind <> 'arrow' or {_IS_ARROW}) end)"
+        f"when 'cpp' then m.depth = 0 and not m.inside and {strip_sql('m.first')} <> '' "
+        f"else not m.inside and (m.kind <> 'arrow' or {_IS_ARROW}) end)"
     )
 
 
 def _values(kind: str) -> str:
     """Constants or variables: Go block entries before singles; TypeScript without arrow functions."""
-    go = f"filter({_of(kind)}, m -> if(m.depth = 1, m.name <> '_', not {_within('m.start', 'vb')}))"
+    go = f"filter({_of(kind)}, m -> if(m.depth = 1, m.name <> '_', not m.inside))"
     arrows = f"transform(filter({_of('arrow')}, m -> {_IS_ARROW}), m -> m.name)"
     typescript = f"filter({_of(kind)}, m -> not array_contains(an, m.name))"
     return (
-        f"case _language when 'go' then {_let(_of('value_block'), 'vb', go)} "
+        f"case _language when 'go' then {go} "
         f"when 'typescript' then {_let(arrows, 'an', typescript)} else {_of(kind)} end"
     )
 
 
 def _classes() -> str:
     """Class records; methods are attached by enclosing mark, by impl block or by receiver."""
-    rust_bases = "transform(filter(il, b -> b.name = c.name and b.first is not null), b -> b.first)"
+    rust_bases = _group_of("ig", "c.name", "string")
     typescript_bases = (
         f"concat(if(c.first is null, {NO_STRINGS}, array(c.first)), "
         f"if(c.second is null, {NO_STRINGS}, {split_top_level_sql('c.second')}))"
@@ -263,14 +273,16 @@ def _classes() -> str:
         f"case _language when 'python' then c.items when 'rust' then {rust_bases} "
         f"when 'typescript' then {typescript_bases} when 'cpp' then {cpp_bases} else {NO_STRINGS} end"
     )
-    own = "filter(_methods, x -> if(_language in ('rust', 'go'), x.owner_name = c.name, x.owner = i))"
+    own = _group_of("mg", "if(_language in ('rust', 'go'), c.name, cast(i as string))", FUNCTION)
     record = (
         f"named_struct('name', c.name, 'base_classes', {bases}, "
-        f"'methods', transform({own}, x -> x.record), 'decorators', c.decorators, "
+        f"'methods', {own}, 'decorators', c.decorators, "
         f"'docstring', {_doc('c')}, 'line_number', c.line)"
     )
     marks = f"if(_language = 'go', {_latest(_of('class'))}, {_of('class')})"
-    rows = _let(_of("impl"), "il", f"transform({marks}, (c, i) -> {record})")
+    methods = _grouped("_methods", "if(_language in ('rust', 'go'), x.owner_name, cast(x.owner as string))", "x.record")
+    impls = _grouped(_of("impl"), "if(x.first is null, null, x.name)", "x.first")
+    rows = _let(methods, "mg", _let(impls, "ig", f"transform({marks}, (c, i) -> {record})"))
     return f"cast({rows} as array<{CLASS}>)"
 
 
@@ -409,7 +421,6 @@ def parse_files(files: DataFrame) -> DataFrame:
             "_scan.marks as _marks",
             "if(_language is null, concat(\"no parser supports '\", relative_path, \"'\"), _scan.error) as error_message",
         )
-        .selectExpr("*", f"filter({_of('class', 'impl', 'trait')}, m -> m.body_end >= 0) as _owners")
         .selectExpr(
             "*",
             f"{_values('const')} as _constants",

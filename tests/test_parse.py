@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
+from siltstone.operators.marks import innermost, pattern_marks
 from siltstone.operators.parse import parse_files
 
 
@@ -195,3 +198,65 @@ def test_many_declarations_cost_in_proportion():
     methods = pattern_marks("typescript", "class K {\n" + body + "\n}")
     assert sum(mark.kind == "method" for mark in methods) == 20_000
     assert {mark.depth for mark in methods if mark.kind == "method"} == {0}
+
+
+@pytest.mark.parametrize(
+    "language, path, line",
+    [
+        ("cpp", "a.cpp", "int f(\n"),
+        ("cpp", "a.hpp", "class A {\n int f(\n"),
+        ("rust", "a.rs", "fn f(\n"),
+        ("rust", "b.rs", "fn f()\n"),
+        ("go", "a.go", "func f(\n"),
+        ("typescript", "a.ts", "function f(\n"),
+        ("typescript", "b.ts", "class A {\n m(\n"),
+    ],
+)
+def test_unclosed_brackets_hold_no_rest_of_the_text(language, path, line):
+    sizes = []
+    for count in (5_000, 10_000):
+        found = pattern_marks(language, line * count)
+        sizes.append(sum(len(m.params or "") + len(m.tail or "") for m in found))
+        assert len(found) >= count
+    assert sizes[1] <= 2 * sizes[0] + 100 and sizes[1] < 20 * 10_000
+
+
+def test_innermost_spans_by_brute_force():
+    dice = random.Random(4)
+    for _ in range(200):
+        spans, stack, at = [], [], 0
+        for _ in range(dice.randrange(12)):
+            at += dice.randrange(1, 4)
+            if stack and dice.random() < 0.5:
+                spans.append((stack.pop(), at))
+            else:
+                stack.append(at)
+        spans += [(x, at + 5) for x in stack]
+        dice.shuffle(spans)
+        starts = [dice.randrange(at + 8) for _ in range(20)]
+        wanted = []
+        for start in starts:
+            around = [(e - b, i) for i, (b, e) in enumerate(spans) if b <= start < e]
+            wanted.append(min(around)[1] if around else -1)
+        found = innermost(starts, spans)
+        assert [spans[x] if x >= 0 else None for x in found] == [spans[x] if x >= 0 else None for x in wanted]
+
+
+def test_many_methods_of_many_impls(spark):
+    text = "".join(
+        f"pub struct S{i} {{\n}}\nimpl T for S{i} {{\n" + "".join(f"  fn m{j}(&self) -> u8 {{ {j} }}\n" for j in range(10)) + "}\n"
+        for i in range(2_000)
+    )
+    parsed = parse_files(spark.createDataFrame([("a.rs", text)], "relative_path string, content string"))
+    row = parsed.selectExpr(
+        "size(classes) as n", "size(functions) as free", "aggregate(classes, 0, (a, c) -> a + size(c.methods)) as methods",
+        "classes[1999].methods[9].name as last", "classes[1999].base_classes as bases",
+    ).first()
+    assert (row.n, row.free, row.methods, row["last"], row.bases) == (2_000, 0, 20_000, "m9", ["T"])
+
+
+def test_unclosed_class_ends_at_the_next(spark):
+    text = "class A {\n  a(x: number): void {\n  }\n\nclass B {\n  b(): void {\n  }\n}\n"
+    parsed = parse_files(spark.createDataFrame([("a.ts", text)], "relative_path string, content string"))
+    found = parsed.selectExpr("transform(classes, c -> struct(c.name, transform(c.methods, m -> m.name))) as c").first().c
+    assert [(c[0], c[1]) for c in found] == [("A", ["a"]), ("B", ["b"])]
