@@ -6,24 +6,24 @@ signals alone. The operators therefore work on groups and group leaders; no pair
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from siltstone.errors import IntegrityError, ValidationError
-from siltstone.functions.documents import export_checksum
+from siltstone.functions.documents import canonical_json, export_checksum
 from siltstone.functions.paths import qualified_name
 from siltstone.operators.checks import duplicates, missing, require_empty, require_found
-from siltstone.operators.spread import HOT_ROWS, distributed_rank, spread_join
+from siltstone.operators.spread import HOT_ROWS, distributed_rank, order_statistic, spread_join
 from siltstone.session import cut_lineage
 
 # Fixed value: version written into exports.
 FORMAT_VERSION = "1.0"
-# Up to this many rows a top-n is taken directly; beyond it ranks are computed range by range.
-DIRECT_TOP = 10_000
-# A signal set of k members has 2**k - 1 subsets; verdict counts refuse larger ones instead of guessing.
-MAX_SIGNALS = 16
 
 
 class SelectionPolicy(NamedTuple):
@@ -90,6 +90,7 @@ def group_leaders(subjects: DataFrame, eligible: Column | None = None) -> DataFr
         "name",
         F.col("b.subject_id").alias("leader_id"),
         F.col("b.signals").alias("leader_signals"),
+        (-F.col("b.rank_key")).alias("leader_score"),
         "rows",
     )
 
@@ -108,60 +109,95 @@ def compare_to_leaders(subjects: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
     )
 
 
-def verdict_counts(subjects: DataFrame) -> DataFrame:
-    """How many unordered pairs of all subjects get each verdict, without listing the pairs.
+_BIG = "decimal(38,0)"
 
-    Equal subjects collapse into classes with a size. Pairs that share a signal are counted by inclusion and
-    exclusion over signal subsets: subjects holding a subset T contribute n(n-1)/2 pairs, with alternating sign.
-    """
-    big = "decimal(38,0)"
 
-    def pairs(count: Column) -> Column:
-        count = count.cast("decimal(18,0)")
-        return (count * (count - 1) / 2).cast(big)
+def _pairs(count: Column) -> Column:
+    count = count.cast("decimal(18,0)")
+    return (count * (count - 1) / 2).cast(_BIG)
 
-    classes = subjects.groupBy("kind", "name", "signals").agg(F.count("*").alias("n"))
-    names = classes.groupBy("kind", "name").agg(F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("equal"))
-    kinds = names.groupBy("kind").agg(
-        F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("same_name"), F.sum("equal").alias("equal")
-    )
-    total = kinds.agg(
-        pairs(F.sum("n")).alias("every"), F.sum("same_name").alias("same_name"), F.sum("equal").alias("equivalent")
-    ).select(
-        F.col("every"), F.col("equivalent"), (F.col("same_name") - F.col("equivalent")).alias("conflicting")
-    )
-    too_many = F.raise_error(F.lit(f"a subject has more than {MAX_SIGNALS} signals")).cast("array<string>")
-    distinct = F.when(F.size(F.array_distinct("signals")) > MAX_SIGNALS, too_many).otherwise(
-        F.array_sort(F.array_distinct("signals"))
-    )
-    subsets = F.expr(
-        "filter(aggregate(_set, array(cast(array() as array<string>)), "
-        "(acc, s) -> concat(acc, transform(acc, a -> array_append(a, s)))), t -> size(t) > 0)"
+
+def _overlapping_pairs(classes: DataFrame) -> DataFrame:
+    """One row: ``pairs`` of subjects of one kind whose different signal sets share a signal, names not counted twice.
+
+    Pairs are counted by inclusion and exclusion over the signal subsets T that at least two distinct sets hold, level by
+    level; a pair of sets with a common signal is counted once in sum. Where all holders of T have a further signal x
+    beyond T's last, the subsets that extend T come in twos, with and without x, of equal count and opposite sign. So T
+    and all that extends it add up to nothing and are left out; sets that differ little are settled in the first level.
+    """
+    held = cut_lineage(
+        classes.where("size(_set) > 0").select("kind", "name", "_set", "n", F.array().cast("array<string>").alias("subset"))
     )
-    holders = (
-        classes.withColumn("_set", distinct)
-        .select("kind", "name", "n", F.explode(subsets).alias("subset"))
-        .groupBy("kind", "name", "subset")
-        .agg(F.sum("n").alias("n"))
+    keys, total, sign = ["kind", "subset"], None, 1
+    while True:
+        # Occurrences of the subsets one signal longer: every later signal of a holder extends its subset.
+        later = F.expr("filter(_set, x -> size(subset) = 0 or x > element_at(subset, -1))")
+        longer = held.select("kind", "name", "_set", "n", "subset", F.explode(later).alias("x")).withColumn(
+            "subset", F.array_append("subset", F.col("x"))
+        )
+        sets = longer.groupBy(*keys, "_set").agg(
+            F.sum("n").alias("n"), F.sum(_pairs(F.col("n"))).alias("same_name")
+        )
+        shared = sets.groupBy(*keys).agg(
+            F.count("*").alias("sets"),
+            F.sum("n").alias("n"),
+            F.sum(_pairs(F.col("n")) - F.col("same_name")).alias("within"),
+        ).where("sets > 1")
+        further = (
+            sets.select(*keys, F.explode(F.expr("filter(_set, x -> x > element_at(subset, -1))")).alias("x"))
+            .groupBy(*keys, "x")
+            .agg(F.count("*").alias("holders"))
+            .groupBy(*keys)
+            .agg(F.max("holders").alias("most"))
+        )
+        kept = cut_lineage(
+            shared.join(further, keys, "left").where("most is null or most < sets").select(*keys, "n", "within")
+        )
+        held = cut_lineage(longer.drop("x").join(kept.select(*keys), keys, "left_semi"))
+        names = held.groupBy(*keys, "name").agg(F.sum("n").alias("n"))
+        counted = kept.select("n", "within", F.lit(0).cast(_BIG).alias("same")).unionByName(
+            names.select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast(_BIG).alias("within"), _pairs(F.col("n")).alias("same"))
+        )
+        level = counted.agg(
+            F.coalesce(F.sum(_pairs(F.col("n")) - F.col("within") - F.col("same")), F.lit(0)).alias("pairs"),
+            F.count("*").alias("rows"),
+        ).first()  # one row
+        total = sign * level["pairs"] + (total or 0)
+        if not level["rows"]:
+            break
+        sign = -sign
+    return classes.sparkSession.createDataFrame([(total,)], f"pairs {_BIG}")
+
+
+def verdict_counts(subjects: DataFrame) -> DataFrame:
+    """How many unordered pairs of all subjects get each verdict, without listing the pairs.
+
+    Equal subjects collapse into classes with a size. Pairs of one signal set follow from the class sizes; pairs of
+    different sets that share a signal are counted over a lattice of subsets, for sets of any size. Counts are decimals,
+    as the pairs of billions of subjects exceed 64 bits.
+    """
+    classes = cut_lineage(
+        subjects.withColumn("_set", F.array_sort(F.array_distinct(F.array_compact("signals"))))
+        .groupBy("kind", "name", "signals", "_set")
+        .agg(F.count("*").alias("n"))
     )
-    per_subset = holders.groupBy("kind", "subset").agg(
-        F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("same_name")
+    names = classes.groupBy("kind", "name").agg(F.sum("n").alias("n"), F.sum(_pairs(F.col("n"))).alias("equal"))
+    total = names.agg(
+        _pairs(F.sum("n")).alias("every"), F.sum(_pairs(F.col("n"))).alias("same_name"), F.sum("equal").alias("equivalent")
     )
-    sign = F.when(F.size("subset") % 2 == 1, F.lit(1)).otherwise(F.lit(-1)).cast("decimal(2,0)")
-    # Pairs sharing a signal whose names differ.
-    compatible = per_subset.select(
-        F.lit("compatible").alias("verdict"), (sign * (pairs(F.col("n")) - F.col("same_name"))).cast(big).alias("pairs")
-    )
-    grouped = total.select(
-        F.expr("stack(3, 'equivalent', equivalent, 'conflicting', conflicting, 'distinct', every - equivalent - conflicting) as (verdict, pairs)")
-    ).select("verdict", F.col("pairs").cast(big).alias("pairs"))
-    moved = compatible.select(F.lit("distinct").alias("verdict"), (-F.col("pairs")).alias("pairs"))
-    return (
-        grouped.unionByName(compatible)
-        .unionByName(moved)
-        .groupBy("verdict")
-        .agg(F.sum("pairs").cast("bigint").alias("pairs"))
+    by_set = classes.groupBy("kind", "name", "_set").agg(F.sum("n").alias("n"))
+    same_set = (
+        by_set.where("size(_set) > 0")
+        .groupBy("kind", "_set")
+        .agg((_pairs(F.sum("n")) - F.sum(_pairs(F.col("n")))).alias("pairs"))
+        .agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("same_set"))
     )
+    different = _overlapping_pairs(by_set).withColumnRenamed("pairs", "different")
+    # One row each.
+    return total.join(same_set, F.lit(True)).join(different, F.lit(True)).selectExpr(
+        "stack(4, 'equivalent', equivalent, 'conflicting', same_name - equivalent, 'compatible', same_set + different, "
+        "'distinct', every - same_name - same_set - different) as (verdict, pairs)"
+    ).select("verdict", F.coalesce(F.col("pairs"), F.lit(0)).cast(_BIG).alias("pairs"))
 
 
 def default_score(public: float = 0.5, documented: float = 0.3, signalled: float = 0.2, full: int = 5) -> Column:
@@ -186,13 +222,21 @@ def rank_subjects(scored: DataFrame) -> DataFrame:
     return distributed_rank(scored, rank_order())
 
 
+def _up_to(threshold: Row, score: Column, subject_id: Column) -> Column:
+    """Whether a subject stands at or before the threshold in rank order."""
+    limit = F.lit(threshold["score"])
+    return (score > limit) | ((score == limit) & (subject_id <= F.lit(threshold["subject_id"])))
+
+
 def top(scored: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` subjects in rank order."""
+    """The first ``count`` subjects in rank order: all up to the one of that rank, which ranges of counts locate."""
     if count < 0:
         raise ValidationError("count must not be negative")
-    if count <= DIRECT_TOP:
-        return scored.orderBy(*rank_order()).limit(count)
-    return rank_subjects(scored).where(F.col("rank") <= count).drop("rank")
+    if count == 0:
+        return scored.limit(0)
+    last = order_statistic(scored.select("score", "subject_id"), rank_order(), count)
+    kept = scored if last is None else scored.where(_up_to(last, F.col("score"), F.col("subject_id")))
+    return kept.orderBy(*rank_order())
 
 
 def score_for(scored: DataFrame, subject_id: str) -> DataFrame:
@@ -220,18 +264,20 @@ def _eligibility(policy: SelectionPolicy) -> Column:
     return F.when(F.col("score") < policy.minimum_score, "below_minimum_score").when(kind, "kind_mismatch")
 
 
-def _within_capacity(free: DataFrame, policy: SelectionPolicy) -> DataFrame:
-    """Ids of the conflict-free subjects that fit the capacity."""
+def _capacity_end(free: DataFrame, policy: SelectionPolicy) -> Row | None:
+    """Score and id of the last conflict-free subject within the capacity; None when all fit."""
     if policy.maximum_selected is None:
-        return free.select("subject_id")
-    return top(free.select("score", "subject_id"), policy.maximum_selected).select("subject_id")
+        return None
+    return order_statistic(free.select("score", "subject_id"), rank_order(), policy.maximum_selected)
 
 
 def select_subjects(scored: DataFrame, policy: SelectionPolicy, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Greedy selection in rank order, every subject selected or rejected with a reason.
 
     Walking a (kind, name) group in rank order, its leader is taken first, and from then on exactly the
-    subjects with the leader's signals are free of conflict. So one minimum per group replaces the walk.
+    subjects with the leader's signals are free of conflict. So one minimum per group replaces the walk. Of the free
+    subjects the first ``maximum_selected`` fit: those up to one place in rank order, which is found from
+    counts of ranges. A leader is the first free subject of its group, so whether it was selected follows from its place too.
     """
     policy = policy.checked()
     judged = scored.withColumn("_reason", _eligibility(policy))
@@ -244,27 +290,20 @@ def select_subjects(scored: DataFrame, policy: SelectionPolicy, hot_rows: int =
         leaders.select("kind", "name", "rows"),
         hot_rows,
     )
-    free = joined.where("_reason is null and signals = leader_signals")
-    if policy.maximum_selected is None:
-        reason = F.coalesce(
-            "_reason", F.when(F.col("signals") != F.col("leader_signals"), "conflicting_with_selected")
-        )
-        return joined.select(*scored.columns, *_outcome(reason))
-    kept = _within_capacity(free, policy).withColumn("_kept", F.lit(True))
-    lead = kept.select(F.col("subject_id").alias("leader_id"), F.col("_kept").alias("_lead"))
-    marked = joined.join(kept, "subject_id", "left")
-    if policy.maximum_selected <= DIRECT_TOP:
-        marked = marked.join(F.broadcast(lead), "leader_id", "left")  # at most DIRECT_TOP rows
-    else:
-        marked = spread_join(marked, lead, ["leader_id"], ["subject_id"], hot_rows=hot_rows)
-    conflict = (F.col("signals") != F.col("leader_signals")) & F.col("_lead").isNotNull()
+    end = None
+    if policy.maximum_selected is not None:
+        joined = cut_lineage(joined)
+        end = _capacity_end(joined.where("_reason is null and signals = leader_signals"), policy)
+    always = F.lit(True)
+    fits = always if end is None else _up_to(end, F.col("score"), F.col("subject_id"))
+    led = always if end is None else _up_to(end, F.col("leader_score"), F.col("leader_id"))
     reason = (
         F.when(F.col("_reason").isNotNull(), F.col("_reason"))
-        .when(F.col("_kept").isNotNull(), F.lit(None).cast("string"))
-        .when(conflict, "conflicting_with_selected")
+        .when((F.col("signals") != F.col("leader_signals")) & led, "conflicting_with_selected")
+        .when((F.col("signals") == F.col("leader_signals")) & fits, F.lit(None).cast("string"))
         .otherwise("capacity_exceeded")
     )
-    return marked.select(*scored.columns, *_outcome(reason))
+    return joined.select(*scored.columns, *_outcome(reason))
 
 
 def select_with_comparisons(scored: DataFrame, comparisons: DataFrame, policy: SelectionPolicy) -> DataFrame:
@@ -312,7 +351,10 @@ def select_with_comparisons(scored: DataFrame, comparisons: DataFrame, policy: S
             )
         )
         chosen = cut_lineage(chosen.union(winners))
-    kept = _within_capacity(chosen.join(judged, "subject_id"), policy).withColumn("_kept", F.lit(True))
+    free = chosen.join(judged.select("subject_id", "score"), "subject_id")
+    end = _capacity_end(free, policy)
+    fitting = free if end is None else free.where(_up_to(end, F.col("score"), F.col("subject_id")))
+    kept = fitting.select("subject_id").withColumn("_kept", F.lit(True))
     blocked = (
         ends.select(F.col("left_subject_id").alias("kept_id"), F.col("right_subject_id").alias("subject_id"))
         .union(ends.select("right_subject_id", "left_subject_id"))
@@ -362,28 +404,87 @@ def member(members: DataFrame, subject_id: str) -> DataFrame:
     return require_found(members.where(F.col("subject_id") == subject_id), f"no member '{subject_id}'")
 
 
+def _member_text() -> Column:
+    fields = F.struct(
+        "subject_id", F.col("repository_id").cast("string").alias("repository_id"), "name", "kind", "relative_path", "score"
+    )
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
 def member_documents(members: DataFrame) -> DataFrame:
-    """One JSON document and checksum per member; the form for merges of any size."""
-    fields = F.struct("subject_id", "repository_id", "name", "kind", "relative_path", "score")
-    document = F.to_json(fields, {"ignoreNullFields": "false"})
+    """One JSON document and checksum per member."""
+    document = _member_text()
     return members.select("subject_id", "score", document.alias("document"), export_checksum(document).alias("checksum"))
 
 
-def export_members(members: DataFrame, format_version: str = FORMAT_VERSION, max_members: int = DIRECT_TOP) -> DataFrame:
-    """One row holding the whole merge as JSON with its checksum.
+def digest_tree(members: DataFrame, fan_out: int = 1024) -> DataFrame:
+    """(level, place, digest) of a hash tree over the members in rank order.
 
-    A single document has to be built in one place, so this is for selections bounded by a policy; a larger
-    merge is refused here and exported with ``member_documents``.
+    A leaf is the checksum of a member's canonical document; a node is the SHA-256 of up to ``fan_out`` digests below it, as
+    text, one after the other. Places follow from ranks alone, so the tree is the same for any partitioning, no node needs more
+    than ``fan_out`` digests in one place, and two exports are compared from the root down. No members give one root, the
+    digest of the empty text.
     """
-    count = members.limit(max_members + 1).count()
-    if count > max_members:
-        raise ValidationError("too many members for one document; use member_documents", max_members=max_members)
-    fields = F.struct("subject_id", F.col("repository_id").cast("string").alias("repository_id"), "name", "kind", "relative_path", "score")
-    keyed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank_key"), "subject_id", fields.alias("member"))))
-    payload = members.limit(max_members).agg(F.transform(keyed, lambda row: row["member"]).alias("members"))
-    document = payload.select(
-        F.lit(format_version).alias("format_version"),
-        F.size("members").alias("member_count"),
-        F.to_json(F.struct("members"), {"ignoreNullFields": "false"}).alias("payload"),
+    if fan_out < 2:
+        raise ValidationError("fan_out must be at least 2")
+    ranked = distributed_rank(member_documents(members).drop("document"), rank_order(), "place")
+    level = cut_lineage(
+        ranked.select(F.lit(0).alias("level"), (F.col("place") - 1).alias("place"), F.col("checksum").alias("digest"))
     )
-    return document.withColumn("checksum", export_checksum(F.col("payload")))
+    levels, count, height = [level], level.count(), 0
+    while count > 1:
+        height, count = height + 1, -(-count // fan_out)
+        below = F.array_sort(F.collect_list(F.struct("place", "digest")))
+        joined = F.array_join(F.transform(below, lambda x: x["digest"]), "")
+        level = cut_lineage(
+            level.groupBy(F.floor(F.col("place") / fan_out).cast("bigint").alias("above"))
+            .agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
+            .select(F.lit(height).alias("level"), F.col("above").alias("place"), "digest")
+        )
+        levels.append(level)
+    if not count:
+        return members.sparkSession.range(1).select(
+            F.lit(0).alias("level"), F.col("id").alias("place"), F.sha2(F.lit("").cast("binary"), 256).alias("digest")
+        )
+    return reduce(DataFrame.unionByName, levels)
+
+
+def export_manifest(members: DataFrame, format_version: str = FORMAT_VERSION, fan_out: int = 1024) -> DataFrame:
+    """One row for a merge of any size: version, number of members and the root of their hash tree."""
+    tree = digest_tree(members, fan_out)
+    return tree.agg(F.max(F.struct("level", "digest"))["digest"].alias("root")).join(
+        members.agg(F.count("*").alias("member_count")), F.lit(True)
+    ).select(F.lit(format_version).alias("format_version"), "member_count", "root")  # one row each
+
+
+def _document_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Checksum of the one document that holds all members, fed member by member."""
+    digest, count = hashlib.sha256(b'{"members":['), 0
+    for batch in batches:
+        for text in batch.column("document").to_pylist():
+            digest.update(b"," * (count > 0) + text.encode())
+            count += 1
+    digest.update(b"]}")
+    yield pa.RecordBatch.from_pydict(
+        {"member_count": pa.array([count], pa.int64()), "checksum": pa.array([digest.hexdigest()])}
+    )
+
+
+def export_members(members: DataFrame, format_version: str = FORMAT_VERSION) -> DataFrame:
+    """Version, number of members and the checksum of the canonical document that lists all members in rank order.
+
+    The checksum runs through one document from its first byte to its last, so one task reads the members in order; it holds a
+    batch of them at a time, never the document. ``export_manifest`` is the form that many tasks compute.
+    """
+    texts = members.select("score", "subject_id", canonical_json(_member_text()).alias("document"))
+    ordered = texts.repartition(1).sortWithinPartitions(*rank_order()).select("document")
+    return ordered.mapInArrow(_document_digest, "member_count bigint, checksum string").select(
+        F.lit(format_version).alias("format_version"), "member_count", "checksum"
+    )
+
+
+def export_document(members: DataFrame) -> DataFrame:
+    """The document itself as one ``payload`` text; for merges whose document is wanted as one value."""
+    keyed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank_key"), "subject_id", _member_text().alias("t"))))
+    listed = F.array_join(F.transform(keyed, lambda row: row["t"]), ",")
+    return members.agg(F.concat(F.lit('{"members":['), listed, F.lit("]}")).alias("payload"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from siltstone.session import cut_lineage, task_count
@@ -84,3 +84,21 @@ def distributed_rank(frame: DataFrame, order: list[Column], name: str = "rank")
         .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
         .drop("_range", "_before", "_inside")
     )
+
+
+def order_statistic(frame: DataFrame, order: list[Column], place: int) -> Row | None:
+    """The row at a 1-based place of a total order, or None when there are fewer rows.
+
+    Rows are range-partitioned on the whole order and written; counts of the ranges, one row each, tell in which the
+    place lies, and only that range is ordered.
+    """
+    written = cut_lineage(
+        frame.repartitionByRange(task_count(frame.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    )
+    before = 0
+    for row in written.groupBy("_range").count().orderBy("_range").collect():  # one row per range
+        if before + row["count"] >= place:
+            inside = written.where(F.col("_range") == row["_range"]).drop("_range")
+            return inside.orderBy(*order).offset(place - before - 1).first()
+        before += row["count"]
+    return None

@@ -53,7 +53,8 @@ def subject_ids(spark: SparkSession, folder: str) -> DataFrame:
     (select unnest(['equivalent', 'conflicting', 'compatible', 'distinct']) as verdict) left join v using (verdict) group by verdict""",
 )
 def verdict_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return candidates.verdict_counts(part_subjects(spark, folder))
+    counts = candidates.verdict_counts(part_subjects(spark, folder))
+    return counts.withColumn("pairs", F.col("pairs").cast("bigint"))  # the check SQL counts in 64 bits
 
 
 @query(
@@ -202,8 +203,37 @@ def export_members(spark: SparkSession, folder: str) -> DataFrame:
     subjects = part_subjects(spark, folder)
     selected = candidates.select_subjects(subjects, POLICY).where("selected")
     members = candidates.merge_selected(subjects, subjects, selected)
-    exported = candidates.export_members(members, max_members=POLICY.maximum_selected)
-    return exported.select("format_version", F.col("member_count").cast("bigint").alias("member_count"), "checksum")
+    return candidates.export_members(members)
+
+
+@query(
+    "export_manifest",
+    """with p as (select p_partkey, p_size / 100.0::double as score, 'parts:' || lpad(p_partkey::varchar, 9, '0') as subject_id,
+      'n' || p_partkey as name, p_brand as kind, 'f' || p_partkey as relative_path from part),
+    leaves as (select row_number() over (order by score desc, subject_id) - 1 as place, sha256('{"kind":"' || kind || '","name":"'
+      || name || '","relative_path":"' || relative_path || '","repository_id":"parts","score":' || score || ',"subject_id":"'
+      || subject_id || '"}') as digest from p),
+    a as (select place // 16 as place, sha256(string_agg(digest, '' order by place)) as digest from leaves group by place // 16),
+    b as (select place // 16 as place, sha256(string_agg(digest, '' order by place)) as digest from a group by place // 16),
+    c as (select place // 16 as place, sha256(string_agg(digest, '' order by place)) as digest from b group by place // 16),
+    d as (select place // 16 as place, sha256(string_agg(digest, '' order by place)) as digest from c group by place // 16),
+    e as (select place // 16 as place, sha256(string_agg(digest, '' order by place)) as digest from d group by place // 16)
+    select '1.0' as format_version, n::bigint as member_count, case when n <= 16 then (select max(digest) from a)
+      when n <= 256 then (select max(digest) from b) when n <= 4096 then (select max(digest) from c)
+      when n <= 65536 then (select max(digest) from d) else (select max(digest) from e) end as root
+    from (select count(*) as n from part)""",
+)
+def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """All parts as members of one merge, in a tree of sixteens."""
+    members = table(spark, folder, "part").selectExpr(
+        "concat('parts:', lpad(p_partkey, 9, '0')) as subject_id",
+        "'parts' as repository_id",
+        "concat('n', p_partkey) as name",
+        "p_brand as kind",
+        "concat('f', p_partkey) as relative_path",
+        "p_size / 100.0D as score",
+    )
+    return candidates.export_manifest(members, fan_out=16)
 
 
 @query(

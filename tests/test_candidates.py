@@ -14,7 +14,7 @@ from siltstone.errors import IntegrityError, NotFoundError, ValidationError
 from siltstone.functions.documents import canonical_json, export_checksum
 from siltstone.operators import candidates
 from siltstone.operators.candidates import SelectionPolicy
-from siltstone.operators.spread import distributed_rank
+from siltstone.operators.spread import distributed_rank, order_statistic
 from pyspark.sql import functions as F
 
 SUBJECT = (
@@ -86,10 +86,32 @@ def test_verdict_counts_equal_all_pairs(spark, seed):
     }
 
 
-def test_verdict_counts_refuse_too_many_signals(spark):
-    rows = [("s", "r", "p", "class", "n", [str(i) for i in range(17)], 0.5)]
-    with pytest.raises(Exception, match="more than 16 signals"):
-        candidates.verdict_counts(spark.createDataFrame(rows, SUBJECT)).collect()
+@pytest.mark.parametrize("size", [20, 60])
+def test_verdict_counts_of_large_signal_sets(spark, size):
+    dice = random.Random(size)
+    common = [f"s{i:02d}" for i in range(size)]
+    rows = []
+    for i in range(60):
+        # Sets that differ in a few signals of many, small sets, copies, repeats and nulls.
+        own = dice.sample(common, size - dice.randrange(3)) if i % 2 else dice.sample(common, dice.randrange(3))
+        own = sorted(own) + ([own[0]] if own and i % 7 == 0 else [])
+        rows.append((f"x{i}", "r", f"p{i}", "class", f"n{dice.randrange(8)}", own if i % 11 else [None, *own], 0.5))
+    expected = Counter(
+        verdict((*a[:5], a[5]), (*b[:5], b[5]))
+        if a[4] == b[4]
+        else ("compatible" if set(filter(None, a[5])) & set(filter(None, b[5])) else "distinct")
+        for a, b in itertools.combinations(rows, 2)
+    )
+    counts = candidates.verdict_counts(spark.createDataFrame(rows, SUBJECT))
+    assert {r.verdict: int(r.pairs) for r in counts.collect() if r.pairs} == dict(expected)
+    assert dict(counts.dtypes)["pairs"] == "decimal(38,0)"
+
+
+def test_verdict_counts_of_no_subjects(spark):
+    counts = candidates.verdict_counts(spark.createDataFrame([], SUBJECT))
+    assert {r.verdict: int(r.pairs) for r in counts.collect()} == dict.fromkeys(
+        ("equivalent", "conflicting", "compatible", "distinct"), 0
+    )
 
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 3])
@@ -153,12 +175,21 @@ def test_selection_fixture(spark):
     assert candidates.is_selected(selection, "A") and not candidates.is_selected(selection, "B")
 
 
-def test_large_capacity_uses_ranks(spark, monkeypatch):
-    monkeypatch.setattr(candidates, "DIRECT_TOP", 3)
+@pytest.mark.parametrize("capacity", [1, 9, 17, 60])
+def test_any_capacity(spark, capacity):
     rows = random_subjects(13, 50)
     conflicts = {frozenset((a[0], b[0])) for a, b in itertools.combinations(rows, 2) if verdict(a, b) == "conflicting"}
-    policy = SelectionPolicy(0.1, 9)
-    assert got(candidates.select_subjects(spark.createDataFrame(rows, SUBJECT), policy)) == walk(rows, conflicts, policy)
+    policy = SelectionPolicy(0.1, capacity)
+    frame = spark.createDataFrame(rows, SUBJECT)
+    assert got(candidates.select_subjects(frame, policy)) == walk(rows, conflicts, policy)
+    first = [r.subject_id for r in candidates.top(frame, capacity).collect()]
+    assert first == [r[0] for r in sorted(rows, key=lambda r: (-r[6], r[0]))][:capacity]
+
+
+def test_order_statistic(spark):
+    frame = spark.range(1000).selectExpr("(id * 7919) % 1000 as x")
+    assert [order_statistic(frame, [F.col("x")], k).x for k in (1, 500, 1000)] == [0, 499, 999]
+    assert order_statistic(frame, [F.col("x")], 1001) is None and order_statistic(frame.limit(0), [F.col("x")], 1) is None
 
 
 @pytest.mark.parametrize("policy", [SelectionPolicy(minimum_score=1.5), SelectionPolicy(maximum_selected=0)])
@@ -182,18 +213,32 @@ def test_merge_and_export(spark):
     candidates.require_mergeable(subjects, subjects, selected)
     members = candidates.merge_selected(subjects, subjects, selected)
     (export,) = candidates.export_members(members).collect()
-    payload = json.loads(export.payload)
+    payload = json.loads(candidates.export_document(members).first().payload)
     assert [m["subject_id"] for m in payload["members"]] == [
         r.subject_id for r in members.orderBy(F.desc("score"), "subject_id").collect()
     ]
     canonical = json.dumps(payload, sort_keys=True, separators=(",", ":"))
     assert export.checksum == hashlib.sha256(canonical.encode()).hexdigest() and export.member_count == len(payload["members"])
-    with pytest.raises(ValidationError):
-        candidates.export_members(members, max_members=2)
     with pytest.raises(NotFoundError):
         candidates.member(members, "nope").collect()
 
 
+@pytest.mark.parametrize("count", [0, 1, 4, 5, 70])
+def test_digest_tree(spark, count):
+    members = spark.createDataFrame(random_subjects(19, count), SUBJECT)
+    rows = members.orderBy(F.desc("score"), "subject_id").collect()
+    names = ("kind", "name", "relative_path", "repository_id", "score", "subject_id")
+    level = [
+        hashlib.sha256(json.dumps({n: r[n] for n in names}, separators=(",", ":")).encode()).hexdigest() for r in rows
+    ]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
+    root = level[0] if level else hashlib.sha256(b"").hexdigest()
+    for parts in (1, 6):
+        (manifest,) = candidates.export_manifest(members.repartition(parts), fan_out=4).collect()
+        assert (manifest.format_version, manifest.member_count, manifest.root) == ("1.0", count, root)
+
+
 def test_canonical_json(spark):
     values = [{"b": 1.5e-05, "a": None, "é": [1, 2.0, True]}, {"z": {"y": 1, "x": "ü"}}]
     frame = spark.createDataFrame([(json.dumps(v),) for v in values], "t string")
