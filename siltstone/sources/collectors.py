@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import sys
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
@@ -14,14 +16,14 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import ValidationError
 from siltstone.functions.text import is_blank, strip_sql
-from siltstone.session import spread_rows
+from siltstone.session import cut_lineage, spread_rows
 
 # What a GitHub owner and repository name, and a GitLab path segment, may look like.
 GITHUB_OWNER = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?"
 GITHUB_NAME = "[A-Za-z0-9._-]{1,100}"
 GITLAB_SEGMENT = "[A-Za-z0-9._-]{1,100}"
-# Fixed value: how many levels below the root repositories are looked for.
-MAX_DEPTH = 5
+# Directories a task looks into before it hands the rest back to be dealt out again.
+DIRECTORIES_A_TURN = 256
 
 _HOSTED = {
     "github": ("github.com", f"{GITHUB_OWNER}/{GITHUB_NAME}"),
@@ -76,38 +78,44 @@ RESULT = "source string, succeeded boolean, name string, source_uri string, prov
 _FOUND = "source string, path string, depth int, found boolean"
 
 
-def _expand(max_depth: int):
-    """One level: pass repositories on, replace any other directory by its visible subdirectories."""
+def _expand(max_depth: int | None, a_turn: int):
+    """Repositories below the given directories, and the directories that are still open after ``a_turn`` of them."""
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        looked = 0
         for batch in batches:
-            rows = []
-            for source, path, depth, found in batch.itertuples(index=False):
-                if found:
-                    rows.append((source, path, depth, True))
+            rows, pending = [], deque(batch.itertuples(index=False, name=None))
+            while pending:
+                source, path, depth, found = pending.popleft()
+                if found or looked >= a_turn:
+                    rows.append((source, path, depth, found))
                     continue
+                looked += 1
                 try:
                     entries = [entry for entry in os.scandir(path) if entry.is_dir()]
                 except OSError:
                     continue
                 if any(entry.name == ".git" for entry in entries):
                     rows.append((source, path, depth, True))
-                elif depth < max_depth:
-                    rows += [
+                elif max_depth is None or depth < max_depth:
+                    pending.extend(
                         (source, entry.path, depth + 1, False)
                         for entry in entries
                         if not entry.name.startswith(".") and not entry.is_symlink()
-                    ]
+                    )
             yield pd.DataFrame(rows, columns=batch.columns)
 
     return step
 
 
-def collect_local(spark: SparkSession, source: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def collect_local(
+    spark: SparkSession, source: str, max_depth: int | None = None, a_turn: int = DIRECTORIES_A_TURN
+) -> DataFrame:
     """Repositories (directories holding ``.git``) below a root, not looking inside them.
 
-    Directories are expanded level by level and dealt out again between levels, so a broad tree is scanned by
-    many tasks; the tree must be visible to all executors.
+    Open directories are dealt out to all tasks turn by turn until none is left, so broad and deep trees are scanned by
+    many tasks; the tree must be visible to all executors. ``max_depth`` bounds the levels looked into, where a caller
+    wants that.
     """
     if not source.strip():
         raise ValidationError("source must not be empty")
@@ -115,9 +123,14 @@ def collect_local(spark: SparkSession, source: str, max_depth: int = MAX_DEPTH)
     if not root.is_dir():
         return spark.createDataFrame([(source, False, None, None, None, f"not a directory: '{root}'")], RESULT)
     frontier = spark.createDataFrame([(source, str(root.resolve()), 0, False)], _FOUND)
-    for _ in range(max_depth + 1):
-        frontier = spread_rows(frontier.mapInPandas(_expand(max_depth), _FOUND), "path")
-    return frontier.where("found").select(
+    turns = []
+    while True:
+        turn = cut_lineage(spread_rows(frontier, "path").mapInPandas(_expand(max_depth, a_turn), _FOUND))
+        turns.append(turn.where("found"))
+        frontier = turn.where("not found")
+        if not frontier.limit(1).collect():
+            break
+    return reduce(DataFrame.unionByName, turns).select(
         "source",
         F.lit(True).alias("succeeded"),
         F.coalesce(F.nullif(F.substring_index("path", "/", -1), F.lit("")), F.col("path")).alias("name"),

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import os
 import sys
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import spread_rows
+from siltstone.session import cut_lineage, spread_rows
 
 _LISTED = "repository_id string, root string, path string, is_file boolean"
-# Levels listed one by one and dealt out to all tasks; what lies deeper is walked by the task that holds it.
-SPREAD_LEVELS = 3
+# Directories a task lists before it hands the rest back to be dealt out again.
+DIRECTORIES_A_TURN = 256
 # Contents handed to Spark at once.
 BATCH_BYTES = 16 * 1024 * 1024
 
@@ -35,29 +37,45 @@ def _entries(folder: str) -> list[tuple[str, bool]]:
     return kept
 
 
-def _list(deep: bool):
+def _list(a_turn: int):
+    """Files below the given directories, and the directories that are still open after ``a_turn`` listings."""
+
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed = 0
         for batch in batches:
-            rows = []
-            for repository, root, path, is_file in batch.itertuples(index=False):
-                pending = [(path, is_file)]
-                while pending:
-                    at, plain = pending.pop()
-                    if plain:
-                        rows.append((repository, root, at, True))
-                        continue
-                    if at == root and not os.path.isdir(root):
-                        raise FileNotFoundError(f"{repository}: no folder {root} on this machine")
-                    children = _entries(at)
-                    if deep:
-                        pending += children
-                    else:
-                        rows += [(repository, root, *child) for child in children]
+            rows, pending = [], deque(batch.itertuples(index=False, name=None))
+            while pending:
+                repository, root, at, is_file = pending.popleft()
+                if is_file or listed >= a_turn:
+                    rows.append((repository, root, at, is_file))
+                    continue
+                if at == root and not os.path.isdir(root):
+                    raise FileNotFoundError(f"{repository}: no folder {root} on this machine")
+                listed += 1
+                pending.extend((repository, root, *child) for child in _entries(at))
             yield pd.DataFrame(rows, columns=batch.columns)
 
     return step
 
 
+def list_paths(workspaces: DataFrame, partitions: int | None = None, a_turn: int = DIRECTORIES_A_TURN) -> DataFrame:
+    """(repository_id, root, path) of all files below each ``root``, whatever the depth.
+
+    Open directories are a frontier: in each turn they are dealt out to all tasks, a task lists ``a_turn`` of them
+    and hands back the files it met and the directories left open, until none is. So one deep or broad repository is
+    walked by as many tasks as many small ones, and a small tree takes one turn.
+    """
+    turns = []
+    frontier = workspaces.selectExpr("repository_id", "root", "root as path", "false as is_file")
+    while True:
+        dealt = spread_rows(frontier, "path", partitions=partitions)
+        turn = cut_lineage(dealt.mapInPandas(_list(a_turn), _LISTED))
+        turns.append(turn.where("is_file"))
+        frontier = turn.where("not is_file")
+        if not frontier.limit(1).collect():
+            return reduce(DataFrame.unionByName, turns).drop("is_file")
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contents of UTF-8 files; anything else is left out."""
     for batch in batches:
@@ -85,10 +103,7 @@ def read_files(workspaces: DataFrame, partitions: int | None = None) -> DataFram
     the reading; the default follows the session (``task_count``). A root that is no folder where
     the task runs fails the job.
     """
-    listed = workspaces.selectExpr("repository_id", "root", "root as path", "false as is_file")
-    for _ in range(SPREAD_LEVELS):
-        listed = spread_rows(listed.mapInPandas(_list(deep=False), _LISTED), "path", partitions=partitions)
-    paths = listed.mapInPandas(_list(deep=True), _LISTED).select("repository_id", "root", "path")
+    paths = list_paths(workspaces, partitions)
     dealt = spread_rows(paths, "path", partitions=partitions)
     return dealt.mapInPandas(_read, "repository_id string, relative_path string, content string")
 

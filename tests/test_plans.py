@@ -12,7 +12,7 @@ from siltstone import cli
 from siltstone.errors import ConfigurationError, GitError, IntegrityError, ValidationError
 from siltstone.plans.analysis import analyze_source, checked_copies, unpack_repositories
 from siltstone.sources.collectors import collect, collect_local
-from siltstone.sources.files import read_files, walk_order
+from siltstone.sources.files import list_paths, read_files, walk_order
 from siltstone.sources.git import git_output, working_copies
 from siltstone.streaming.files import FILES, read_file_stream, write_parsed_stream
 
@@ -70,11 +70,27 @@ def test_hosted_references(spark):
 def test_local_scan(spark, tmp_path):
     for name in ("a/.git", "a/nested/.git", "b/c/.git", ".hidden/d/.git", "1/2/3/4/5/.git", "1/2/3/4/e/6/.git", "plain/x"):
         (tmp_path / name).mkdir(parents=True)
-    found = [row.source_uri for row in collect_local(spark, str(tmp_path)).orderBy("source_uri").collect()]
+    found = [row.source_uri for row in collect_local(spark, str(tmp_path), max_depth=5).orderBy("source_uri").collect()]
     assert found == [str(tmp_path / name) for name in ("1/2/3/4/5", "a", "b/c")]
+    for a_turn in (1, 256):
+        every = [row.source_uri for row in collect_local(spark, str(tmp_path), a_turn=a_turn).orderBy("source_uri").collect()]
+        assert every == [str(tmp_path / name) for name in ("1/2/3/4/5", "1/2/3/4/e/6", "a", "b/c")]
     assert not collect_local(spark, str(tmp_path / "absent")).first().succeeded
 
 
+def test_walk_of_any_depth(spark, tmp_path):
+    deep = tmp_path
+    for level in range(12):
+        deep = deep / f"d{level}"
+        deep.mkdir()
+        (deep / f"f{level}.py").write_text("x = 1\n")
+    workspaces = spark.createDataFrame([("r", str(tmp_path))], "repository_id string, root string")
+    for a_turn in (1, 5, 256):
+        paths = [row.path for row in list_paths(workspaces, a_turn=a_turn).collect()]
+        assert sorted(paths) == sorted(str(x) for x in tmp_path.rglob("*.py"))
+    assert read_files(workspaces).count() == 12
+
+
 def test_read_files(spark, repository):
     workspaces = spark.createDataFrame([("r", str(repository))], "repository_id string, root string")
     files = read_files(workspaces)
