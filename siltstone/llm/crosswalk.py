@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -64,16 +65,23 @@ def _byte_letters() -> dict[str, int]:
 
 @dataclass
 class Side:
-    """One vocabulary: ``known`` gives coded ids of parts, ``spelled`` the bytes of every id, ``lengths`` their number."""
+    """One vocabulary: ``parts_of`` cuts a text, ``known`` gives coded ids of parts, ``spelled`` the bytes of every id."""
 
+    parts_of: Callable[[str], list[str]]
     known: Remembered
     spelled: pa.Array
     lengths: np.ndarray
 
 
-def _side(code: Callable[[list[str]], Iterator[bytes]], most: int, spelled: list[bytes]) -> Side:
+    def coded(self, texts: list[str]) -> list[bytes]:
+        return self.known.coded([self.parts_of(x) for x in texts])
+
+
+def _side(
+    parts_of: Callable[[str], list[str]], code: Callable[[list[str]], Iterator[bytes]], most: int, spelled: list[bytes]
+) -> Side:
     lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
-    return Side(Remembered(code, most), pa.array(spelled, pa.binary()), lengths)
+    return Side(parts_of, Remembered(code, most), pa.array(spelled, pa.binary()), lengths)
 
 
 def byte_side(settings: Settings) -> Side:
@@ -91,37 +99,45 @@ def byte_side(settings: Settings) -> Side:
     def code(parts: list[str]) -> Iterator[bytes]:
         return (id_bytes(x.ids) for x in library.encode_batch_fast(parts, add_special_tokens=False))
 
-    return _side(code, settings.remembered, spelled)
+    return _side(pre_tokens, code, settings.remembered, spelled)
 
 
-# Parts of B: spaces and what follows them, or a line end or tab, or what follows one of those.
-_PARTS = re.compile(r" +[^ \n\t]*|[^ \n\t]+|[\n\t]")
+def _seams(pieces: list[str]) -> re.Pattern:
+    """Parts of a text that no merge of the piece vocabulary crosses.
 
+    A merge joins two neighbours into a piece, so it never crosses two characters that no piece has next to each other.
+    Parts end before a space that follows another character, around line ends and tabs, and before those marks that
+    no piece has after an ASCII letter.
+    """
+    neighbours = {pair for piece in pieces for pair in zip(piece, piece[1:])}
+    if any(b in "▁\n\t" and a != "▁" or a in "\n\t" for a, b in neighbours):
+        raise ConfigurationError("the piece vocabulary joins words or lines, so texts cannot be encoded in parts")
+    marks = "".join(x for x in ",.;:!?" if not any((a, x) in neighbours for a in string.ascii_letters))
+    inner = rf"(?:[^ \n\t{marks}]|(?<![A-Za-z])[{marks}])*" if marks else r"[^ \n\t]*"
+    # The rest of a word begins with such a mark, or follows a line end or tab.
+    return re.compile(rf" +{inner}|[^ \n\t]{inner}|[\n\t]")
 
-def piece_side(settings: Settings) -> Side:
-    """B: no piece has a space after another character, nor a line end or tab beside one, so no merge crosses a part.
 
-    The library puts a space before what it encodes: a part that begins with spaces gives one of them up, any other
-    is encoded after a line end.
-    """
+def piece_side(settings: Settings) -> Side:
+    """B, part by part. The library puts a space before what it encodes: a part that begins with spaces gives one of
+    them up, any other is encoded after a line end."""
     from sentencepiece import SentencePieceProcessor
 
     library = SentencePieceProcessor(model_file=settings.pieces_file)
     pieces = [library.id_to_piece(x) for x in range(library.get_piece_size())]
-    if any("▁" in x.lstrip("▁") or "\n" in x or "\t" in x for x in pieces):
-        raise ConfigurationError("the piece vocabulary joins words or lines, so texts cannot be encoded in parts")
+    joined = [x for at, x in enumerate(pieces) if not (library.is_byte(at) or library.is_control(at))]
     spelled = [
         bytes([int(x[3:5], 16)]) if library.is_byte(at) else x.replace("▁", " ").encode()
         for at, x in enumerate(pieces)
     ]
-    space = library.piece_to_id("▁")
+    space, parts_of = library.piece_to_id("▁"), _seams(joined).findall
 
     def code(parts: list[str]) -> Iterator[bytes]:
         given = [x[1:] if x.startswith(" ") else "\n" + x for x in parts]
         for part, ids in zip(parts, library.encode(given, num_threads=1) if given else []):
             yield id_bytes([space] if part == " " else ids if part.startswith(" ") else ids[2:])
 
-    return _side(code, settings.remembered, spelled)
+    return _side(parts_of, code, settings.remembered, spelled)
 
 
 @cache
@@ -139,12 +155,11 @@ def _buffer(strings: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 @dataclass
 class Tokens:
-    """Tokens of many parts in order: part number, id, and byte range counted through all parts."""
+    """Tokens of many parts in order: part number, id, and where their bytes begin, counted through all parts."""
 
     part: np.ndarray
     ids: np.ndarray
     start: np.ndarray
-    end: np.ndarray
 
 
 def _tokens(coded: list[bytes], side: Side, bases: np.ndarray) -> Tokens:
@@ -155,8 +170,7 @@ def _tokens(coded: list[bytes], side: Side, bases: np.ndarray) -> Tokens:
     ends = np.cumsum(lengths)
     # Ranges are counted from each part's own base, so that one side's wrong bytes cannot shift a later part.
     before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])[:-1]]
-    end = ends + np.repeat(bases - before, counts)
-    return Tokens(part, ids, end - lengths, end)
+    return Tokens(part, ids, ends - lengths + np.repeat(bases - before, counts))
 
 
 def _spelled_right(tokens: Tokens, side: Side, texts: list[bytes]) -> np.ndarray:
@@ -166,20 +180,30 @@ def _spelled_right(tokens: Tokens, side: Side, texts: list[bytes]) -> np.ndarray
     return np.array([data[low:high] == x for low, high, x in zip(limits[:-1], limits[1:], texts)], bool)
 
 
-def covering_links(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in ``a``, in ``b``) of all pairs of tokens that overlap.
+@dataclass
+class Links:
+    """Positions (in A's tokens, in B's) of all overlapping pairs, and which tokens of each side begin where the other's do."""
+
+    a: np.ndarray
+    b: np.ndarray
+    shared_a: np.ndarray
+    shared_b: np.ndarray
+
+
+def covering_links(a: Tokens, b: Tokens) -> Links:
+    """All pairs of tokens that overlap.
 
     Tokens of a part follow each other without gaps, so two tokens overlap where one's start lies in the other. Each
     start finds the covering token; pairs that both directions find have equal starts and are kept once.
     """
     left = pd.DataFrame({"part": a.part, "at": a.start, "a": np.arange(len(a.ids))})
     right = pd.DataFrame({"part": b.part, "at": b.start, "b": np.arange(len(b.ids))})
-    covered_a = pd.merge_asof(left, right, on="at", by="part")
-    covered_b = pd.merge_asof(right, left.assign(a_at=left["at"]), on="at", by="part")
-    covered_b = covered_b[covered_b["a_at"] != covered_b["at"]]
-    return (
-        np.concatenate([covered_a["a"], covered_b["a"]]).astype(np.int64),
-        np.concatenate([covered_a["b"], covered_b["b"]]).astype(np.int64),
+    covering_b = pd.merge_asof(left, right, on="at", by="part")["b"].to_numpy(np.int64)
+    covering_a = pd.merge_asof(right, left, on="at", by="part")["a"].to_numpy(np.int64)
+    shared_a, shared_b = b.start[covering_b] == a.start, a.start[covering_a] == b.start
+    inner = np.flatnonzero(~shared_b)
+    return Links(
+        np.concatenate([left["a"].to_numpy(), covering_a[inner]]), np.concatenate([covering_b, inner]), shared_a, shared_b
     )
 
 
@@ -189,19 +213,21 @@ def _number_table(size: int) -> pa.Array:
     return pa.array([f"{x}{mark}" for x in range(size) for mark in ",|;"])
 
 
-def group_texts(a: Tokens, b: Tokens, ends: np.ndarray, size: int) -> tuple[np.ndarray, memoryview, np.ndarray]:
+def group_texts(a: Tokens, b: Tokens, links: Links, size: int) -> tuple[np.ndarray, memoryview, np.ndarray]:
     """The groups' spelling ``a1,a2|b1;a3|b2,b3;``: offsets and bytes by token in written order, and each token's part.
 
-    ``ends`` holds the byte offsets, ascending, where both sides end a token.
+    A group begins where tokens of both sides do, which is where the groups before it end on both sides.
     """
-    group_a, group_b = np.searchsorted(ends, a.end), np.searchsorted(ends, b.end)
+    count_a, count_b = len(a.ids), len(b.ids)
+    first_a = np.append(np.flatnonzero(links.shared_a), count_a)
+    first_b = np.append(np.flatnonzero(links.shared_b), count_b)
     # Of a group, all tokens of A are written before those of B.
-    place_a = np.arange(len(a.ids)) + np.searchsorted(group_b, group_a)
-    place_b = np.arange(len(b.ids)) + np.searchsorted(group_a, group_b, "right")
-    codes, part = np.empty(len(a.ids) + len(b.ids), np.int64), np.empty(len(a.ids) + len(b.ids), np.int64)
-    closes_a, closes_b = ends[group_a] == a.end, ends[group_b] == b.end
-    codes[place_a] = 3 * a.ids + closes_a
-    codes[place_b] = 3 * b.ids + 2 * closes_b
+    place_a = np.arange(count_a) + first_b[np.cumsum(links.shared_a) - 1]
+    place_b = np.arange(count_b) + first_a[np.cumsum(links.shared_b)]
+    codes, part = np.empty(count_a + count_b, np.int64), np.empty(count_a + count_b, np.int64)
+    codes[place_a], codes[place_b] = 3 * a.ids, 3 * b.ids
+    codes[place_a[first_a[1:] - 1]] += 1
+    codes[place_b[first_b[1:] - 1]] += 2
     part[place_a], part[place_b] = a.part, b.part
     offsets, data = _buffer(_number_table(size).take(pa.array(codes)))
     return offsets, data, part
@@ -240,19 +266,17 @@ class Block:
         owner = np.array([x for x, _ in parts], np.int64)
         texts = [x.encode() for _, x in parts]
         bases = np.cumsum([0, *map(len, texts)])[:-1].astype(np.int64)
-        a = _tokens(a_side.known.coded([pre_tokens(x) for _, x in parts]), a_side, bases)
-        b = _tokens(b_side.known.coded([_PARTS.findall(x) for _, x in parts]), b_side, bases)
+        a, b = (_tokens(side.coded([x for _, x in parts]), side, bases) for side in (a_side, b_side))
         right = _spelled_right(a, a_side, texts) & _spelled_right(b, b_side, texts)
         if not right.all():
             self.wrong[owner[~right]] = True
-            a, b = (Tokens(*(x[right[t.part]] for x in (t.part, t.ids, t.start, t.end))) for t in (a, b))
-        at_a, at_b = covering_links(a, b)
-        ends = np.intersect1d(a.end, b.end, assume_unique=True)
-        closing = a.part[np.searchsorted(a.end, ends)]
-        for row, part in enumerate((a.part, b.part, closing, a.part[at_a])):
+            a, b = (Tokens(*(x[right[t.part]] for x in (t.part, t.ids, t.start))) for t in (a, b))
+        links = covering_links(a, b)
+        linked = a.part[links.a]
+        for row, part in enumerate((a.part, b.part, a.part[links.shared_a], linked)):
             np.add.at(self.sums[row], owner, np.bincount(part, minlength=len(parts)))
         size = max(len(a_side.lengths), len(b_side.lengths))
-        offsets, data, part = group_texts(a, b, ends, size)
+        offsets, data, part = group_texts(a, b, links, size)
         limits = offsets[np.searchsorted(part, np.arange(len(parts) + 1))]
         for document, low, high in zip(owner.tolist(), limits[:-1].tolist(), limits[1:].tolist()):
             if low < high:
@@ -261,8 +285,8 @@ class Block:
                 self.digests[document].update(data[low : high - 1])
                 self.open[document] = True
         # A document's number in its block and two ids take less than 63 bits.
-        pairs = a.ids[at_a] << _B_BITS | b.ids[at_b]
-        keys, times = np.unique(owner[a.part[at_a]] << _PAIR_BITS | pairs, return_counts=True)
+        pairs = a.ids[links.a] << _B_BITS | b.ids[links.b]
+        keys, times = np.unique(owner[linked] << _PAIR_BITS | pairs, return_counts=True)
         if len(self.keys):
             keys, where = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
             times = np.bincount(where, np.concatenate([self.times, times])).astype(np.int64)

@@ -54,18 +54,27 @@ def stand_ins() -> tuple[re.Pattern, dict[int, str]]:
     return re.compile(f"[{_ranges(sorted(table))}]" if table else r"(?!)"), table
 
 
+def _differs(text: str) -> bool:
+    """Whether a character's class differs; those of the first 256 code points do not."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(stand_ins()[0].search(text))
+    return False
+
+
 def pre_tokens(text: str) -> list[str]:
     """The matches of the pattern in order; together they are the whole text."""
-    differing, table = stand_ins()
-    if text.isascii() or not differing.search(text):
+    if not _differs(text):
         return _PATTERN.findall(text)
-    return [text[x.start() : x.end()] for x in _PATTERN.finditer(text.translate(table))]
+    return [text[x.start() : x.end()] for x in _PATTERN.finditer(text.translate(stand_ins()[1]))]
 
 
 def pre_token_ends(text: str) -> list[int]:
     """Where each match of the pattern ends."""
-    differing, table = stand_ins()
-    return [x.end() for x in _PATTERN.finditer(text.translate(table) if differing.search(text) else text)]
+    return [x.end() for x in _PATTERN.finditer(text.translate(stand_ins()[1]) if _differs(text) else text)]
 
 
 def id_bytes(ids: list[int]) -> bytes:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
-from siltstone.errors import ValidationError
+from siltstone.errors import ConfigurationError, ValidationError
 from siltstone.llm import byte_pairs, crosswalk, periodicity
 from siltstone.llm.pretokens import Remembered, id_bytes, library_class, pre_token_ends, pre_tokens, stand_ins
 
@@ -215,7 +215,7 @@ def test_alignment_equals_plain_alignment(documents, texts, libraries):
 
 
 def odd_texts(count=3_000):
-    parts = [" ", "  ", "\n", "\t", "\r", "the", "don't", "'re", "'", "<|endoftext|>", "<s>", "12", "½", "日本", "🙂", "\x00", "\x1c", " ", "?!"]
+    parts = [" ", "  ", "\n", "\t", "\r", "the", "don't", "'re", "'", "<|endoftext|>", "<s>", "12", "a,", "b.c", "d;e", ":", "½", "日本", "🙂", "\x00", "\x1c", " ", "?!"]
     parts += [chr(x) for x in sorted(stand_ins()[1])[::500]]
     rng = np.random.default_rng(8)
     return ["".join(parts[x] for x in rng.integers(0, len(parts), rng.integers(1, 25))) for _ in range(count)]
@@ -226,8 +226,11 @@ def test_parts_give_the_libraries_ids(libraries):
     a, b = crosswalk.sides_of(SIDES)
     texts = odd_texts()
     whole = [id_bytes(x.ids) for x in tokenizer.encode_batch([" " + x for x in texts], add_special_tokens=False)]
-    assert a.known.coded([pre_tokens(" " + x) for x in texts]) == whole
-    assert b.known.coded([crosswalk._PARTS.findall(" " + x) for x in texts]) == [id_bytes(x) for x in pieces.encode(texts)]
+    assert a.coded([" " + x for x in texts]) == whole
+    assert b.coded([" " + x for x in texts]) == [id_bytes(x) for x in pieces.encode(texts)]
+    assert all("".join(b.parts_of(x)) == x for x in texts)
+    with pytest.raises(ConfigurationError):
+        crosswalk._seams(["a▁b"])
 
 
 def test_long_texts_are_cut_where_both_sides_begin_a_token():
