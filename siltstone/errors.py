@@ -31,3 +31,7 @@ class IntegrityError(SiltstoneError):
 
 class GitError(SiltstoneError):
     """A git command failed, could not be started or ran out of time."""
+
+
+class ConflictError(SiltstoneError):
+    """Another writer committed first, so a change was checked against rows that are no longer current."""

@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from siltstone.session import cut_lineage, task_count
 
-# A key with more rows than this is split. At most MAX_HOT_KEYS keys are treated, which bounds the broadcast
-# list; any further key holds less than 1/MAX_HOT_KEYS of the rows, which one task can take.
+# A key with fewer rows than this is one task's work and never split.
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
-MAX_SPLITS = 1000
 
 
 def spread_join(
@@ -23,29 +20,30 @@ def spread_join(
     spread_by: list[str],
     counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    shares: int | None = None,
 ) -> DataFrame:
     """Left join ``facts`` to ``lookup`` (unique on ``keys``), splitting hot keys over many tasks.
 
-    Rows of a hot key, and rows without a key, are dealt out by a hash of ``spread_by``; the one lookup row
-    of a hot key is repeated per split. ``counts`` (keys and ``rows``) may be passed when it is known already,
-    and a ``rows`` column in ``lookup`` saves looking its keys up among the hot ones.
+    A key is hot if it has more than ``hot_rows`` rows and more than one of ``shares`` equal shares of all rows (four a
+    task unless given). So there are fewer hot keys than shares, which bounds the broadcast list, and a key that is not
+    hot is a small part of one task's work; no key that is hot is left out. Rows of a hot key are dealt out by a hash of
+    ``spread_by`` over one split for each share it fills, and its lookup row is repeated per split; rows without a key are
+    dealt out over all shares. ``counts`` (keys and ``rows``) may be passed when it is known already, and a ``rows``
+    column in ``lookup`` saves looking its keys up among the hot ones.
     """
+    shares = shares or 4 * task_count(facts.sparkSession)
     keyed = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
     if counts is None:
         counts = facts.where(keyed).groupBy(*keys).agg(F.count("*").alias("rows"))
-    splits = F.when(
-        F.col("rows") > hot_rows, F.least(F.ceil(F.col("rows") / hot_rows), F.lit(MAX_SPLITS)).cast("int")
-    ).alias("_splits")
-    hot = (
-        counts.where(F.col("rows") > hot_rows)
-        .orderBy(F.desc("rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, splits)
-    )
+    limit = counts.agg(
+        F.greatest(F.lit(hot_rows), F.ceil(F.coalesce(F.sum("rows"), F.lit(0)) / shares)).cast("bigint").alias("limit")
+    ).scalar()
+    splits = F.when(F.col("rows") > limit, F.ceil(F.col("rows") / limit).cast("int")).alias("_splits")
+    hot = counts.select(*keys, splits).where("_splits is not null")  # fewer rows than shares
     dealt = F.xxhash64(*spread_by)
     salt = (
         F.when(F.col("_splits").isNotNull(), F.pmod(dealt, F.col("_splits")))
-        .when(~keyed, F.pmod(dealt, F.lit(MAX_SPLITS)))
+        .when(~keyed, F.pmod(dealt, F.lit(shares)))
         .otherwise(0)
         .cast("int")
     )

@@ -79,6 +79,35 @@ def graph_outgoing(spark: SparkSession, folder: str) -> DataFrame:
     return edges.select("source", "target", F.col("line_number").cast("bigint").alias("line_number"))
 
 
+@query(
+    "import_rules",
+    """with o as (select o_orderkey as k, o_custkey as c, o_orderkey % 6 as r from orders)
+    select case when r = 4 then 'web/o' || k || '.ts' else 'a/b/o' || k || '.py' end as source,
+    case r when 0 then 'unresolved:a/b/o' || k || '.py#mod' || c
+      when 1 then 'unresolved:a/b/o' || k || '.py#....m' || c
+      when 2 then 'unresolved:a/b/o' || k || '.py#.a..b' || c
+      when 3 then 'a/__init__.py' when 4 then 'unresolved:/abs' || c else 'a/b/__init__.pyi' end as target,
+    case when r in (3, 5) then 'internal_file' else 'unresolved_internal' end as target_kind from o""",
+)
+def import_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Imports said to be internal that name no module: no leading dot, above the root, a malformed rest, a rooted
+    specifier; and dots with a name that only the package itself can answer."""
+    orders = table(spark, folder, "orders")
+    edges = orders.selectExpr(
+        "if(o_orderkey % 6 = 4, concat('web/o', o_orderkey, '.ts'), concat('a/b/o', o_orderkey, '.py')) as relative_path",
+        "case o_orderkey % 6 when 0 then concat('mod', o_custkey) when 1 then concat('....m', o_custkey) "
+        "when 2 then concat('.a..b', o_custkey) when 3 then '..' when 4 then concat('/abs', o_custkey) else '.' end as target_module",
+        "if(o_orderkey % 6 in (3, 5), array(concat('x', o_custkey)), cast(array() as array<string>)) as imported_names",
+        "cast(null as string) as alias",
+        "true as is_internal",
+        "1 as line_number",
+    )
+    files = edges.select("relative_path").unionByName(
+        spark.createDataFrame([("a/__init__.py",), ("a/b/__init__.pyi",)], "relative_path string")
+    )
+    return dependencies.resolve_imports(edges, files).select("source", "target", "target_kind")
+
+
 @query(
     "graph_edge_documents",
     f"""{_RESOLVED} select '{{"source":"' || source || '","target":"' || target || '","is_internal":'

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.vectors import cosine_to, similarity_score
 from siltstone.operators import records, search, store
+from siltstone.operators.keyed import create_keyed
 from siltstone.plans.checked import query, table
+from siltstone.session import checkpoint_folder
 from siltstone.sources.collectors import collect_hosted
 
 
@@ -301,3 +305,23 @@ _GITLAB = (
 def gitlab_references(spark: SparkSession, folder: str) -> DataFrame:
     sources = table(spark, folder, "customer").selectExpr("c_custkey", f"{_GITLAB} as source")
     return collect_hosted(sources, "gitlab").select("c_custkey", "succeeded", "name", "source_uri")
+
+
+@query(
+    "keyed_changes",
+    """with c as (select c_custkey as id, c_name as name, c_nationkey::bigint as n, c_custkey % 3 <> 0 as early, c_custkey % 7 = 0 as seventh
+      from customer)
+    select id, name, case when seventh then -n when early and id % 5 = 1 then n + 100 else n end as n from c
+    where not ((early or seventh) and id % 11 = 3)""",
+)
+def keyed_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers through every kind of change of a keyed table: add, update, upsert, delete, compact, add again."""
+    rows = table(spark, folder, "customer").selectExpr("c_custkey as id", "c_name as name", "cast(c_nationkey as bigint) as n")
+    made = create_keyed(spark, f"{checkpoint_folder(spark)}/keyed-{uuid.uuid4().hex}", rows.schema, "id", ("name",), buckets=8)
+    made.add(rows.where("id % 3 <> 0"))
+    made.update(rows.where("id % 3 <> 0 and id % 5 = 1").withColumn("n", F.col("n") + 100))
+    made.upsert(rows.where("id % 7 = 0").withColumn("n", -F.col("n")))
+    made.delete(rows.where("id % 11 = 3").select("id"))
+    made.compact()
+    made.add(rows.where("id % 3 = 0 and id % 7 <> 0"))
+    return made.rows()

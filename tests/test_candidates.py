@@ -14,7 +14,7 @@ from siltstone.errors import IntegrityError, NotFoundError, ValidationError
 from siltstone.functions.documents import canonical_json, export_checksum
 from siltstone.operators import candidates
 from siltstone.operators.candidates import SelectionPolicy
-from siltstone.operators.spread import distributed_rank, order_statistic
+from siltstone.operators.spread import distributed_rank, order_statistic, spread_join
 from pyspark.sql import functions as F
 
 SUBJECT = (
@@ -186,6 +186,20 @@ def test_any_capacity(spark, capacity):
     assert first == [r[0] for r in sorted(rows, key=lambda r: (-r[6], r[0]))][:capacity]
 
 
+def test_all_of_many_hot_keys_are_split(spark):
+    facts = spark.range(3 * 1001).selectExpr("id % 1001 as k", "id as v").unionByName(
+        spark.range(5).selectExpr("cast(null as bigint) as k", "-id as v")
+    )
+    lookup = spark.range(1001).selectExpr("id as k", "id * 10 as w")
+    for lookup_rows in (lookup, lookup.withColumn("rows", F.lit(3).cast("bigint"))):
+        counts = lookup_rows.select("k", "rows") if "rows" in lookup_rows.columns else None
+        joined = spread_join(facts, lookup_rows, ["k"], ["v"], counts, hot_rows=1, shares=5_000)
+        found = {(r.k, r.v, r.w) for r in joined.collect()}
+        assert found == {(i % 1001, i, i % 1001 * 10) for i in range(3003)} | {(None, -i, None) for i in range(5)}
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "GlobalLimit" not in plan and "LocalLimit" not in plan
+
+
 def test_order_statistic(spark):
     frame = spark.range(1000).selectExpr("(id * 7919) % 1000 as x")
     assert [order_statistic(frame, [F.col("x")], k).x for k in (1, 500, 1000)] == [0, 499, 999]
