@@ -60,9 +60,10 @@ def plain_runs(words, least_length=6, least_exponent=4):
             while j + q < n and words[j] == words[j + q]:
                 j += 1
             start, length = i, j + q - i
-            power = any(all(words[x] == words[x + r] for x in range(start, start + length - r)) for r in range(1, q))
-            if j > i and length >= max(least_length, least_exponent * q) and not power:
-                found.append((start, length, q))
+            if j > i and length >= max(least_length, least_exponent * q):
+                run = words[start : start + length]
+                if not any(run[r:] == run[:-r] for r in range(1, q)):
+                    found.append((start, length, q))
             i = max(j, i + 1)
     return sorted((s, n_words, q) for s, n_words, q in found)
 
