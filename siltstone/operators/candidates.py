@@ -19,6 +19,7 @@ from siltstone.errors import IntegrityError, ValidationError
 from siltstone.functions.documents import canonical_json, export_checksum
 from siltstone.functions.paths import qualified_name
 from siltstone.operators.checks import duplicates, missing, require_empty, require_found
+from siltstone.operators.components import greedy_choice
 from siltstone.operators.spread import HOT_ROWS, distributed_rank, order_statistic, spread_join
 from siltstone.session import cut_lineage
 
@@ -306,11 +307,13 @@ def select_subjects(scored: DataFrame, policy: SelectionPolicy, hot_rows: int =
     return joined.select(*scored.columns, *_outcome(reason))
 
 
-def select_with_comparisons(scored: DataFrame, comparisons: DataFrame, policy: SelectionPolicy) -> DataFrame:
+def select_with_comparisons(
+    scored: DataFrame, comparisons: DataFrame, policy: SelectionPolicy, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Greedy selection where conflicts come from a caller's comparisons.
 
-    Each round takes every undecided subject that has no better undecided neighbour and drops its
-    neighbours, which gives the same set as the walk in rank order. Rounds continue until nothing is left.
+    The conflict graph of the eligible subjects falls into components, and each is walked in rank order by itself; subjects
+    without a conflict are free. A selection's capacity then cuts the free ones at one place in rank order.
     """
     policy = policy.checked()
     judged = cut_lineage(scored.withColumn("_reason", _eligibility(policy)))
@@ -323,34 +326,21 @@ def select_with_comparisons(scored: DataFrame, comparisons: DataFrame, policy: S
     def place(side: str) -> Column:
         return F.struct(F.col(f"{side}_key").alias("key"), F.col(f"{side}_subject_id").alias("id"))
 
-    left, right = place("left"), place("right")
-    links = (
-        ends.join(keyed("left"), "left_subject_id")
-        .join(keyed("right"), "right_subject_id")
-        .select(
-            F.least(left, right)["id"].alias("better"),
-            F.greatest(left, right)["id"].alias("worse"),
-        )
-        .distinct()
+    known = ends
+    for side, other in (("left", "right"), ("right", "left")):
+        column = f"{side}_subject_id"
+        known = spread_join(known, keyed(side), [column], [f"{other}_subject_id"], hot_rows=hot_rows)
+    pair = F.greatest(place("left"), place("right")), F.least(place("left"), place("right"))
+    links = known.where("left_key is not null and right_key is not null and left_subject_id <> right_subject_id").select(
+        pair[1]["id"].alias("better"),
+        pair[1]["key"].alias("better_key"),
+        pair[0]["id"].alias("worse"),
+        pair[0]["key"].alias("worse_key"),
     )
     links = cut_lineage(links)
-    undecided = eligible.select("subject_id")
-    chosen = undecided.join(links.select(F.col("worse").alias("subject_id")).union(links.select("better")).distinct(), "subject_id", "left_anti")
-    undecided = cut_lineage(undecided.join(chosen, "subject_id", "left_anti"))
-    chosen = cut_lineage(chosen)
-    while undecided.limit(1).collect():
-        beaten = links.select(F.col("worse").alias("subject_id")).distinct()
-        winners = cut_lineage(undecided.join(beaten, "subject_id", "left_anti"))
-        losers = links.join(winners.withColumnRenamed("subject_id", "better"), "better", "left_semi").select(
-            F.col("worse").alias("subject_id")
-        ).distinct()
-        undecided = cut_lineage(undecided.join(winners.union(losers), "subject_id", "left_anti"))
-        links = cut_lineage(
-            links.join(undecided.withColumnRenamed("subject_id", "better"), "better", "left_semi").join(
-                undecided.withColumnRenamed("subject_id", "worse"), "worse", "left_semi"
-            )
-        )
-        chosen = cut_lineage(chosen.union(winners))
+    linked = links.select(F.col("better").alias("subject_id")).unionByName(links.select(F.col("worse").alias("subject_id")))
+    alone = eligible.select("subject_id").join(linked.distinct(), "subject_id", "left_anti")
+    chosen = alone.unionByName(greedy_choice(links, hot_rows))
     free = chosen.join(judged.select("subject_id", "score"), "subject_id")
     end = _capacity_end(free, policy)
     fitting = free if end is None else free.where(_up_to(end, F.col("score"), F.col("subject_id")))

@@ -141,9 +141,26 @@ def select_without_cap(spark: SparkSession, folder: str) -> DataFrame:
     return selection.select("subject_id", "selected", "reason")
 
 
-@query("select_with_comparisons")
+@query(
+    "select_with_comparisons",
+    f"""with recursive {_SUBJECTS.removeprefix("with ")},
+    p as (select distinct least(a.l_partkey, b.l_partkey) as x, greatest(a.l_partkey, b.l_partkey) as y
+      from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_partkey <> b.l_partkey),
+    c as (select 'parts:f' || a || '.py::n' || a % 40 as subject_id, list('parts:f' || b || '.py::n' || b % 40) as others
+      from (select x as a, y as b from p union all select y, x from p) group by a),
+    o as (select s.subject_id, score, coalesce(others, []) as others, row_number() over (order by score desc, s.subject_id) as i
+      from s left join c on c.subject_id = s.subject_id where score >= 0.25),
+    walk as (select 0::bigint as i, null::varchar as subject_id, []::varchar[] as chosen, null::varchar as reason
+      union all select o.i, o.subject_id,
+      case when list_has_any(o.others, chosen) or len(chosen) >= 60 then chosen else list_append(chosen, o.subject_id) end,
+      case when list_has_any(o.others, chosen) then 'conflicting_with_selected'
+        when len(chosen) >= 60 then 'capacity_exceeded' end
+      from walk join o on o.i = walk.i + 1)
+    select s.subject_id, score >= 0.25 and reason is null as selected,
+    case when score < 0.25 then 'below_minimum_score' else reason end as reason from s left join walk on walk.subject_id = s.subject_id""",
+)
 def select_with_comparisons(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbouring parts as conflicts: a greedy walk SQL cannot state; tests compare it with the walk itself."""
+    """Neighbouring parts as conflicts; the check SQL walks all subjects in rank order."""
     conflicts = _neighbours(spark, folder).withColumn("verdict", F.lit("conflicting"))
     selection = candidates.select_with_comparisons(part_subjects(spark, folder), conflicts, POLICY)
     return selection.select("subject_id", "selected", "reason")

@@ -7,6 +7,7 @@ import itertools
 import json
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -14,6 +15,7 @@ from siltstone.errors import IntegrityError, NotFoundError, ValidationError
 from siltstone.functions.documents import canonical_json, export_checksum
 from siltstone.operators import candidates
 from siltstone.operators.candidates import SelectionPolicy
+from siltstone.operators.components import connected_components, greedy_choice
 from siltstone.operators.spread import distributed_rank, order_statistic, spread_join
 from pyspark.sql import functions as F
 
@@ -278,3 +280,49 @@ def test_consistency_checks(spark):
     clash = spark.createDataFrame([("s000", "s001", "conflicting")], "left_subject_id string, right_subject_id string, verdict string")
     with pytest.raises(ValidationError):
         candidates.require_no_conflict(subjects, clash)
+
+
+def greedy(links):
+    """The walk itself over ((key, id), (key, id)) pairs."""
+    nodes = sorted({x for pair in links for x in pair})
+    chosen = set()
+    for node in nodes:
+        if not any((a == node and b in chosen) or (b == node and a in chosen) for a, b in links):
+            chosen.add(node)
+    return {x[1] for x in chosen}
+
+
+def linked(spark, pairs):
+    rows = [(*reversed(min(a, b)), *reversed(max(a, b))) for a, b in pairs]
+    return spark.createDataFrame(rows, "better string, better_key double, worse string, worse_key double")
+
+
+@pytest.mark.parametrize("component_links", [500_000, 12])
+def test_greedy_choice_equals_the_walk(spark, component_links):
+    dice = random.Random(23)
+    nodes = [(-dice.randrange(5) / 10, f"s{i:02d}") for i in range(30)]
+    pairs = [tuple(dice.sample(nodes, 2)) for _ in range(10)]
+    pairs += [(nodes[0], x) for x in nodes[1:15]]  # a hub, in a component beyond the bound
+    found = [r.subject_id for r in greedy_choice(linked(spark, pairs), component_links=component_links).collect()]
+    assert len(found) == len(set(found)) and set(found) == greedy(pairs)
+
+
+def test_a_long_chain_is_walked_in_one_pass(spark):
+    chain = [(float(i), f"c{i:04d}") for i in range(600)]
+    pairs = list(zip(chain, chain[1:]))
+    before = checkpoints(spark)
+    found = {r.subject_id for r in greedy_choice(linked(spark, pairs)).collect()}
+    assert found == {x[1] for x in chain[::2]} and checkpoints(spark) - before < 10
+
+
+def checkpoints(spark):
+    return len(list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir())) if spark.sparkContext.getCheckpointDir() else 0
+
+
+def test_components(spark):
+    pairs = [("a", "b"), ("b", "c"), ("x", "y"), ("c", "a"), ("q", "q"), (None, "a"), ("y", "z")]
+    frame = spark.createDataFrame(pairs, "l string, r string")
+    for hot_rows in (1_000_000, 1):
+        found = {r.node: r.component for r in connected_components(frame, "l", "r", hot_rows).collect()}
+        assert found == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
+    assert connected_components(frame.limit(0), "l", "r").collect() == []
