@@ -214,6 +214,12 @@ def outgoing_edges(edges: DataFrame, identifier: str) -> DataFrame:
     return edges.where(F.col("source") == identifier).orderBy(*edge_order())
 
 
+def resolve_outgoing(edges: DataFrame, files: DataFrame, identifier: str, *scope: str) -> DataFrame:
+    """The relation edges of one file, in edge order, resolving its own imports only."""
+    own = edges.where(F.col("relative_path") == identifier)
+    return resolve_imports(own, files, *scope).orderBy(*edge_order())
+
+
 def node_documents(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.to_json(F.struct("identifier", "kind")).alias("document"))
 

@@ -74,8 +74,7 @@ def import_graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
     f"{_RESOLVED} select source, target, line_number::bigint as line_number from r where source = 'pkg/o100.py'",
 )
 def graph_outgoing(spark: SparkSession, folder: str) -> DataFrame:
-    resolved = dependencies.resolve_imports(_python_edges(spark, folder), _python_files(spark, folder))
-    edges = dependencies.outgoing_edges(resolved, "pkg/o100.py")
+    edges = dependencies.resolve_outgoing(_python_edges(spark, folder), _python_files(spark, folder), "pkg/o100.py")
     return edges.select("source", "target", F.col("line_number").cast("bigint").alias("line_number"))
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import references, sequences
+from siltstone.operators import checks, references, sequences
 from siltstone.plans.checked import query, table
 
 
@@ -234,3 +234,135 @@ def order_violations(spark: SparkSession, folder: str) -> DataFrame:
         ),
     }
     return reduce(DataFrame.unionByName, (sequences.order_violations(frame, name) for name, frame in rows.items()))
+
+
+# What breaks each kind of rule in the rows below, by the part's key k and size.
+_BLANK, _NEGATIVE, _OVER = "k % 7 = 0", "p_size < 10", "p_size > 40"
+_TEXTS = (
+    "name source_uri relative_path category message subject_name subject caller callee identifier source target subject_id "
+    "left_subject_id format_version memory_type step_name"
+).split()
+_COUNTS = (
+    "class_count function_count method_count import_count export_count symbol_count module_count async_function_count "
+    "documented_class_count documented_function_count line_count size_bytes declared_module_count methods_per_class "
+    "lines_per_function classes_per_kloc functions_per_kloc methods_per_kloc symbols_per_kloc candidate_count "
+    "external_dependency_count test_function_count test_class_count member_count"
+).split()
+_RATIOS = "score async_function_ratio documented_public_ratio".split()
+_LISTS = "repositories modules classes functions imports exports symbols edges interfaces candidates patterns".split()
+_VALUES = "unit metadata assessment metrics profile coverage evidence".split()
+
+
+def _envelope(*lists: str, value: str = "") -> dict[str, str]:
+    rules = {"error only on failure": "k % 6 = 0", "failure has an error": "k % 2 = 1 and k % 3 <> 0"}
+    rules |= {f"no {x} on failure": "k % 2 = 1 and k % 5 = 0" for x in lists}
+    return rules | ({f"{value} on success": "k % 2 = 0 and k % 5 <> 0", f"no {value} on failure": "k % 2 = 1 and k % 5 = 0"} if value else {})
+
+
+_BROKEN: dict[str, dict[str, str]] = {
+    "repositories": {"name filled": _BLANK, "source_uri filled": _BLANK},
+    "source_files": {"relative_path filled": _BLANK, "size not negative": _NEGATIVE},
+    "findings": {"category filled": _BLANK, "message filled": _BLANK},
+    "collections": _envelope("repositories"),
+    "parse_results": {
+        **_envelope("modules", "classes", "functions", "imports", "exports", "symbols"),
+        "metadata on success": "k % 2 = 0 and k % 5 <> 0",
+        "no metadata on failure": "k % 2 = 1 and k % 5 = 0",
+    },
+    "ast_metadata": {f"{x} not negative": _NEGATIVE for x in _COUNTS[:11]},
+    "architecture_assessments": {"declared_module_count not negative": _NEGATIVE},
+    "complexity_metrics": {
+        "methods_per_class not negative": _NEGATIVE,
+        "lines_per_function not negative": _NEGATIVE,
+        "async_function_ratio in 0..1": _OVER,
+        "counts not negative": _NEGATIVE,
+    },
+    "density_metrics": {
+        f"{x} not negative": _NEGATIVE
+        for x in ("line_count", "classes_per_kloc", "functions_per_kloc", "methods_per_kloc", "symbols_per_kloc")
+    },
+    "quality_assessments": {
+        "counts not negative": "p_size < 10 or (k % 2 = 0 and p_size < 12)",
+        "public within all": "k % 2 = 1",
+        "documented_public_ratio in 0..1": _OVER,
+    },
+    "security_assessments": {"external_dependency_count not negative": _NEGATIVE, "external_targets sorted set": "k % 4 = 0"},
+    "test_evidence": {"counts not negative": _NEGATIVE},
+    "quality_indicators": {"subject_name filled": _BLANK, "message filled": _BLANK},
+    "test_indicators": {"subject_name filled": _BLANK, "message filled": _BLANK},
+    "security_indicators": {"subject filled": _BLANK, "message filled": _BLANK},
+    "package_edges": {"child is directly below parent": "k % 3 <> 0"},
+    "call_nodes": {"kind callable": "k % 6 = 0"},
+    "call_edges": {"caller filled": _BLANK, "callee filled": _BLANK},
+    "dependency_nodes": {"identifier filled": _BLANK},
+    "dependency_edges": {"source filled": _BLANK, "target filled": _BLANK},
+    "knowledge_nodes": {"identifier carries its kind": "true"},
+    "knowledge_relations": {"source filled": _BLANK, "target filled": _BLANK},
+    "comparisons": {
+        "left filled": _BLANK,
+        "right filled": "k % 7 = 0 and k % 4 = 1",
+        "subjects differ": "k % 4 = 1",
+        "shared_signals sorted set": "k % 4 = 0",
+    },
+    "scores": {"subject_id filled": _BLANK, "score in 0..1": _OVER},
+    "members": {"subject_id filled": _BLANK, "name filled": _BLANK, "relative_path filled": _BLANK, "score in 0..1": _OVER},
+    "rejections": {"subject_id filled": _BLANK, "message filled": _BLANK},
+    "exports": {
+        "format_version filled": _BLANK,
+        "member_count not negative": _NEGATIVE,
+        "checksum is 64 hex digits": "k % 5 = 0",
+    },
+    "memory": {"memory_type filled": _BLANK},
+    "vectors": {"embedding not empty": "k % 5 <> 0", "embedding finite": "k % 10 = 0"},
+    "matches": {"score in 0..1": _OVER},
+    "step_outcomes": {"step_name filled": _BLANK, **_envelope()},
+    **{
+        f"{name}_results": _envelope(payload)
+        for name, payload in (
+            ("import", "edges"), ("symbol", "symbols"), ("interface", "interfaces"), ("candidate", "candidates"), ("pattern", "patterns"),
+        )
+    },
+    **{
+        f"{name}_results": _envelope(value=payload)
+        for name, payload in (
+            ("package_unit", "unit"), ("ast", "metadata"), ("architecture", "assessment"), ("complexity", "metrics"),
+            ("dependency", "profile"), ("documentation", "coverage"), ("density", "metrics"), ("quality", "assessment"),
+            ("security", "assessment"), ("test", "evidence"),
+        )
+    },
+}
+
+
+def _rules_oracle() -> str:
+    rows = [
+        f"select '{relation}' as relation, '{rule}' as rule, (select count(*) from p where {condition}) as violations"
+        for relation, rules in _BROKEN.items()
+        for rule, condition in rules.items()
+    ]
+    return f"with p as (select p_partkey as k, p_size from part) {' union all '.join(rows)}"
+
+
+@query("relation_rules", _rules_oracle())
+def relation_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The row rules of all result relations, on parts as their rows; the check SQL states what breaks each rule."""
+    part = table(spark, folder, "part").withColumnRenamed("p_partkey", "k")
+    columns = {x: "if(k % 7 = 0, ' \\t', p_name)" for x in _TEXTS}
+    columns |= {x: "p_size - 10" for x in _COUNTS} | {x: "p_size / 40.0D" for x in _RATIOS}
+    columns |= {x: "if(k % 5 = 0, array(p_name), cast(array() as array<string>))" for x in _LISTS}
+    columns |= {x: "if(k % 5 = 0, p_name, null)" for x in _VALUES}
+    columns |= {
+        "succeeded": "k % 2 = 0",
+        "error_message": "if(k % 3 = 0, 'broken', null)",
+        "public_candidate_count": "p_size - 12 + k % 2 * 5",
+        "external_targets": "if(k % 4 = 0, array('b', 'a'), array('a', 'b'))",
+        "shared_signals": "if(k % 4 = 0, array('a', 'a'), array('a', 'b'))",
+        "right_subject_id": "if(k % 4 = 1, left_subject_id, 'x')",
+        "parent_path": "array('a')",
+        "child_path": "if(k % 3 = 0, array('a', 'b'), array('b', 'c'))",
+        "kind": "if(k % 6 = 0, 'class', 'function')",
+        "checksum": "if(k % 5 = 0, 'xyz', sha2(p_name, 256))",
+        "embedding": "case when k % 10 = 0 then array(double('NaN'), 1.0D) when k % 5 = 0 then array(1.0D) else cast(array() as array<double>) end",
+    }
+    rows = part.selectExpr("k", "p_size", "p_name", *(f"{value} as {name}" for name, value in columns.items() if name != "right_subject_id"))
+    rows = rows.withColumn("right_subject_id", F.expr(columns["right_subject_id"]))
+    return reduce(DataFrame.unionByName, (checks.rule_violations(rows, checks.RULES[name], name) for name in _BROKEN))
