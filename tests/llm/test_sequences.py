@@ -328,3 +328,10 @@ def test_remembered_parts_are_bounded():
 )
 def test_empty_table_gives_no_rows(spark, query):
     assert query(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_all_operators_are_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert {x.split("_")[0] for x in names if x.startswith("op")} == {f"op{n}" for n in range(1, 14)} and "pipeline" in names
