@@ -71,14 +71,15 @@ def shared_signals(left: str, right: str) -> Column:
 def compare_pairs(pairs: DataFrame, subjects: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Verdict and shared signals of the given (left_subject_id, right_subject_id) pairs.
 
-    The pairs come from the caller; a subject that occurs in very many of them is split over tasks.
+    The pairs come from the caller and are computed once; a subject that occurs in very many of them is split over tasks.
     """
-    require_empty(pairs.where("left_subject_id = right_subject_id"), "cannot compare a subject to itself")
     ids = ["left_subject_id", "right_subject_id"]
-    joined = pairs.select(*ids)
+    written = joined = cut_lineage(pairs.select(*ids))
+    require_empty(written.where("left_subject_id = right_subject_id"), "cannot compare a subject to itself")
     for side, id_column in zip(("left", "right"), ids):
         described = subjects.select(F.col("subject_id").alias(id_column), F.struct("kind", "name", "signals").alias(side))
-        joined = spread_join(joined, described, [id_column], ids, hot_rows=hot_rows)
+        counts = written.where(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count("*").alias("rows"))
+        joined = spread_join(joined, described, [id_column], ids, counts, hot_rows)
     return joined.select(*ids, verdict("left", "right").alias("verdict"), shared_signals("left", "right").alias("shared_signals"))
 
 
