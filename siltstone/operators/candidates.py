@@ -127,13 +127,12 @@ def _overlapping_pairs(classes: DataFrame) -> DataFrame:
     beyond T's last, the subsets that extend T come in twos, with and without x, of equal count and opposite sign. So T
     and all that extends it add up to nothing and are left out; sets that differ little are settled in the first level.
     """
-    held = cut_lineage(
-        classes.where("size(_set) > 0").select("kind", "name", "_set", "n", F.array().cast("array<string>").alias("subset"))
-    )
+    held = classes.where("size(_set) > 0").select("kind", "name", "_set", "n", F.array().cast("array<string>").alias("subset"))
     keys, total, sign = ["kind", "subset"], None, 1
+    no_count, nothing = F.lit(0).cast("bigint"), F.lit(0).cast(_BIG)
     while True:
         # Occurrences of the subsets one signal longer: every later signal of a holder extends its subset.
-        later = F.expr("filter(_set, x -> size(subset) = 0 or x > element_at(subset, -1))")
+        later = F.expr("filter(_set, x -> size(subset) = 0 or x > try_element_at(subset, -1))")
         longer = held.select("kind", "name", "_set", "n", "subset", F.explode(later).alias("x")).withColumn(
             "subset", F.array_append("subset", F.col("x"))
         )
@@ -146,7 +145,7 @@ def _overlapping_pairs(classes: DataFrame) -> DataFrame:
             F.sum(_pairs(F.col("n")) - F.col("same_name")).alias("within"),
         ).where("sets > 1")
         further = (
-            sets.select(*keys, F.explode(F.expr("filter(_set, x -> x > element_at(subset, -1))")).alias("x"))
+            sets.select(*keys, F.explode(F.expr("filter(_set, x -> x > try_element_at(subset, -1))")).alias("x"))
             .groupBy(*keys, "x")
             .agg(F.count("*").alias("holders"))
             .groupBy(*keys)
@@ -157,15 +156,18 @@ def _overlapping_pairs(classes: DataFrame) -> DataFrame:
         )
         held = cut_lineage(longer.drop("x").join(kept.select(*keys), keys, "left_semi"))
         names = held.groupBy(*keys, "name").agg(F.sum("n").alias("n"))
-        counted = kept.select("n", "within", F.lit(0).cast(_BIG).alias("same")).unionByName(
-            names.select(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast(_BIG).alias("within"), _pairs(F.col("n")).alias("same"))
+        further_on = F.expr("try_element_at(_set, -1) > try_element_at(subset, -1)")
+        counted = (
+            kept.select("n", "within", nothing.alias("same"), F.lit(False).alias("more"))
+            .unionByName(names.select(no_count.alias("n"), nothing.alias("within"), _pairs(F.col("n")).alias("same"), F.lit(False).alias("more")))
+            .unionByName(held.select(no_count.alias("n"), nothing.alias("within"), nothing.alias("same"), further_on.alias("more")))
         )
         level = counted.agg(
             F.coalesce(F.sum(_pairs(F.col("n")) - F.col("within") - F.col("same")), F.lit(0)).alias("pairs"),
-            F.count("*").alias("rows"),
+            F.coalesce(F.bool_or("more"), F.lit(False)).alias("more"),
         ).first()  # one row
         total = sign * level["pairs"] + (total or 0)
-        if not level["rows"]:
+        if not level["more"]:
             break
         sign = -sign
     return classes.sparkSession.createDataFrame([(total,)], f"pairs {_BIG}")
