@@ -9,9 +9,11 @@ Only overlaps that can reach the bounds are accumulated, in three steps:
 2. The full rows that remain are kept in row blocks. Column blocks add up how many rows have each column, again with one
    entry per row block and column. Columns of a single row go; a row that keeps fewer than ceil(t n) of its columns can
    reach no other and goes. Rows are then ordered from their rarest column on, where few rows meet.
-3. In each of a row's first columns the rows are joined to the column's first row. Overlaps are counted for these pairs,
-   and for pairs that meet in a column but are not yet connected; pairs whose sizes or bit maps rule them out are not
-   counted. All pairs of unconnected rows are met, so components are exact.
+3. In each of a row's first columns the rows are joined to the column's first row, which connects most rows that can be.
+   Rows in a column that still holds unconnected rows are laid into product blocks, similar ones next to each other. Two
+   blocks that share such a column are multiplied in one task: columns add to a matrix of overlaps, rarest first, a pair
+   whose rest cannot reach its bound is given up, and only links that join two components leave the task. All pairs of
+   unconnected rows that share a first column are met, so components are exact.
 
 N-grams are 64-bit hashes.
 """
@@ -39,7 +41,8 @@ _PLACES = np.array([0x9E3779B97F4A7C15 * k & (1 << 64) - 1 | 1 for k in range(1,
 class Settings:
     """Link where 100 * overlap >= ``percent`` * union of sets of ``words``-word n-grams.
 
-    ``column_block`` entries make a column block and ``row_block`` a row block; their number follows the data.
+    ``column_block`` entries make a column block and ``row_block`` a row block; their number follows the data. A product
+    block ends at ``product_rows`` rows or ``product_entries`` entries; one longer row is a block of its own.
     """
 
     words: int = 5
@@ -48,6 +51,8 @@ class Settings:
     row_block: int = 400_000
     shared: int = 16  # k of the first step
     stars: int = 1
+    product_rows: int = 512
+    product_entries: int = 100_000
     broadcast_ids: int = 1_000_000  # up to so many ids (some 24 MB) are sent to the texts; more are met by a shuffle
 
 
@@ -330,7 +335,7 @@ def linked_sets(rows: DataFrame, settings: Settings) -> DataFrame:
                 "set", F.coalesce("component", "set").alias("component")
             )
         )
-    # Columns whose rows lie in different components: all pairs across them, once each.
+    # Columns whose rows lie in different components.
     placed = cut_lineage(entries.join(component, "set"))
     mixed_columns = cut_lineage(
         placed.groupBy("column")
@@ -338,23 +343,199 @@ def linked_sets(rows: DataFrame, settings: Settings) -> DataFrame:
         .where("low <> high")
         .select("column")
     )
-    open_rows = cut_lineage(
-        placed.join(mixed_columns, "column").join(rows.select("set", "size", "bits"), "set")
-    )
-    one = open_rows.select(
-        "column", F.col("set").alias("a"), F.col("component").alias("ca"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits")
+    opened = cut_lineage(placed.join(mixed_columns, "column").select("set", "component", "column"))
+    return links.unionByName(product_links(product_blocks(opened, rows, settings), settings.percent))
+
+
+def product_blocks(opened: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows that are still open, packed: ``sets``, ``components``, ``ends`` and ``grams`` of a block, and its open columns.
+
+    Rows are ordered by their component's smallest open column, a hash that similar rows share, so that most blocks share
+    columns with few others.
+    """
+    near = opened.groupBy("component").agg(F.min("column").alias("near"))
+    each = opened.groupBy("set", "component").agg(F.collect_list("column").alias("opened"))  # a row's first columns
+    ordered = cut_lineage(each.join(near, "component").join(rows.select("set", "size", "grams"), "set"))
+    held, entries = ordered.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = 1 + int(max(held / settings.product_rows, entries / settings.product_entries) / 4)
+    kinds = pa.schema(
+        [
+            ("block", pa.int64()),
+            *((name, pa.list_(pa.int64())) for name in ("sets", "components", "ends", "opened")),
+            ("grams", pa.binary()),
+        ]
     )
-    two = open_rows.select(
-        "column", F.col("set").alias("b"), F.col("component").alias("cb"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
+        total = 0
+        for batch in batches:
+            for row in zip(*(batch.column(name).to_pylist() for name in ("set", "component", "size", "opened", "grams"))):
+                if rows and (len(rows) >= settings.product_rows or total + row[2] > settings.product_entries):
+                    yield packed(number, rows)
+                    number, rows, total = number + 1, [], 0
+                rows.append(row)
+                total += row[2]
+        if rows:
+            yield packed(number, rows)
+
+    def packed(number: int, rows: list[tuple]) -> pa.RecordBatch:
+        sets, components, sizes, opened, grams = zip(*rows)
+        lists = [sets, components, np.cumsum(sizes).tolist(), sorted(set().union(*opened))]
+        arrays = [pa.array([list(x)], pa.list_(pa.int64())) for x in lists]
+        return pa.RecordBatch.from_arrays([pa.array([number]), *arrays, pa.array([b"".join(grams)], pa.binary())], schema=kinds)
+
+    order = ["near", "component", "set"]
+    return write_shared(
+        ordered.repartitionByRange(ranges, *order)
+        .sortWithinPartitions(*order)
+        .select("set", "component", "size", "opened", "grams")
+        .mapInArrow(
+            pack,
+            "block bigint, sets array<bigint>, components array<bigint>, ends array<bigint>, opened array<bigint>, grams binary",
+        ),
+        "product-blocks",
     )
-    rest = cut_lineage(
-        one.join(two, "column")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        .where(_bounds(settings.percent))
-        .select("a", "b")
-        .distinct()
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs (one, two) of blocks, one <= two, that share an open column.
+
+    Columns held by the same blocks are one: blocks are told by their number and two sums of their hashes.
+    """
+    lists = blocks.select("block", F.explode("opened").alias("column"))
+    alike = (
+        lists.groupBy("column")
+        .agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "block")).alias(f"h{k}") for k in (1, 2)))
+        .groupBy("n", "h1", "h2")
+        .agg(F.min("column").alias("column"))
+        .select("column")
     )
-    return links.unionByName(verified(rest, rows, settings.percent))
+    members = cut_lineage(lists.join(alike, "column"))
+    one, two = (members.select("column", F.col("block").alias(name)) for name in ("one", "two"))
+    return one.join(two, "column").where("one <= two").select("one", "two").distinct()
+
+
+@dataclass(frozen=True)
+class Block:
+    """Rows of the incidence matrix: the columns of all rows one after another, and where each row's end."""
+
+    sets: np.ndarray
+    components: np.ndarray
+    ends: np.ndarray
+    grams: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
+
+
+def _shared_entries(block: Block, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the entries of live rows."""
+    row = np.repeat(np.arange(len(block.sets)), block.sizes)
+    keep = alive[row]
+    return row[keep], block.grams[keep]
+
+
+def overlap_links(one: Block, two: Block, percent: int, dense: int = 40, width: int = 2048) -> list[tuple[int, int]]:
+    """Links between rows of two blocks (or of one block with itself) that join different components, as a forest.
+
+    Columns both blocks have add to a matrix of overlaps, those with the fewest pairs first: pair by pair, or from one pair
+    in ``dense`` places on as a product of two 0/1 matrices ``width`` columns wide. After each step a pair whose overlap
+    so far and whose rows' remaining columns cannot reach its bound is given up.
+    """
+    a_sizes, b_sizes = one.sizes, two.sizes
+    live = 100 * np.minimum.outer(a_sizes, b_sizes) >= percent * np.maximum.outer(a_sizes, b_sizes)
+    live &= one.components[:, None] != two.components[None, :]
+    if one is two:
+        live = np.triu(live, 1)
+    wanted = -(-percent * np.add.outer(a_sizes, b_sizes) // (100 + percent))
+    a_row, a_gram = _shared_entries(one, live.any(axis=1))
+    b_row, b_gram = _shared_entries(two, live.any(axis=0))
+    a_names, a_times = np.unique(a_gram, return_counts=True)
+    b_names, b_times = np.unique(b_gram, return_counts=True)
+    names, a_at, b_at = np.intersect1d(a_names, b_names, assume_unique=True, return_indices=True)
+    if not len(names):
+        return []
+    a_times, b_times = a_times[a_at], b_times[b_at]
+    turn = np.argsort(a_times * b_times, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[turn] = np.arange(len(names))
+    a_times, b_times = a_times[turn], b_times[turn]
+
+    def placed(row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(names, gram), len(names) - 1)
+        known = names[at] == gram
+        column, row = place[at[known]], row[known]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    (a_row, a_column), (b_row, b_column) = placed(a_row, a_gram), placed(b_row, b_gram)
+    a_starts = np.append(0, np.cumsum(a_times))
+    b_starts = np.append(0, np.cumsum(b_times))
+    a_left, b_left = np.bincount(a_row, minlength=len(a_sizes)), np.bincount(b_row, minlength=len(b_sizes))
+    overlap = np.zeros(live.shape, np.int64)
+    low = 0
+    while low < len(names):
+        live &= overlap + np.minimum.outer(a_left, b_left) >= wanted
+        if not live.any():
+            return []
+        high = min(low + width, len(names))
+        a_part, b_part = slice(a_starts[low], a_starts[high]), slice(b_starts[low], b_starts[high])
+        a, b = a_row[a_part], b_row[b_part]
+        pairs = int((a_times[low:high] * b_times[low:high]).sum())
+        if pairs * dense < live.size * (high - low):
+            each = b_times[a_column[a_part]]
+            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            met = b_row[np.repeat(b_starts[a_column[a_part]], each) + within]
+            overlap += np.bincount(np.repeat(a, each) * live.shape[1] + met, minlength=live.size).reshape(live.shape)
+        else:
+            left = np.zeros((len(a_sizes), high - low), np.float32)
+            right = np.zeros((len(b_sizes), high - low), np.float32)
+            left[a, a_column[a_part] - low] = 1
+            right[b, b_column[b_part] - low] = 1
+            overlap += (left @ right.T).astype(np.int64)
+        a_left -= np.bincount(a, minlength=len(a_sizes))
+        b_left -= np.bincount(b, minlength=len(b_sizes))
+        low = high
+    live &= overlap >= wanted
+    known, label = np.unique(np.concatenate([one.components, two.components]), return_inverse=True)
+    a_label, b_label = label[: len(a_sizes)], label[len(a_sizes) :]
+    root = np.arange(len(known))
+    forest = []
+    for a in np.flatnonzero(live.any(axis=1)):
+        partners = np.flatnonzero(live[a])
+        roots, first = np.unique(root[b_label[partners]], return_index=True)
+        own = root[a_label[a]]
+        forest += [(int(one.sets[a]), int(two.sets[b])) for b in partners[first[roots != own]]]
+        root[np.isin(root, roots)] = own
+    return forest
+
+
+def product_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between open rows of all pairs of blocks that share an open column."""
+
+    def side(name: str) -> DataFrame:
+        parts = (F.col(part).alias(f"{name}_{part}") for part in ("sets", "components", "ends", "grams"))
+        return blocks.select(F.col("block").alias(name), *parts)
+
+    def block_of(batch: pa.RecordBatch, name: str, at: int) -> Block:
+        numbers = (
+            batch.column(f"{name}_{part}")[at].values.to_numpy(zero_copy_only=False) for part in ("sets", "components", "ends")
+        )
+        return Block(*numbers, np.frombuffer(batch.column(f"{name}_grams")[at].as_buffer(), np.uint64))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, same in enumerate(batch.column("same").to_pylist()):
+                one = block_of(batch, "one", at)
+                found = overlap_links(one, one if same else block_of(batch, "two", at), percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    both = block_pairs(blocks).join(side("one"), "one").join(side("two"), "two")
+    return both.withColumn("same", F.col("one") == F.col("two")).drop("one", "two").mapInArrow(multiply, "a bigint, b bigint")
 
 
 def gram_groups(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:

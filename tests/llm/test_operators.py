@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -169,6 +170,68 @@ def test_jaccard_links_through_a_row_without_an_id(spark):
     assert alone == {(1, 1): 1, (2, 2): 1}
 
 
+def merged(edges, nodes):
+    """Smallest node each node reaches."""
+    group = {node: node for node in nodes}
+    for a, b in edges:
+        low, high = sorted((group[a], group[b]))
+        group = {node: low if own == high else own for node, own in group.items()}
+    return group
+
+
+def jaccard_block(sets, components, first):
+    ends = np.cumsum([len(s) for s in sets])
+    grams = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    return jaccard.Block(np.arange(len(sets)) + first, np.array(components), ends, grams)
+
+
+def linked(x, y):
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
+def test_block_product_joins_what_all_pairs_join():
+    rng = random.Random(1)
+    for _ in range(60):
+        bases = [set(rng.sample(range(60), rng.randint(5, 30))) for _ in range(4)]
+        sides = []
+        for first in (1000, 2000):
+            sets = []
+            for _ in range(rng.randint(1, 25)):
+                own = rng.choice(bases) ^ {rng.randint(0, 70) for _ in range(rng.randint(0, 5))}
+                sets.append(own or {1})
+            known = [rng.choice([0, 1, 2]) if rng.random() < 0.2 else first + i for i in range(len(sets))]
+            sides.append((sets, known, jaccard_block(sets, known, first), first))
+        for one, two in ((sides[0], sides[1]), (sides[0], sides[0])):
+            pairs = ((i, j) for i in range(len(one[0])) for j in range(len(two[0])) if one is not two or i < j)
+            true = [(one[1][i], two[1][j]) for i, j in pairs if linked(one[0][i], two[0][j])]
+            nodes = {*one[1], *two[1]}
+            for dense, width in ((40, 2048), (1, 7), (10**9, 3)):  # mixed, products only, pair by pair only
+                found = [(a - one[3], b - two[3]) for a, b in jaccard.overlap_links(one[2], two[2], 75, dense, width)]
+                assert all(linked(one[0][a], two[0][b]) for a, b in found)
+                got = merged([(one[1][a], two[1][b]) for a, b in found], nodes)
+                assert got == merged(true, nodes) and len(found) == len(nodes) - len(set(got.values()))
+
+
+@pytest.mark.parametrize("rows", [512, 40])
+def test_jaccard_of_copies_that_meet_only_in_their_originals(spark, rows):
+    rng = random.Random(5)
+    line = [f"common{i}" for i in range(30)]
+    data = []
+    for _ in range(3):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        data.append(base)
+        for _ in range(60):
+            at, many = rng.randint(0, 100), rng.randint(5, 20)
+            data.append(base[:at] + [f"x{rng.randint(0, 10**6)}" for _ in range(many)] + base[at + many :])
+    data += [line + [f"y{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 12))] for _ in range(200)]
+    rng.shuffle(data)
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in data]
+    true = merged([(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j])], range(len(sets)))
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(data)], "doc_id bigint, text string").repartition(7)
+    found = jaccard.gram_groups(frame, jaccard.Settings(product_rows=rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == true
+
+
 def test_pivots_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16))
