@@ -134,8 +134,37 @@ def _candidates() -> Column:
     return F.transform(names, lambda name: F.regexp_replace(name, "\\A/+", ""))
 
 
-def resolve_imports(edges: DataFrame, files: DataFrame, *scope: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Relation edges (source, target, target_kind, is_internal, imported_names, alias, line_number).
+def edge_lookups(edges: DataFrame, *scope: str) -> DataFrame:
+    """``relative_path`` and ``lookup`` of every edge that looks for a file: the path it asks for and how, at most two."""
+    path, package = (F.regexp_replace(name, "\\A/+", "") for name in ("path", "package"))
+    family = F.col("family")
+    by_path = F.concat(F.when(family == "member", "module").otherwise(family), F.lit(":"), path)
+    by_package = F.concat(F.lit("package:"), package)
+    lookups = (
+        F.when(family == "member", F.array(by_path, by_package))
+        .when(family == "package", F.array(by_package))
+        .when(family != "none", F.array(by_path))
+    )
+    return _with_request(edges).select(*scope, "relative_path", F.explode(lookups).alias("lookup"))
+
+
+def lookups_naming(file_key: Column) -> Column:
+    """All lookups that can have this file as their answer: one for each file name that is tried."""
+    tried = [("module", PYTHON_MODULE), ("package", PYTHON_PACKAGE), ("script", TYPESCRIPT), ("include", ["{}"])]
+    stems = []
+    for family, templates in tried:
+        for suffix in (template.removeprefix("{}") for template in templates):
+            stem = F.when(F.endswith(file_key, F.lit(suffix)), F.substr(file_key, F.lit(1), F.length(file_key) - len(suffix)))
+            if suffix.startswith("/"):
+                stem = F.when(file_key == suffix[1:], "").otherwise(stem)
+            stems.append(F.concat(F.lit(f"{family}:"), stem))
+    return F.array_distinct(F.array_compact(F.array(*stems)))
+
+
+def resolve_imports(
+    edges: DataFrame, files: DataFrame, *scope: str, hot_rows: int = HOT_ROWS, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """Relation edges (source, target, target_kind, is_internal, imported_names, alias, line_number, columns ``carried``).
 
     Equal lookups are collapsed first: each distinct request of a repository is matched against the files
     once, and its answer is joined back to the edges with hot requests split over tasks. Edges are neither
@@ -168,6 +197,7 @@ def resolve_imports(edges: DataFrame, files: DataFrame, *scope: str, hot_rows: i
         "imported_names",
         "alias",
         "line_number",
+        *carried,
     )
 
 
