@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import connected_components, text_slices, write_shared
@@ -42,7 +42,7 @@ class Settings:
     """Link where 100 * overlap >= ``percent`` * union of sets of ``words``-word n-grams.
 
     ``column_block`` entries make a column block and ``row_block`` a row block; their number follows the data. A product
-    block ends at ``product_rows`` rows or ``product_entries`` entries; one longer row is a block of its own.
+    block ends near ``product_entries`` entries, a row counting as at least one of ``product_rows`` equal parts of them.
     """
 
     words: int = 5
@@ -354,10 +354,26 @@ def product_blocks(opened: DataFrame, rows: DataFrame, settings: Settings) -> Da
     columns with few others.
     """
     near = opened.groupBy("component").agg(F.min("column").alias("near"))
+    order = ["near", "component", "set"]
     each = opened.groupBy("set", "component").agg(F.collect_list("column").alias("opened"))  # a row's first columns
     ordered = cut_lineage(each.join(near, "component").join(rows.select("set", "size", "grams"), "set"))
-    held, entries = ordered.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = 1 + int(max(held / settings.product_rows, entries / settings.product_entries) / 4)
+    # A block ends by the weights of the rows before it, whatever the number of ranges; only sums of ranges are gathered.
+    weight = F.greatest(F.col("size"), F.lit(settings.product_entries // settings.product_rows))
+    total = ordered.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    ranged = cut_lineage(
+        ordered.select(*order, weight.alias("weight"))
+        .repartitionByRange(1 + total // (4 * settings.product_entries), *order)
+        .withColumn("range", F.spark_partition_id())
+    )
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("range").agg(F.sum("weight").alias("weight"))
+    starts = sums.select("range", F.coalesce(F.sum("weight").over(earlier), F.lit(0)).alias("start"))
+    inside = F.sum("weight").over(Window.partitionBy("range").orderBy(*order)) - F.col("weight")
+    numbered = (
+        ranged.withColumn("inside", inside)
+        .join(starts, "range")
+        .select("set", F.floor((F.col("start") + F.col("inside")) / settings.product_entries).alias("block"))
+    )
     kinds = pa.schema(
         [
             ("block", pa.int64()),
@@ -367,30 +383,29 @@ def product_blocks(opened: DataFrame, rows: DataFrame, settings: Settings) -> Da
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        rows: list[tuple] = []
-        total = 0
+        number, rows = None, []
         for batch in batches:
-            for row in zip(*(batch.column(name).to_pylist() for name in ("set", "component", "size", "opened", "grams"))):
-                if rows and (len(rows) >= settings.product_rows or total + row[2] > settings.product_entries):
+            names = ("block", "set", "component", "size", "opened", "grams")
+            for block, *row in zip(*(batch.column(name).to_pylist() for name in names)):
+                if rows and block != number:
                     yield packed(number, rows)
-                    number, rows, total = number + 1, [], 0
+                    rows = []
+                number = block
                 rows.append(row)
-                total += row[2]
         if rows:
             yield packed(number, rows)
 
-    def packed(number: int, rows: list[tuple]) -> pa.RecordBatch:
+    def packed(number: int, rows: list[list]) -> pa.RecordBatch:
         sets, components, sizes, opened, grams = zip(*rows)
         lists = [sets, components, np.cumsum(sizes).tolist(), sorted(set().union(*opened))]
         arrays = [pa.array([list(x)], pa.list_(pa.int64())) for x in lists]
         return pa.RecordBatch.from_arrays([pa.array([number]), *arrays, pa.array([b"".join(grams)], pa.binary())], schema=kinds)
 
-    order = ["near", "component", "set"]
     return write_shared(
-        ordered.repartitionByRange(ranges, *order)
-        .sortWithinPartitions(*order)
-        .select("set", "component", "size", "opened", "grams")
+        ordered.join(numbered, "set")
+        .select("block", "set", "component", "size", "opened", "grams")
+        .repartition("block")
+        .sortWithinPartitions("block", "set")
         .mapInArrow(
             pack,
             "block bigint, sets array<bigint>, components array<bigint>, ends array<bigint>, opened array<bigint>, grams binary",
