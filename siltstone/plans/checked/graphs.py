@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import calls, dependencies, knowledge
+from siltstone.operators.import_index import ImportIndex
 from siltstone.plans.checked import query, table
+from siltstone.session import checkpoint_folder
 
 # Parts as Python modules: a package, a module, or no file at all.
 _PART_FILE = (
@@ -78,6 +82,21 @@ def graph_outgoing(spark: SparkSession, folder: str) -> DataFrame:
     return edges.select("source", "target", F.col("line_number").cast("bigint").alias("line_number"))
 
 
+@query(
+    "import_index",
+    f"""{_RESOLVED} select source, target, target_kind, target_kind <> 'external_module' as is_internal, imported_names, alias,
+    line_number from r""",
+)
+def import_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Files and edges go into a stored index before any package file is known; the packages come as a change."""
+    files, edges = _python_files(spark, folder), _python_edges(spark, folder)
+    package = F.endswith("relative_path", F.lit("__init__.py"))
+    index = ImportIndex(spark, f"{checkpoint_folder(spark)}/import-index-{uuid.uuid4().hex}", buckets=8)
+    index.apply(files.where(~package), edges)
+    index.apply(files.where(package), edges.limit(0))
+    return index.edges().withColumn("imported_names", F.array_join("imported_names", ","))
+
+
 @query(
     "import_rules",
     """with o as (select o_orderkey as k, o_custkey as c, o_orderkey % 6 as r from orders)
