@@ -8,6 +8,7 @@ comes or goes leads to the few lookups that may now have another answer, and fro
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 from siltstone.functions import paths
 from siltstone.operators.dependencies import edge_lookups, edge_order, lookups_naming, resolve_imports
 from siltstone.operators.keyed import KeyedTable, create_keyed
-from siltstone.session import cut_lineage
+from siltstone.session import drop_shuffles, written_copies
 
 _MARK = "\u001f"  # between a scope and what lies in it
 _EDGE = (
@@ -26,22 +27,28 @@ _EDGE = (
 )
 
 
+def _parts(pair: Column) -> tuple[Column, Column]:
+    """The lookup and the source of a pair, which is the lookup's length, a colon, the lookup and the source."""
+    at, length = F.instr(pair, ":"), F.substring_index(pair, ":", 1).cast("int")
+    return F.substr(pair, at + 1, length), F.substr(pair, at + length + 1)
+
+
 class HolderTable(KeyedTable):
-    """Pairs of a lookup and a source that holds it, in buckets of the lookup; the key is both their SHA-256."""
+    """Pairs of a lookup and a source that holds it, in buckets of the lookup; the key spells both and is all that is stored."""
 
     def _bucket(self, key: Column) -> Column:
-        return super()._bucket(F.substring(key, 1, 64))
+        return super()._bucket(_parts(key)[0])
+
+    def _require(self, rows: DataFrame, base: int, known: bool | None, removed: DataFrame | None = None) -> None:
+        """Pairs are filled and distinct when they come here, and one that is known already may come again."""
 
     def holding(self, lookups: DataFrame, version: int) -> DataFrame:
         """The pairs of these lookups; only their buckets are read."""
-        bucket = self._bucket(F.sha2("lookup", 256))
+        bucket = super()._bucket(F.col("lookup"))
         buckets = [row[0] for row in lookups.select(bucket).distinct().collect()]  # at most one a bucket
-        return self.rows(version, buckets).join(lookups, "lookup", "left_semi")
-
-
-def _pairs(lookups: DataFrame) -> DataFrame:
-    pair = F.concat(F.sha2("lookup", 256), F.sha2("id", 256))
-    return lookups.select(pair.alias("pair"), "lookup", "id")
+        lookup, source = _parts(F.col("pair"))
+        held = self.rows(version, buckets).select(lookup.alias("lookup"), source.alias("id"))
+        return held.join(lookups, "lookup", "left_semi")
 
 
 class ImportIndex:
@@ -57,7 +64,7 @@ class ImportIndex:
         file = "id string, scope string, file_key string, relative_path string"
         self.files = KeyedTable(spark, made("files", file, "id"))
         self.sources = KeyedTable(spark, made("sources", f"id string, scope string, source string, edges {_EDGE}", "id"))
-        self.holders = HolderTable(spark, made("holders", "pair string, lookup string, id string", "pair"))
+        self.holders = HolderTable(spark, made("holders", "pair string", "pair"))
 
     # Reading
 
@@ -85,15 +92,13 @@ class ImportIndex:
 
     def _files(self, frame: DataFrame) -> DataFrame:
         named = self._scoped(frame).select("scope", paths.normalize("relative_path").alias("file_key"), "relative_path")
-        return cut_lineage(named.select(F.concat("scope", F.lit(_MARK), "file_key").alias("id"), *named.columns).distinct())
+        return named.select(F.concat("scope", F.lit(_MARK), "file_key").alias("id"), *named.columns).distinct()
 
-    def _lookups(self, edges: DataFrame) -> DataFrame:
-        """Lookup and source (``id``) of raw edges, once each."""
-        found = edge_lookups(edges, "scope")
-        return found.select(
-            F.concat("scope", F.lit(_MARK), "lookup").alias("lookup"),
-            F.concat("scope", F.lit(_MARK), "relative_path").alias("id"),
-        ).distinct()
+    def _pairs(self, edges: DataFrame) -> DataFrame:
+        """Pairs of a lookup and its source, of raw edges, once each."""
+        lookup, source = (F.concat("scope", F.lit(_MARK), name) for name in ("lookup", "relative_path"))
+        pair = F.concat(F.length(lookup).cast("string"), F.lit(":"), lookup, source)
+        return edge_lookups(edges, "scope").select(pair.alias("pair")).distinct()
 
     def _raw(self, rows: DataFrame) -> DataFrame:
         """Stored edges in the form they were given in."""
@@ -106,22 +111,31 @@ class ImportIndex:
         Sources of unchanged files are resolved again only if they hold a lookup that can name a file that came or went, and
         are written only if an edge of theirs changed. The commit of the file table is the last that matters: a change that
         failed before it is run again as a whole, with the same result. Another writer's change raises ConflictError.
+        What a step leaves for the next is written as Parquet and goes when the change is done, as do its shuffles.
         """
+        spark = self.files.spark
+        with drop_shuffles(spark), written_copies(spark) as written:
+            self._apply(files, edges, removed, written)
+
+    def _apply(
+        self, files: DataFrame, edges: DataFrame, removed: DataFrame | None, written: Callable[[DataFrame], DataFrame]
+    ) -> None:
         at_files, at_sources = self.files.version(), self.sources.version()
         at_holders = self.holders.version()
-        changed, known = self._files(files), self.files.rows(at_files)
+        changed, known = written(self._files(files)), self.files.rows(at_files)
         leaving = changed.limit(0) if removed is None else self._files(removed).join(changed, "id", "left_anti")
-        leaving = cut_lineage(leaving)
+        leaving = written(leaving)
         created, gone = changed.join(known, "id", "left_anti"), leaving.join(known.select("id"), "id", "left_semi")
-        touched_names = created.unionByName(gone).select("scope", F.explode(lookups_naming(F.col("file_key"))).alias("name"))
-        touched_names = cut_lineage(
-            touched_names.select(F.concat("scope", F.lit(_MARK), "name").alias("lookup")).distinct()
-        )
-        own = changed.unionByName(leaving).select(F.concat("scope", F.lit(_MARK), "relative_path").alias("id")).distinct()
-        touched = self.holders.holding(touched_names, at_holders).select("id").distinct().join(own, "id", "left_anti")
+        own = changed.unionByName(leaving).select("scope", F.col("relative_path").alias("source")).distinct()
         stored = self.sources.rows(at_sources)
-        waiting = cut_lineage(stored.join(touched, "id", "left_semi"))
-        before = cut_lineage(stored.join(own, "id", "left_semi"))
+        waiting = before = stored.limit(0)
+        if at_holders:  # an index without pairs has no source to resolve again
+            names = created.unionByName(gone).select("scope", F.explode(lookups_naming(F.col("file_key"))).alias("name"))
+            names = written(names.select(F.concat("scope", F.lit(_MARK), "name").alias("lookup")).distinct())
+            touched = self.holders.holding(names, at_holders).select("id").distinct()
+            waiting = written(stored.join(touched, "id", "left_semi").join(own, ["scope", "source"], "left_anti"))
+        if at_sources:
+            before = written(stored.join(own, ["scope", "source"], "left_semi"))
 
         raw = ["scope", "relative_path", "target_module", "imported_names", "alias", "is_internal"]
         given = self._scoped(edges).select(*raw, F.col("line_number").cast("bigint").alias("line_number"))
@@ -137,26 +151,22 @@ class ImportIndex:
         wanted = changed.select("scope", F.col("relative_path").alias("source")).unionByName(
             waiting.select("scope", "source")
         )
-        fresh = cut_lineage(
+        was = waiting.unionByName(before).select("scope", "source", F.col("edges").alias("was"))
+        fresh = written(
             wanted.join(grouped, ["scope", "source"], "left")
-            .select(
-                F.concat("scope", F.lit(_MARK), "source").alias("id"),
-                "scope",
-                "source",
-                F.coalesce("edges", F.array().cast(_EDGE)).alias("edges"),
-            )
-            .join(waiting.unionByName(before).select("id", F.col("edges").alias("was")), "id", "left")
+            .withColumn("edges", F.coalesce("edges", F.array().cast(_EDGE)))
+            .join(was, ["scope", "source"], "left")
             .where(~F.col("edges").eqNullSafe(F.col("was")))
-            .drop("was")
+            .select(F.concat("scope", F.lit(_MARK), "source").alias("id"), "scope", "source", "edges")
         )
-        pairs = cut_lineage(_pairs(self._lookups(given)))
-        stale = _pairs(self._lookups(self._raw(before))).join(pairs, "pair", "left_anti")
-        stale = cut_lineage(stale.select("pair"))
+        pairs = written(self._pairs(given))
+        stale = self._pairs(self._raw(before)).join(pairs, "pair", "left_anti")
+        stale = written(stale) if at_sources else pairs.limit(0)
 
         # A pair too many does no harm, so pairs come first and stale ones go last.
         if not pairs.isEmpty():
             self.holders.upsert(pairs)
-        forgotten = before.join(leaving.select(F.concat("scope", F.lit(_MARK), "relative_path").alias("id")), "id", "left_semi")
+        forgotten = before.join(leaving.select("scope", F.col("relative_path").alias("source")), ["scope", "source"], "left_semi")
         steps = [
             (fresh.isEmpty(), lambda base: self.sources.upsert(fresh, base=base)),
             (forgotten.isEmpty(), lambda base: self.sources.delete(forgotten.select("id"), base=base)),

@@ -192,8 +192,9 @@ class KeyedTable:
             }
         )
         # Files follow buckets; a bucket with very many rows is split by size at run time.
-        staged.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/_change={folder}")
-        return self._finish(Change(folder, whole), base)
+        spread = staged.hint("rebalance", "_bucket").write.option("compression", "zstd").partitionBy("_bucket")
+        spread.parquet(f"{self.path}/data/_change={folder}")
+        return self._finish(Change(folder, whole or base == 0), base)  # the first change is the whole table
 
     def _finish(self, change: Change, base: int) -> int:
         text = json.dumps(change._asdict()) + "\n"

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +66,43 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def write_copy(frame: DataFrame, place: str | None = None) -> DataFrame:
+    """Write ``frame`` as compressed Parquet to the shared folder (or ``place`` in it) and continue from the copy.
+
+    A fraction of what ``cut_lineage`` writes, and a reader takes only the columns it needs.
+    """
+    spark = frame.sparkSession
+    folder = f"{place or checkpoint_folder(spark)}/copy-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
+@contextmanager
+def written_copies(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Give a ``write_copy`` whose copies are all removed at the end of the block."""
+    place = f"{checkpoint_folder(spark)}/copies-{uuid.uuid4().hex}"
+    try:
+        yield lambda frame: write_copy(frame, place)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def drop_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, shuffle files go as soon as the query that wrote them ends, not when its objects are collected.
+
+    For jobs of many queries that each run once; a frame that is run a second time shuffles anew.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks to share a step among: the session's shuffle partitions or all cores, whichever is more.
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
 from siltstone.errors import ConflictError
 from siltstone.operators.dependencies import edge_lookups, lookups_naming, resolve_imports
 from siltstone.operators.import_index import ImportIndex
+from siltstone.session import checkpoint_folder
 
 EDGE = (
     "repo string, relative_path string, target_module string, imported_names array<string>, alias string, "
@@ -119,3 +121,20 @@ def test_a_file_leads_to_every_lookup_it_answers(spark):
     assert {"script:", "script:index", "script:index.ts"} <= found["index.ts"] and "include:c/h.hpp" in found["c/h.hpp"]
     edge = spark.createDataFrame([("p/x.py", ".", ["q"], None, True, 1)], EDGE.removeprefix("repo string, "))
     assert {r.lookup for r in edge_lookups(edge).collect()} == {"module:p/q", "package:p"}
+
+
+def test_a_change_leaves_nothing_but_the_tables(spark, tmp_path):
+    shared = Path(checkpoint_folder(spark).removeprefix("file:"))
+    index = ImportIndex(spark, str(tmp_path / "i"), buckets=2)
+    kinds = EDGE.removeprefix("repo string, ")
+    files = spark.createDataFrame([("x.py",), ("y.py",)], "relative_path string")
+    edges = [("x.py", "m", [], None, False, 1), ("y.py", ".", ["n"], None, True, 1)]
+    before = set(shared.iterdir())
+    index.apply(files, spark.createDataFrame(edges, kinds))
+    index.apply(spark.createDataFrame([("m.py",)], "relative_path string"), spark.createDataFrame([], kinds))
+    assert set(shared.iterdir()) == before
+    # A pair is stored once, not as its hashes beside both its parts, and the first change needs no folding.
+    assert index.holders.schema.names == ["pair"] and index.sources.changes(1)[0].whole
+    lookups = spark.createDataFrame([("\u001fmodule:n",), ("\u001fpackage:",), ("\u001fmodule:q",)], "lookup string")
+    found = {(r.lookup, r.id) for r in index.holders.holding(lookups, index.holders.version()).collect()}
+    assert found == {("\u001fmodule:n", "\u001fy.py"), ("\u001fpackage:", "\u001fy.py")}
