@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.spread import HOT_ROWS, spread_join
-from siltstone.session import cut_lineage
+from siltstone.session import cut_lineage, write_copy
 
 # Links of a component that one task decides in one pass; larger components are thinned first.
 COMPONENT_LINKS = 500_000
@@ -55,7 +56,7 @@ def connected_components(links: DataFrame, a: str, b: str, hot_rows: int = HOT_R
 
 
 def _walk(group: pa.Table) -> pa.Table:
-    """Greedy choice in one component: nodes in rank order, each chosen unless a better neighbour was."""
+    """Greedy choice in one component: nodes in rank order, each chosen unless a better neighbour was. Gives those not chosen."""
     better, worse = defaultdict(list), {}
     for row in group.select(["better_key", "better", "worse_key", "worse"]).to_pylist():
         one, other = (row["better_key"], row["better"]), (row["worse_key"], row["worse"])
@@ -65,50 +66,51 @@ def _walk(group: pa.Table) -> pa.Table:
     for node in sorted(worse):
         if not any(x in chosen for x in better[node]):
             chosen.add(node)
-    return pa.table({"subject_id": pa.array([x[1] for x in sorted(worse) if x in chosen], pa.string())})
+    return pa.table({"subject_id": pa.array([x[1] for x in sorted(worse) if x not in chosen], pa.string())})
+
+
+def _thinned(links: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(losers, links left) of a round in which all nodes without a better neighbour are chosen and their neighbours dropped."""
+    beaten = links.select(F.col("worse").alias("better")).distinct()
+    winners = links.select("better").distinct().join(beaten, "better", "left_anti").withColumn("won", F.lit(True))
+    marked = spread_join(links, cut_lineage(winners), ["better"], ["worse"], hot_rows=hot_rows)
+    losers = cut_lineage(marked.where("won").select(F.col("worse").alias("subject_id")).distinct())
+    left = links
+    # The links of a chosen node lead to losers, so they go with those.
+    for side, other in (("better", "worse"), ("worse", "better")):
+        lost = losers.select(F.col("subject_id").alias(side), F.lit(True).alias("lost"))
+        left = spread_join(left, lost, [side], [other], hot_rows=hot_rows).where("lost is null").drop("lost")
+    return losers, write_copy(left.select(*links.columns))
 
 
 def greedy_choice(links: DataFrame, hot_rows: int = HOT_ROWS, component_links: int = COMPONENT_LINKS) -> DataFrame:
     """``subject_id`` of every linked node that a walk in rank order (key, then id) chooses: it has no better chosen neighbour.
 
-    ``links`` hold ``better``, ``better_key``, ``worse`` and ``worse_key``. Components are independent, so each of up to
-    ``component_links`` links is walked in one pass, however long its chains, and so are all of them if they have no more together. A larger one is thinned by a round in which all
-    nodes without a better neighbour are chosen and their neighbours dropped; what is left of it falls into components again.
+    ``links`` hold ``better``, ``better_key``, ``worse`` and ``worse_key``. Rounds choose all nodes without a better
+    neighbour and drop their neighbours, as long as each leaves no more than half of the links. Where long chains make
+    rounds slow, components, which are independent, are told apart: each of up to ``component_links`` links is walked in
+    one pass, however long its chains, and so are all that are left once they have no more together. Larger ones go on in
+    rounds. A node that no round and no walk drops is chosen.
     """
-    spark = links.sparkSession
-    links = cut_lineage(links.distinct())
-    chosen = [spark.createDataFrame([], "subject_id string")]
+    links = write_copy(links.distinct())
+    nodes = links.select(F.col("better").alias("subject_id")).unionByName(links.select(F.col("worse").alias("subject_id"))).distinct()
+    lost, before = [], None
     while True:
-        if links.count() <= component_links:  # what is left needs not be told apart to be walked
-            chosen.append(cut_lineage(links.groupBy(F.lit("")).applyInArrow(_walk, "subject_id string")))
+        count = links.count()
+        if count <= component_links:  # what is left needs not be told apart to be walked
+            lost.append(cut_lineage(links.groupBy(F.lit("")).applyInArrow(_walk, "subject_id string")))
             break
-        parts = connected_components(links, "better", "worse", hot_rows).toDF("better", "component")
-        placed = spread_join(links, parts, ["better"], ["worse"], hot_rows=hot_rows)
-        sizes = placed.groupBy("component").agg(F.count("*").alias("rows"))
-        sized = sizes.withColumn("giant", F.col("rows") > component_links)
-        placed = cut_lineage(spread_join(placed, sized, ["component"], ["better", "worse"], sizes, hot_rows))
-        small = placed.where("not giant")
-        chosen.append(cut_lineage(small.groupBy("component").applyInArrow(_walk, "subject_id string")))
-        links = placed.where("giant").select(*links.columns)
-        beaten = links.select(F.col("worse").alias("better")).distinct()
-        winners = cut_lineage(links.select("better").distinct().join(beaten, "better", "left_anti"))
-        won = winners.withColumn("won", F.lit(True))
-        marked = spread_join(links, won, ["better"], ["worse"], hot_rows=hot_rows)
-        losers = marked.where("won").select(F.col("worse").alias("node")).distinct()
-        decided = cut_lineage(losers.unionByName(winners.select(F.col("better").alias("node"))).withColumn("done", F.lit(True)))
-        open_ones = links
-        for side, other in (("better", "worse"), ("worse", "better")):
-            known = decided.select(F.col("node").alias(side), F.col("done").alias(f"done_{side}"))
-            open_ones = spread_join(open_ones, known, [side], [other], hot_rows=hot_rows)
-        remaining = cut_lineage(open_ones.where("done_better is null and done_worse is null").select(*links.columns))
-        # A node whose neighbours have all been dropped is linked to nothing any more, and so is chosen.
-        nodes = links.select(F.col("better").alias("node")).unionByName(links.select(F.col("worse").alias("node"))).distinct()
-        still = remaining.select(F.col("better").alias("node")).unionByName(remaining.select(F.col("worse").alias("node"))).distinct()
-        freed = nodes.join(decided, "node", "left_anti").join(still, "node", "left_anti")
-        chosen.append(cut_lineage(freed.select(F.col("node").alias("subject_id"))))
-        chosen.append(winners.select(F.col("better").alias("subject_id")))
-        links = remaining
-    result = chosen[0]
-    for part in chosen[1:]:
-        result = result.unionByName(part)
-    return result
+        if before is not None and count > before // 2:
+            parts = connected_components(links, "better", "worse", hot_rows).toDF("better", "component")
+            placed = spread_join(links, parts, ["better"], ["worse"], hot_rows=hot_rows)
+            sizes = placed.groupBy("component").agg(F.count("*").alias("rows"))
+            sized = sizes.withColumn("giant", F.col("rows") > component_links)
+            placed = cut_lineage(spread_join(placed, sized, ["component"], ["better", "worse"], sizes, hot_rows))
+            small = placed.where("not giant")
+            lost.append(cut_lineage(small.groupBy("component").applyInArrow(_walk, "subject_id string")))
+            links = placed.where("giant").select(*links.columns)
+            count = links.count()
+        losers, links = _thinned(links, hot_rows)
+        lost.append(losers)
+        before = count
+    return nodes.join(reduce(DataFrame.unionByName, lost), "subject_id", "left_anti")

@@ -13,7 +13,7 @@ import pytest
 
 from siltstone.errors import IntegrityError, NotFoundError, ValidationError
 from siltstone.functions.documents import canonical_json, export_checksum
-from siltstone.operators import candidates
+from siltstone.operators import candidates, components
 from siltstone.operators.candidates import SelectionPolicy
 from siltstone.operators.components import connected_components, greedy_choice
 from siltstone.operators.spread import distributed_rank, order_statistic, spread_join
@@ -315,6 +315,20 @@ def test_a_long_chain_is_walked_in_one_pass(spark):
     assert found == {x[1] for x in chain[::2]} and checkpoints(spark) - before < 10
 
 
+def test_rounds_come_before_components(spark, monkeypatch):
+    """In a dense graph, rounds alone leave little enough to be walked at once; components take many joins to tell apart."""
+    dice = random.Random(5)
+    nodes = [(-dice.randrange(7) / 10, f"d{i:03d}") for i in range(150)]
+    pairs = [tuple(dice.sample(nodes, 2)) for _ in range(1500)]
+
+    def refused(*_):
+        raise AssertionError("components were computed")
+
+    monkeypatch.setattr(components, "connected_components", refused)
+    found = [r.subject_id for r in greedy_choice(linked(spark, pairs), component_links=200).collect()]
+    assert len(found) == len(set(found)) and set(found) == greedy(pairs)
+
+
 def checkpoints(spark):
     return len(list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir())) if spark.sparkContext.getCheckpointDir() else 0
 
