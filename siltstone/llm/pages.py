@@ -15,6 +15,7 @@ import hashlib
 import html
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -267,17 +268,19 @@ def main_text(lines: list[Line], partner: list[Line] | None, settings: Settings)
     return kept_text(lines, shared), len(shared)
 
 
-def kept_text(lines: list[Line], deleted: set[int]) -> str:
-    """Text of a page whose lines of these indexes stand elsewhere; headings and paragraphs of an article stay."""
+def body_lines(lines: list[Line]) -> list[tuple[int, Line, bool]]:
+    """The lines that may be main text, with their indexes and whether they stay although they stand elsewhere."""
     articles = any(x.article for x in lines)
-    kept = [
-        line.text
+    return [
+        (at, line, line.article and line.running)
         for at, line in enumerate(lines)
-        if not line.apart
-        and (line.article or not articles)
-        and (at not in deleted or (line.article and line.running))
+        if not line.apart and (line.article or not articles)
     ]
-    return "\n\n".join(kept)
+
+
+def kept_text(lines: list[Line], deleted: set[int]) -> str:
+    """Text of a page whose lines of these indexes stand elsewhere; headings and paragraphs of an article stay."""
+    return "\n\n".join(line.text for at, line, stays in body_lines(lines) if stays or at not in deleted)
 
 
 def _common(one: str, two: str) -> int:
@@ -459,13 +462,28 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     keys of its range. Whole pages are read, twice. An empty table gives no rows; extra columns are not read.
     """
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
                 lines = page_lines(row["html"] or "", settings)
-                text = kept_text(lines, set(row["deleted"] or ()))
-                rows.append((row["page_id"], row["url"], text, len(text), len(lines), len(row["shared"] or ())))
+                body = body_lines(lines)
+                places = [-1 if stays else at for at, _, stays in body]
+                texts = zlib.compress("\n".join(line.text for _, line, _ in body).encode("utf-8", "surrogatepass"))
+                rows.append((row["page_id"], row["url"], row["key"], len(lines), places, texts))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+            names = ["page_id", "url", "key", "n_lines", "places", "body"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                deleted = set(row["deleted"] or ())
+                texts = zlib.decompress(row["body"]).decode("utf-8", "surrogatepass").split("\n")
+                text = "\n\n".join(x for x, at in zip(texts, row["places"]) if at not in deleted)
+                rows.append((row["page_id"], row["url"], text, len(text), row["n_lines"], len(row["shared"] or ())))
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             names = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"]
@@ -482,5 +500,8 @@ def extract_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     markup = F.concat_ws("\n", "host", "path", F.coalesce("html", F.lit("")))
     source = source.withColumn("key", F.unhex(F.md5(markup.cast("binary"))))
     found = shared_of_keys(page_keys(source, settings), settings)
-    joined = source.select("page_id", "url", "html", "key").join(found, "key", "left")
-    return joined.select("page_id", "url", "html", "shared", "deleted").mapInArrow(finish, SCHEMA)
+    # Of a page only the lines that may be its text are shuffled to what is known of them, compressed and without markup;
+    # white space in a line is one space, so line feeds divide them, and a line that stays has no place.
+    kinds = "page_id bigint, url string, key binary, n_lines bigint, places array<int>, body binary"
+    joined = source.select("page_id", "url", "html", "key").mapInArrow(read, kinds).join(found, "key", "left")
+    return joined.select("page_id", "url", "n_lines", "places", "body", "shared", "deleted").mapInArrow(finish, SCHEMA)

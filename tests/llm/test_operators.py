@@ -457,3 +457,10 @@ def test_repeated_pages_keep_their_text(spark):
     assert all(found[i] == found[10 + i] == text for i in range(4))
     assert all(found[20 + i] == [*text, f"at {i}"] for i in range(4))
     assert all(found[30 + i] == [f"own {i}", f"and {i}", f"more {i}"] for i in range(3))
+
+
+def test_pages_shuffle_no_markup(spark):
+    frame = spark.createDataFrame([(1, "http://a.b/c", "<p>one</p>")], "page_id long, url string, html string")
+    plan = pages.extract_pages(frame)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert "body#" in plan[at + 1].split("MapInArrow")[1]
