@@ -9,6 +9,7 @@ documents from others, and then takes the windows that the network itself finds
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -340,8 +341,8 @@ def _cut_shift(scores: np.ndarray, toxic: np.ndarray, cut: float) -> float:
     return float(np.log(cut / (1 - cut)) - (edges[widest] + edges[widest + 1]) / 2)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``sample`` documents of each class outside the held-out fold, by hash of the id."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id``, ``text`` and ``toxic`` of at most ``sample`` documents of each class outside the held-out fold, by hash of the id."""
     marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fold = documents.where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)).where(
         F.length("text").between(1, settings.sample_chars)
@@ -351,14 +352,22 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, settings: Settings)
         known.where("toxic = 0").orderBy("h").limit(settings.sample[1])
     )
     picked = {row["doc_id"]: int(row["toxic"]) for row in chosen.collect()}  # at most the two sample sizes
-    rows = (
-        fold.where(F.col("doc_id").isin(list(picked)))
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text"))
-        .orderBy("doc_id")
-        .collect()
-    )
-    return [r["text"] for r in rows], np.array([picked[r["doc_id"]] for r in rows], np.int64)
+    told = F.broadcast(documents.sparkSession.createDataFrame(list(picked.items()), "doc_id bigint, toxic int"))
+    rows = fold.where(F.col("doc_id").isin(list(picked))).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.join(told, "doc_id").select("doc_id", "text", "toxic")
+
+
+def trained(sample: DataFrame, settings: Settings) -> Model:
+    """The network for a bounded ``labelled_sample``: one task trains it, so the driver holds no texts and none of its arrays."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "text", "toxic"))))
+        model = train([text for _, text, _ in rows], np.array([toxic for _, _, toxic in rows], np.int64), settings)
+        packed = pickle.dumps((model.params, model.letters, model.strength, model.shift))
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    return Model(*pickle.loads(bytes(found[0]["model"]))) if found else train([], np.zeros(0, np.int64), settings)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -373,7 +382,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, settings: Settings
     spark: SparkSession = documents.sparkSession
     source = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"])
     marks = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
-    model = spark.sparkContext.broadcast(train(*labelled_sample(source, marks, settings), settings))
+    model = spark.sparkContext.broadcast(trained(labelled_sample(source, marks, settings), settings))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value, settings)

@@ -464,3 +464,16 @@ def test_pages_shuffle_no_markup(spark):
     plan = pages.extract_pages(frame)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
     assert "body#" in plan[at + 1].split("MapInArrow")[1]
+
+
+def test_toxicity_trains_in_a_task(spark):
+    documents = spark.createDataFrame([(x, f"word{x} again") for x in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(x, 0) for x in range(40)], "doc_id long, toxic int")
+    settings = toxicity.Settings()
+    sample = toxicity.labelled_sample(documents, labels, settings)
+    rows = sorted(tuple(r) for r in sample.collect())
+    assert rows and all(zlib.crc32(str(x).encode()) % 3 != 1 and text == f"word{x} again" for x, text, _ in rows)
+    here = toxicity.train([text for _, text, _ in rows], np.zeros(len(rows), np.int64), settings)
+    for found in (toxicity.trained(sample, settings), toxicity.trained(sample.limit(0), settings)):
+        assert found.shift == here.shift == -30.0 and found.params.keys() == here.params.keys()
+    assert (toxicity.trained(sample, settings).letters == here.letters).all()
