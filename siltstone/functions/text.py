@@ -10,6 +10,9 @@ LINE_BREAK = "\\r\\n|[\\n\\u000B\\u000C\\r\\u001C\\u001D\\u001E\\u0085\\u2028\\u
 LINE_BREAK_CHARACTERS = ["\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 # Fixed value: the characters Python's str.strip removes.
 BLANK_CLASS = "[\\s\\x1c-\\x1f]"
+# Fixed value: the same characters one by one, as SQL trim takes them.
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLANKS_SQL = "'" + "".join(f"\\u{ord(char):04x}" for char in BLANKS) + "'"
 
 
 def _col(value: Column | str) -> Column:
@@ -64,7 +67,7 @@ def line_number_at(text: Column | str, index: Column) -> Column:
 
 def strip_sql(value: str) -> str:
     """Trim Unicode blanks from both ends."""
-    return f"regexp_replace({value}, r'(?U)\\A{BLANK_CLASS}+|{BLANK_CLASS}+\\z', '')"
+    return f"trim(both {BLANKS_SQL} from {value})"
 
 
 def words_sql(value: str, dropped: list[str] = ()) -> str:

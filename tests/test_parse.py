@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from siltstone.operators.marks import innermost, pattern_marks
+from siltstone.functions.text import strip_sql
+from siltstone.operators.marks import RULES, TextMarks, _COMPILED, innermost, pattern_marks
 from siltstone.operators.parse import parse_files
 
 
@@ -260,3 +261,26 @@ def test_unclosed_class_ends_at_the_next(spark):
     parsed = parse_files(spark.createDataFrame([("a.ts", text)], "relative_path string, content string"))
     found = parsed.selectExpr("transform(classes, c -> struct(c.name, transform(c.methods, m -> m.name))) as c").first().c
     assert [(c[0], c[1]) for c in found] == [("A", ["a"]), ("B", ["b"])]
+
+
+def test_rules_try_only_lines_of_their_words():
+    """What a rule finds from its lines is what its pattern finds in the whole text."""
+    rng = random.Random(3)
+    keywords = sorted({word for rules in RULES.values() for rule in rules for word in (rule.words or "").split(" ")})
+    pieces = [*keywords, "default", "a", "B1", "é", " ", " ", "\n", "\n", "\t", "{", "}", "(", ")", "=", ";", ":", "<T>", "*", "'x'", '"y"', "# include"]
+    for language, rules in RULES.items():
+        assert sum(rule.words is not None for rule in rules) >= 7
+        for _ in range(400):
+            text = TextMarks(language, "".join(rng.choice(pieces) for _ in range(60)))
+            for rule, pattern in _COMPILED[language]:
+                if not rule.inside:
+                    assert [x.span() for x in text.outer(rule, pattern)] == [x.span() for x in pattern.finditer(text.scan)]
+
+
+def test_strip_takes_what_python_strips(spark):
+    assert "regexp" not in strip_sql("v")
+    points = [x for x in range(1, 0x10000) if not 0xD800 <= x < 0xE000]
+    rows = spark.createDataFrame([(x, f"{chr(x)}{chr(x)}a {chr(x)}b{chr(x)}") for x in points], "point int, v string")
+    wrong = [r.point for r in rows.selectExpr("point", "v", f"{strip_sql('v')} as s").collect() if r.s != r.v.strip()]
+    assert wrong == []
+    assert spark.sql(f"select {strip_sql('cast(null as string)')}").first()[0] is None
