@@ -34,7 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     """
     groups = jaccard.gram_groups(docs)
     kept = _kept(docs, groups.where("doc_id <=> component_id"))
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    told = kept.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return told.dropDuplicates(["doc_id", "nameless"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

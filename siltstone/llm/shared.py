@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from siltstone.session import checkpoint_folder, cut_lineage
 
+NODES_A_TASK = 100_000  # of a table with one row a node
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -57,38 +58,37 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large-star and small-star rounds (Kiveris et al. 2014): every round is two minima and two joins on the node, and
     the number of rounds grows with the logarithm of the longest chain. The minima are cut off as tables of their own,
-    so that adaptive execution can split the join of a node that has very many edges. Self-links, repeated links and
-    null ends are ignored; no edges give no rows.
+    so that adaptive execution can split the join of a node that has very many edges; they hold one row a node and take
+    tasks by their number of rows. Rounds end once all links are stars, so the driver keeps track of no round that
+    changes nothing. Self-links, repeated links and null ends are ignored; no edges give no rows.
     """
     held = cut_lineage(
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v"))
         .distinct()
     )
-    before: Any = None
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     while True:
-        both = held.select("u", "v").unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut_lineage(
-            both.where(F.col("v") > F.col("u"))
-            .join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        lower = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = (
+        # Stars: no node has two smaller neighbours, or a smaller and a larger one.
+        sides = (F.struct(F.col(name).alias("node"), F.lit(up).alias("up")) for name, up in (("u", 1), ("v", 0)))
+        ends = held.select(F.inline(F.array(*sides)))
+        nodes = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum("up").alias("up"))
+        links, open_nodes = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 or up = 1 and n > 1"))).first()
+        if not open_nodes:
+            break
+        tasks = max(cores, links // NODES_A_TASK)
+        turned = held.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = held.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut_lineage(least.coalesce(tasks))
+        large = cut_lineage(turned.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        lower = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
+        held = cut_lineage(
             large.join(lower, "u")
             .where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(lower.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        held = cut_lineage(small)
-        state = held.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")
-        ).first()
-        if state == before and state[0] == state[2]:
-            break
-        before = state
     roots = held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -134,16 +134,27 @@ def encoder_of(settings: Settings) -> Encoder:
 
 
 def train_dictionary(documents: DataFrame, settings: Settings) -> bytes:
-    """Dictionary from a sample: one document piece in each of ``sample_documents`` slots of the texts' hash."""
+    """Dictionary from a sample: one document piece in each of ``sample_documents`` slots of the texts' hash.
+
+    One task encodes the pieces and trains on them, so the driver loads no vocabulary.
+    """
     slot = F.pmod(F.xxhash64("text"), F.lit(settings.sample_documents))
     pieces = (
         documents.where(F.length("text") > 0)
         .groupBy(slot.alias("slot"))
         .agg(F.min_by(F.substring("text", 1, settings.sample_chars), F.xxhash64("text")).alias("piece"))
-        .orderBy("slot")
-        .collect()
     )  # at most sample_documents pieces of sample_chars
-    samples = encoder_of(settings).encode([row["piece"] for row in pieces])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(name).to_pylist() for name in ("slot", "piece"))))
+        content = _trained(encoder_of(settings).encode([piece for _, piece in rows]), settings)
+        yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+
+    found = pieces.repartition(1).mapInArrow(learn, "content binary").collect()
+    return bytes(found[0]["content"]) if found else _trained([], settings)
+
+
+def _trained(samples: list[bytes], settings: Settings) -> bytes:
     try:
         return zstandard.train_dictionary(settings.dictionary_bytes, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their own bytes serve as content

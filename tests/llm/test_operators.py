@@ -9,10 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
-from siltstone.llm import decontamination, jaccard, language, mixing, pages, personal, pivots, secrets, tokens, toxicity
+from siltstone.llm import decontamination, jaccard, language, mixing, pages, personal, pivots, secrets, shared, tokens, toxicity
 from siltstone.llm.words import PLAIN, SPACED, hashed_words
+from siltstone.session import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, block int, start long"
@@ -279,6 +281,45 @@ def test_pivots_of_one_dense_group_and_of_two_lengths(spark):
     assert [found[2000 + i] for i in range(3)] == [2, 2, 2]
 
 
+def test_driver_loads_no_vocabulary(documents):
+    tokens.encoder_of.cache_clear()
+    tokens._tokenizer.cache_clear()
+    settings = tokens.Settings(tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    content = tokens.train_dictionary(documents, settings)
+    assert 8 <= len(content) <= settings.dictionary_bytes
+    assert tokens.encoder_of.cache_info().currsize == tokens._tokenizer.cache_info().currsize == 0
+    assert tokens.train_dictionary(documents.limit(0), settings) == bytes(8)
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(shared, "cut_lineage", lambda frame: written.append(1) or cut_lineage(frame))
+    stars = [(1, n) for n in range(2, 60)] + [(200, 100), (150, 100), (100, 200), (7, 7), (None, 3), (3, None)]
+    found = {tuple(r) for r in shared.connected_components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert found == {(n, 1) for n in range(1, 60)} | {(n, 100) for n in (100, 150, 200)}
+    assert len(written) == 1
+
+
+def test_components_of_chains_hubs_and_random_links(spark):
+    random.seed(4)
+    links = [(n, n + 1) for n in range(1000, 1040)] + [(5000, n) for n in range(4000, 4200)] + [(4100, 1040), (-5, -6)]
+    links += [(random.randrange(400), random.randrange(400)) for _ in range(260)] + links[:20]
+    root = {n: n for pair in links for n in pair if pair[0] != pair[1]}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        if a != b:
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+    found = shared.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.component) for r in found) == sorted((n, top(n)) for n in root)
+    assert shared.connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
 def test_tokens_round_trip(documents):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
