@@ -32,7 +32,7 @@ def has_extension(path: Column | str, extensions: list[str]) -> Column:
 
 def language_of(path: Column | str) -> Column:
     """Language name by suffix, or null when no suffix matches."""
-    name = F.concat(F.lit("."), F.substring_index(F.lower(_col(path)), ".", -1))
+    name = F.concat(F.lit("."), F.lower(F.substring_index(_col(path), ".", -1)))
     has_dot = F.instr(_col(path), ".") > 0
     choice = F.when(~has_dot, F.lit(None).cast("string"))
     for language, suffixes in LANGUAGE_SUFFIXES.items():

@@ -19,6 +19,8 @@ PYTHON_PACKAGE = ["{}/__init__.py", "{}/__init__.pyi"]
 TYPESCRIPT = ["{}", "{}.ts", "{}.tsx", "{}/index.ts", "{}/index.tsx"]
 
 REQUEST = ["family", "path", "package"]
+# A hash of scope and request, first of the keys: paths begin alike, so sorts would compare them to their ends.
+_HASH = "_request"
 
 
 def file_problems(files: DataFrame, *scope: str) -> DataFrame:
@@ -134,8 +136,18 @@ def _candidates() -> Column:
     return F.transform(names, lambda name: F.regexp_replace(name, "\\A/+", ""))
 
 
+def with_request(edges: DataFrame, *scope: str) -> DataFrame:
+    """Edges with what each of them looks up, for ``request_lookups`` and ``resolve_requests``, which may share a copy."""
+    return _with_request(edges).withColumn(_HASH, F.xxhash64(*scope, *REQUEST))
+
+
 def edge_lookups(edges: DataFrame, *scope: str) -> DataFrame:
     """``relative_path`` and ``lookup`` of every edge that looks for a file: the path it asks for and how, at most two."""
+    return request_lookups(_with_request(edges), *scope)
+
+
+def request_lookups(wanted: DataFrame, *scope: str) -> DataFrame:
+    """``edge_lookups`` of edges that have their request already."""
     path, package = (F.regexp_replace(name, "\\A/+", "") for name in ("path", "package"))
     family = F.col("family")
     by_path = F.concat(F.when(family == "member", "module").otherwise(family), F.lit(":"), path)
@@ -145,7 +157,7 @@ def edge_lookups(edges: DataFrame, *scope: str) -> DataFrame:
         .when(family == "package", F.array(by_package))
         .when(family != "none", F.array(by_path))
     )
-    return _with_request(edges).select(*scope, "relative_path", F.explode(lookups).alias("lookup"))
+    return wanted.select(*scope, "relative_path", F.explode(lookups).alias("lookup"))
 
 
 def lookups_naming(file_key: Column) -> Column:
@@ -170,13 +182,24 @@ def resolve_imports(
     once, and its answer is joined back to the edges with hot requests split over tasks. Edges are neither
     merged nor dropped.
     """
-    wanted = _with_request(edges)
-    keys = [*scope, *REQUEST]
-    requests = wanted.groupBy(*keys).agg(F.count("*").alias("rows"))
+    return resolve_requests(with_request(edges, *scope), files, *scope, hot_rows=hot_rows, carried=carried)
+
+
+def resolve_requests(
+    wanted: DataFrame, files: DataFrame, *scope: str, hot_rows: int = HOT_ROWS, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """``resolve_imports`` of edges that have their request already (``with_request``)."""
+    keys = [_HASH, *scope, *REQUEST]
+    # The joins below ask for keys that are not null; asked here too, all of them read the same counts.
+    filled = " and ".join(f"`{key}` is not null" for key in keys)
+    requests = wanted.where(filled).groupBy(*keys).agg(F.count("*").alias("rows"))
     index = files.select(*scope, paths.normalize("relative_path").alias("file_key"), F.col("relative_path").alias("found"))
+    name = F.xxhash64(*scope, "file_key")
     answers = (
-        requests.select(*keys, "rows", F.posexplode(_candidates()).alias("position", "file_key"))
-        .join(index, [*scope, "file_key"])
+        # The outer form, as the filter of the other one would reach the scan and have the requests counted once more.
+        requests.select(*keys, "rows", F.posexplode_outer(_candidates()).alias("position", "file_key"))
+        .withColumn("_name", name)
+        .join(index.withColumn("_name", name), ["_name", *scope, "file_key"])
         .groupBy(*keys)
         .agg(F.min_by("found", "position").alias("found"), F.max("rows").alias("rows"))
     )

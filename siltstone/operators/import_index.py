@@ -9,6 +9,7 @@ comes or goes leads to the few lookups that may now have another answer, and fro
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import AbstractContextManager, ExitStack
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from siltstone.functions import paths
-from siltstone.operators.dependencies import edge_lookups, edge_order, lookups_naming, resolve_imports
-from siltstone.operators.keyed import KeyedTable, create_keyed
-from siltstone.session import drop_shuffles, written_copies
+from siltstone.operators.dependencies import edge_order, lookups_naming, request_lookups, resolve_requests, with_request
+from siltstone.operators.keyed import KeyedTable, Staged, create_keyed
+from siltstone.session import drop_shuffles, hash_joins, sorted_groups, written_copies
 
 _MARK = "\u001f"  # between a scope and what lies in it
 _EDGE = (
@@ -26,6 +27,12 @@ _EDGE = (
     "named_internal: boolean, target: string, target_kind: string>>"
 )
 
+# An edge as given, and what it led to where it comes from the table.
+_RAW = [
+    *["scope", "relative_path", "target_module", "imported_names", "alias", "is_internal", "line_number"],
+    *["was_target", "was_kind"],
+]
+
 
 def _parts(pair: Column) -> tuple[Column, Column]:
     """The lookup and the source of a pair, which is the lookup's length, a colon, the lookup and the source."""
@@ -46,9 +53,9 @@ class HolderTable(KeyedTable):
         """The pairs of these lookups; only their buckets are read."""
         bucket = super()._bucket(F.col("lookup"))
         buckets = [row[0] for row in lookups.select(bucket).distinct().collect()]  # at most one a bucket
-        lookup, source = _parts(F.col("pair"))
+        (lookup, source), hashed = _parts(F.col("pair")), F.xxhash64("lookup").alias("_hash")
         held = self.rows(version, buckets).select(lookup.alias("lookup"), source.alias("id"))
-        return held.join(lookups, "lookup", "left_semi")
+        return held.select("*", hashed).join(lookups.select(hashed, "lookup"), ["_hash", "lookup"], "left_semi").drop("_hash")
 
 
 class ImportIndex:
@@ -92,18 +99,56 @@ class ImportIndex:
 
     def _files(self, frame: DataFrame) -> DataFrame:
         named = self._scoped(frame).select("scope", paths.normalize("relative_path").alias("file_key"), "relative_path")
-        return named.select(F.concat("scope", F.lit(_MARK), "file_key").alias("id"), *named.columns).distinct()
+        named = named.select(F.concat("scope", F.lit(_MARK), "file_key").alias("id"), *named.columns)
+        return self.files.deal(named, F.col("id")).distinct().drop("_bucket", "_share")
 
-    def _pairs(self, edges: DataFrame) -> DataFrame:
-        """Pairs of a lookup and its source, of raw edges, once each."""
+    def _pairs(self, wanted: DataFrame) -> DataFrame:
+        """Pairs of a lookup and its source, of edges with their requests, once each."""
         lookup, source = (F.concat("scope", F.lit(_MARK), name) for name in ("lookup", "relative_path"))
         pair = F.concat(F.length(lookup).cast("string"), F.lit(":"), lookup, source)
-        return edge_lookups(edges, "scope").select(pair.alias("pair")).distinct()
+        pairs = request_lookups(wanted, "scope").select(pair.alias("pair"))
+        return self.holders.deal(pairs, F.col("pair")).distinct().drop("_bucket", "_share")
 
     def _raw(self, rows: DataFrame) -> DataFrame:
         """Stored edges in the form they were given in."""
         each = rows.select("scope", F.col("source").alias("relative_path"), F.inline("edges"))
-        return each.withColumnRenamed("named_internal", "is_internal").drop("target", "target_kind")
+        names = {"named_internal": "is_internal", "target": "was_target", "target_kind": "was_kind"}
+        return each.withColumnsRenamed(names).select(*_RAW)
+
+    def _grouped(self, resolved: DataFrame, changed: DataFrame) -> DataFrame:
+        """One row a source: the changed files, and sources out of the table of which an edge has another answer now.
+
+        Files are mentions beside the edges, and an edge carries its former answer, so nothing is joined to the groups.
+        """
+        edge = F.struct(
+            "line_number", "target_module", "imported_names", "alias", "named_internal", "target", "target_kind"
+        )
+        same = F.col("target").eqNullSafe(F.col("was_target")) & F.col("target_kind").eqNullSafe(F.col("was_kind"))
+        each = resolved.select(
+            "scope",
+            "source",
+            edge.alias("edge"),
+            F.lit(False).alias("listed"),
+            F.col("was_kind").isNotNull().alias("stored"),
+            (~same).alias("moved"),
+        )
+        no, nothing = F.lit(False), F.lit(None).cast(each.schema["edge"].dataType)
+        listed = changed.select(
+            "scope",
+            F.col("relative_path").alias("source"),
+            nothing.alias("edge"),
+            F.lit(True).alias("listed"),
+            no.alias("stored"),
+            no.alias("moved"),
+        )
+        identifier = F.concat("scope", F.lit(_MARK), "source")
+        dealt = self.sources.deal(each.unionByName(listed), identifier).withColumn("_hash", F.xxhash64("scope", "source"))
+        flags = [F.max(name).alias(name) for name in ("listed", "stored", "moved")]
+        keys = ["_hash", "_bucket", "_share", "scope", "source"]
+        grouped = dealt.sortWithinPartitions(*keys).groupBy(*keys).agg(
+            F.sort_array(F.collect_list("edge")).alias("edges"), *flags
+        )
+        return grouped.where("listed or (stored and moved)").select(identifier.alias("id"), "scope", "source", "edges")
 
     def apply(self, files: DataFrame, edges: DataFrame, removed: DataFrame | None = None) -> None:
         """Take in new and changed ``files`` with all their import ``edges``, and forget ``removed`` ones.
@@ -111,69 +156,86 @@ class ImportIndex:
         Sources of unchanged files are resolved again only if they hold a lookup that can name a file that came or went, and
         are written only if an edge of theirs changed. The commit of the file table is the last that matters: a change that
         failed before it is run again as a whole, with the same result. Another writer's change raises ConflictError.
-        What a step leaves for the next is written as Parquet and goes when the change is done, as do its shuffles.
+        What a step leaves for the next is written as Parquet and goes when the change is done, as do its shuffles; rows of the
+        tables are written in their place and joined to a version afterwards.
         """
         spark = self.files.spark
-        with drop_shuffles(spark), written_copies(spark) as written:
-            self._apply(files, edges, removed, written)
+        settings = drop_shuffles(spark), hash_joins(spark), sorted_groups(spark)
+        with ExitStack() as staged:
+            for setting in settings:
+                staged.enter_context(setting)
+            written = staged.enter_context(written_copies(spark))
+            self._apply(files, edges, removed, written, staged.enter_context)
 
     def _apply(
-        self, files: DataFrame, edges: DataFrame, removed: DataFrame | None, written: Callable[[DataFrame], DataFrame]
+        self,
+        files: DataFrame,
+        edges: DataFrame,
+        removed: DataFrame | None,
+        written: Callable[[DataFrame], DataFrame],
+        hold: Callable[[AbstractContextManager[Staged]], Staged],
     ) -> None:
         at_files, at_sources = self.files.version(), self.sources.version()
         at_holders = self.holders.version()
-        changed, known = written(self._files(files)), self.files.rows(at_files)
-        leaving = changed.limit(0) if removed is None else self._files(removed).join(changed, "id", "left_anti")
-        leaving = written(leaving)
-        created, gone = changed.join(known, "id", "left_anti"), leaving.join(known.select("id"), "id", "left_semi")
-        own = changed.unionByName(leaving).select("scope", F.col("relative_path").alias("source")).distinct()
-        stored = self.sources.rows(at_sources)
+        new_files, known = hold(self.files.staged(self._files(files), at_files, dealt=True)), self.files.rows(at_files)
+        changed = new_files.rows
+        leaving = changed.limit(0)
+        if removed is not None:
+            leaving = written(self._files(removed).join(changed.select("id"), "id", "left_anti"))
+        created = changed
+        if at_files:  # the few known ones among the changed are found first
+            held = known.select("id").join(changed.select("id"), "id", "left_semi")
+            created = written(changed.join(held, "id", "left_anti"))
+        gone = leaving.join(known.select("id"), "id", "left_semi")
+        stored, source = self.sources.rows(at_sources), ["scope", "source"]
         waiting = before = stored.limit(0)
+        known_again = False
+        if at_sources:
+            own = changed.unionByName(leaving).select("scope", F.col("relative_path").alias("source")).distinct()
+            again = written(stored.select(*source).join(own, source, "left_semi"))
+            known_again = not again.isEmpty()
+            if known_again:
+                before = written(stored.join(again, source, "left_semi"))
         if at_holders:  # an index without pairs has no source to resolve again
             names = created.unionByName(gone).select("scope", F.explode(lookups_naming(F.col("file_key"))).alias("name"))
             names = written(names.select(F.concat("scope", F.lit(_MARK), "name").alias("lookup")).distinct())
-            touched = self.holders.holding(names, at_holders).select("id").distinct()
-            waiting = written(stored.join(touched, "id", "left_semi").join(own, ["scope", "source"], "left_anti"))
-        if at_sources:
-            before = written(stored.join(own, ["scope", "source"], "left_semi"))
-
-        raw = ["scope", "relative_path", "target_module", "imported_names", "alias", "is_internal"]
-        given = self._scoped(edges).select(*raw, F.col("line_number").cast("bigint").alias("line_number"))
-        work = given.unionByName(self._raw(waiting)).withColumn("named_internal", F.col("is_internal"))
-        now = known.join(leaving, "id", "left_anti").unionByName(created)
-        resolved = resolve_imports(
-            work, now.select("scope", "relative_path"), "scope", carried=("target_module", "named_internal")
-        )
-        edge = F.struct(
-            "line_number", "target_module", "imported_names", "alias", "named_internal", "target", "target_kind"
-        )
-        grouped = resolved.groupBy("scope", "source").agg(F.sort_array(F.collect_list(edge)).alias("edges"))  # one file's
-        wanted = changed.select("scope", F.col("relative_path").alias("source")).unionByName(
-            waiting.select("scope", "source")
-        )
-        was = waiting.unionByName(before).select("scope", "source", F.col("edges").alias("was"))
-        fresh = written(
-            wanted.join(grouped, ["scope", "source"], "left")
-            .withColumn("edges", F.coalesce("edges", F.array().cast(_EDGE)))
-            .join(was, ["scope", "source"], "left")
-            .where(~F.col("edges").eqNullSafe(F.col("was")))
-            .select(F.concat("scope", F.lit(_MARK), "source").alias("id"), "scope", "source", "edges")
+            hashed = F.xxhash64("id").alias("_hash")
+            touched = self.holders.holding(names, at_holders).select(hashed, "id").distinct()
+            waiting = stored.select("*", hashed).join(touched, ["_hash", "id"], "left_semi").drop("_hash")
+            waiting = waiting.join(before.select(*source), source, "left_anti")
+        left = leaving.select("scope", F.col("relative_path").alias("source"))
+        forgotten = before.join(left, source, "left_semi")
+
+        nothing = F.lit(None).cast("string")
+        given = self._scoped(edges).withColumns(
+            {"line_number": F.col("line_number").cast("bigint"), "was_target": nothing, "was_kind": nothing}
         )
-        pairs = written(self._pairs(given))
-        stale = self._pairs(self._raw(before)).join(pairs, "pair", "left_anti")
-        stale = written(stale) if at_sources else pairs.limit(0)
+        work = given.select(*_RAW).unionByName(self._raw(waiting)).withColumn("named_internal", F.col("is_internal"))
+        asked = written(with_request(work, "scope"))
+        now = known.join(leaving.select("id"), "id", "left_anti").unionByName(created)
+        carried = ("target_module", "named_internal", "was_target", "was_kind")
+        resolved = resolve_requests(asked, now.select("scope", "relative_path"), "scope", carried=carried)
+        fresh = self._grouped(resolved, changed)
+        if known_again:
+            was = before.select(*source, F.col("edges").alias("was"))
+            fresh = fresh.join(was, source, "left").where(~F.col("edges").eqNullSafe(F.col("was"))).drop("was")
+        fresh = hold(self.sources.staged(fresh, at_sources, dealt=not known_again))
 
         # A pair too many does no harm, so pairs come first and stale ones go last.
-        if not pairs.isEmpty():
-            self.holders.upsert(pairs)
-        forgotten = before.join(leaving.select("scope", F.col("relative_path").alias("source")), ["scope", "source"], "left_semi")
+        pairs = hold(self.holders.staged(self._pairs(asked.where("was_kind is null")), self.holders.version(), dealt=True))
+        stale = pairs.rows.limit(0)
+        if known_again:
+            lost = self._pairs(with_request(self._raw(before), "scope"))
+            stale = written(lost.join(pairs.rows, "pair", "left_anti"))
+        if not pairs.rows.isEmpty():
+            self.holders.upsert_staged(pairs)
         steps = [
-            (fresh.isEmpty(), lambda base: self.sources.upsert(fresh, base=base)),
+            (fresh.rows.isEmpty(), lambda base: self.sources.upsert_staged(fresh)),
             (forgotten.isEmpty(), lambda base: self.sources.delete(forgotten.select("id"), base=base)),
         ]
         reduce(lambda base, step: base if step[0] else step[1](base), steps, at_sources)
         steps = [
-            (changed.isEmpty(), lambda base: self.files.upsert(changed, base=base)),
+            (changed.isEmpty(), lambda base: self.files.upsert_staged(new_files)),
             (leaving.isEmpty(), lambda base: self.files.delete(leaving.select("id"), base=base)),
         ]
         reduce(lambda base, step: base if step[0] else step[1](base), steps, at_files)

@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -21,6 +23,7 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, St
 
 from siltstone.errors import ConflictError, IntegrityError, NotFoundError, ValidationError
 from siltstone.operators.store import latest_rows
+from siltstone.session import task_count
 
 _OWN = ("_generation", "_removed", "_change", "_bucket")
 
@@ -74,6 +77,16 @@ class Change(NamedTuple):
     whole: bool
 
 
+@dataclass
+class Staged:
+    """Rows of a change that are written and belong to no version yet."""
+
+    folder: str
+    base: int
+    rows: DataFrame
+    committed: bool = False
+
+
 class KeyedTable:
     """A table in a shared folder; ``unique`` columns hold each value at most once, nulls apart."""
 
@@ -110,7 +123,7 @@ class KeyedTable:
         schema = StructType([*fields]).add("_generation", LongType()).add("_removed", BooleanType())
         schema = schema.add("_change", StringType()).add("_bucket", IntegerType())
         if not changes:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).limit(0)  # so the planner sees that there is nothing to join
         folders = (f"{self.path}/data/_change={x.folder}" for x in changes)
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*folders)
         return rows if buckets is None else rows.where(F.col("_bucket").isin(buckets))
@@ -119,14 +132,17 @@ class KeyedTable:
         """The rows of a version, all of them or those of some buckets.
 
         Of the changed keys the last change counts. Rows of the compacted part whose keys no later change names are read as
-        they are, without a shuffle where the changes are small.
+        they are, without a shuffle where the changes are small. A change holds a key once, so a single one needs no folding.
         """
         changes = self.changes(version)
         settled = [x for x in changes if x.whole]
         base = self._read(settled, buckets).drop("_change", "_bucket")
         later = self._read(changes[len(settled) :], buckets).drop("_change", "_bucket")
-        last = latest_rows(later, self.key, ["_generation"])
-        kept = base.join(last.select(self.key), self.key, "left_anti") if settled and len(changes) > 1 else base
+        last = later if len(changes) - len(settled) == 1 else latest_rows(later, self.key, ["_generation"])
+        kept = base
+        if settled and len(changes) > 1:  # by hash first, as keys that begin alike are slow to sort
+            hashed = F.xxhash64(self.key).alias("_hash")
+            kept = base.select("*", hashed).join(last.select(self.key, hashed), ["_hash", self.key], "left_anti").drop("_hash")
         return kept.unionByName(last).where("not _removed").select(*self.schema.names)
 
     def get(self, value: Any, version: int | None = None) -> DataFrame:
@@ -141,7 +157,13 @@ class KeyedTable:
         lacking = set(self.schema.names) - set(rows.columns)
         if lacking:
             raise ValidationError(f"rows lack {sorted(lacking)}")
-        return rows.select(*(F.col(x.name).cast(x.dataType) for x in self.schema.fields))
+        kinds = dict(rows.dtypes)  # a cast that only lets nulls in would copy every nested row
+        return rows.select(
+            *(
+                F.col(x.name) if kinds[x.name] == x.dataType.simpleString() else F.col(x.name).cast(x.dataType)
+                for x in self.schema.fields
+            )
+        )
 
     def _require(self, rows: DataFrame, base: int, known: bool | None, removed: DataFrame | None = None) -> None:
         """One job for all rules: keys filled and once, known or unknown as asked, and unique values not taken.
@@ -149,7 +171,6 @@ class KeyedTable:
         Values of the changed rows and of the table are mentions of (column, value), folded with partial counts; rows that the
         change replaces or removes give their values up first.
         """
-        touched = [row[0] for row in rows.select(self._bucket(F.col(self.key))).distinct().collect()]  # at most one a bucket
         current = self.rows(base)
         others = current.join(rows.select(self.key), self.key, "left_anti") if self.unique and known is not False else current
 
@@ -158,7 +179,10 @@ class KeyedTable:
                 F.lit(column).alias("column"), F.col(column).cast("string").alias("value"), F.lit(new).alias("new")
             )
 
-        parts = [mentions(rows, self.key, True), mentions(self.rows(base, touched), self.key, False)]
+        parts = [mentions(rows, self.key, True)]
+        if known is not None:  # else no rule asks whether the table holds a key
+            touched = [row[0] for row in rows.select(self._bucket(F.col(self.key))).distinct().collect()]  # at most one a bucket
+            parts.append(mentions(self.rows(base, touched), self.key, False))
         for column in self.unique:
             parts += [mentions(rows, column, True).where("value is not null"), mentions(others, column, False)]
         folded = reduce(DataFrame.unionByName, parts).groupBy("column", "value").agg(
@@ -182,8 +206,13 @@ class KeyedTable:
             _, words, kind = rules[example[0].rule]
             raise kind(words.format(example[0].column, example[0].value))
 
-    def _commit(self, rows: DataFrame, base: int, removed: bool = False, whole: bool = False) -> int:
-        folder = uuid.uuid4().hex
+    def deal(self, rows: DataFrame, key: Column) -> DataFrame:
+        """Rows with ``_bucket`` and ``_share``, dealt out by both: groups of these and the key lie as a change is written."""
+        shares = max(1, 8 * task_count(self.spark) // self.buckets)
+        share = F.pmod(F.xxhash64(key, F.lit("share")), F.lit(shares)).cast("int")
+        return rows.withColumns({"_bucket": self._bucket(key), "_share": share}).repartition("_bucket", "_share")
+
+    def _write(self, rows: DataFrame, base: int, folder: str, removed: bool = False, dealt: bool = False) -> None:
         staged = rows.withColumns(
             {
                 "_generation": F.lit(base + 1).cast("bigint"),
@@ -192,10 +221,38 @@ class KeyedTable:
             }
         )
         # Files follow buckets; a bucket with very many rows is split by size at run time.
-        spread = staged.hint("rebalance", "_bucket").write.option("compression", "zstd").partitionBy("_bucket")
-        spread.parquet(f"{self.path}/data/_change={folder}")
+        spread = staged if dealt else staged.hint("rebalance", "_bucket")
+        plain = {"compression": "zstd", f"parquet.enable.dictionary#{self.key}": "false"}  # keys do not come again
+        spread.write.options(**plain).partitionBy("_bucket").parquet(f"{self.path}/data/_change={folder}")
+
+    def _commit(self, rows: DataFrame, base: int, removed: bool = False, whole: bool = False) -> int:
+        folder = uuid.uuid4().hex
+        self._write(rows, base, folder, removed)
         return self._finish(Change(folder, whole or base == 0), base)  # the first change is the whole table
 
+    @contextmanager
+    def staged(self, rows: DataFrame, base: int, dealt: bool = False) -> Iterator[Staged]:
+        """Write rows for ``upsert_staged``; what is not committed by the end of the block is removed.
+
+        No reader sees the rows before, but the caller may go on from them. ``dealt`` says that they come from ``deal``.
+        """
+        folder = uuid.uuid4().hex
+        change = None
+        try:
+            self._write(self._typed(rows), base, folder, dealt=dealt)
+            change = Staged(folder, base, self._read([Change(folder, False)], None).select(*self.schema.names))
+            yield change
+        finally:
+            if change is None or not change.committed:
+                self.files.remove(f"data/_change={folder}")
+
+    def upsert_staged(self, change: Staged) -> int:
+        """Insert or overwrite by key with rows that are written already; a key may occur once."""
+        self._require(change.rows, change.base, known=None)
+        version = self._finish(Change(change.folder, change.base == 0), change.base)
+        change.committed = True
+        return version
+
     def _finish(self, change: Change, base: int) -> int:
         text = json.dumps(change._asdict()) + "\n"
         if not self.files.create(f"log/{base + 1:012d}", text):

@@ -94,9 +94,31 @@ def drop_shuffles(spark: SparkSession) -> Iterator[None]:
 
     For jobs of many queries that each run once; a frame that is run a second time shuffles anew.
     """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def hash_joins(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, joins of which one side has turned out small in every task (64 MB of shuffle) sort neither side."""
+    with _setting(spark, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"):
+        yield
+
+
+@contextmanager
+def sorted_groups(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, rows that lie sorted by the keys they are grouped by are folded in one pass over them.
+
+    Lists would else be collected by a hash of few keys, and past these sorted twice, before and after a partial step.
+    """
+    with _setting(spark, "spark.sql.execution.replaceHashWithSortAgg", "true"):
+        yield
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:

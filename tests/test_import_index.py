@@ -6,6 +6,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql.functions import udf
 
 from siltstone.errors import ConflictError
 from siltstone.operators.dependencies import edge_lookups, lookups_naming, resolve_imports
@@ -138,3 +139,42 @@ def test_a_change_leaves_nothing_but_the_tables(spark, tmp_path):
     lookups = spark.createDataFrame([("\u001fmodule:n",), ("\u001fpackage:",), ("\u001fmodule:q",)], "lookup string")
     found = {(r.lookup, r.id) for r in index.holders.holding(lookups, index.holders.version()).collect()}
     assert found == {("\u001fmodule:n", "\u001fy.py"), ("\u001fpackage:", "\u001fy.py")}
+
+
+def test_given_edges_are_computed_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(module):
+        read.add(1)
+        return module
+
+    index = ImportIndex(spark, str(tmp_path / "i"), buckets=2)
+    kinds = EDGE.removeprefix("repo string, ")
+    files = spark.createDataFrame([("x.py",), ("y.py",), ("m.py",)], "relative_path string")
+    edges = spark.createDataFrame([("x.py", "m", [], None, False, 1), ("y.py", "n", [], None, False, 1), ("gone.py", "m", [], None, False, 1)], kinds)
+    index.apply(files, edges.withColumn("target_module", udf(counted, "string")("target_module")))
+    assert read.value == 3  # for their lookups, answers and pairs
+    found = {row.source: row.target for row in index.edges().collect()}
+    assert found == {"x.py": "m.py", "y.py": "external:n"}  # a source that is no file has no row
+    # A stored source gets another answer and loses it again; edges given for one that is not listed join its own.
+    index.apply(spark.createDataFrame([("n.py",)], "relative_path string"), spark.createDataFrame([("y.py", "os", [], None, False, 2)], kinds))
+    assert sorted(row.target for row in index.outgoing("y.py").collect()) == ["external:os", "n.py"]
+    index.apply(files.limit(0), edges.limit(0), spark.createDataFrame([("n.py",)], "relative_path string"))
+    assert sorted(row.target for row in index.outgoing("y.py").collect()) == ["external:n", "external:os"]
+
+
+def test_groups_are_folded_in_one_sorted_pass(spark, tmp_path, monkeypatch):
+    index = ImportIndex(spark, str(tmp_path / "i"), buckets=2)
+    plans = []
+    grouped = index._grouped
+
+    def seen(*given):
+        frame = grouped(*given)
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(index, "_grouped", seen)
+    kinds = EDGE.removeprefix("repo string, ")
+    files = spark.createDataFrame([("x.py",)], "relative_path string")
+    index.apply(files, spark.createDataFrame([("x.py", "m", [], None, False, 1)], kinds))
+    assert "collect_list" in plans[0] and "partial_collect_list" not in plans[0]

@@ -112,3 +112,21 @@ def test_creation(spark, tmp_path):
         create_keyed(spark, str(tmp_path / "t"), rows(spark).schema, "nope")
     first = create_keyed(spark, str(tmp_path / "t"), rows(spark).schema, "id", buckets=2)
     assert create_keyed(spark, str(tmp_path / "t"), rows(spark).schema, "id", buckets=9).buckets == first.buckets
+
+
+def test_staged_rows_are_seen_when_committed(spark, table):
+    table.add(rows(spark, ("a", "u1", 1)))
+    data = table._read(table.changes(), None).count
+    with table.staged(rows(spark, ("a", "u1", 2), ("b", None, 3)), table.version()) as change:
+        assert held(table) == {"a": ("u1", 1)} and change.rows.count() == 2
+        assert table.upsert_staged(change) == 2
+    assert held(table) == {"a": ("u1", 2), "b": (None, 3)} and data() == 1
+    # What is not committed leaves no trace, nor does a change that another writer was faster than.
+    folders = table.files.names("data")
+    with pytest.raises(IntegrityError):
+        with table.staged(rows(spark, ("c", None, 3), ("c", None, 4)), table.version()) as change:
+            table.upsert_staged(change)
+    with pytest.raises(ConflictError):
+        with table.staged(rows(spark, ("c", None, 3)), 1) as change:
+            table.upsert_staged(change)
+    assert table.files.names("data") == folders and len(held(table)) == 2
